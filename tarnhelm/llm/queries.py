@@ -15,8 +15,15 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.report(D.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm
+
+    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), lm.held_out("doc_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
+    "op5_lm_score": op5_lm_score,
 }
 
 ORACLE_SQL: dict[str, str] = {}
