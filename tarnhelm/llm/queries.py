@@ -21,9 +21,16 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), lm.held_out("doc_id"))
 
 
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import tokens
+
+    return tokens.round_trip(table(spark, sf_dir, "documents")).drop("ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op5_lm_score": op5_lm_score,
+    "op6_token_ids": op6_token_ids,
 }
 
 ORACLE_SQL: dict[str, str] = {}
