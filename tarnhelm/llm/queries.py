@@ -33,11 +33,25 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(table(spark, sf_dir, "documents")).drop("kept", "spans")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    return mixing.allot(table(spark, sf_dir, "documents"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    return pii.report(pii.find_spans(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op5_lm_score": op5_lm_score,
     "op6_token_ids": op6_token_ids,
     "op10_substring_dedup": op10_substring_dedup,
+    "op2_mixing": op2_mixing,
+    "op8_pii": op8_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
