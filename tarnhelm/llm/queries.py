@@ -45,6 +45,12 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find_spans(table(spark, sf_dir, "documents")))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import neardup
+
+    return neardup.classes(table(spark, sf_dir, "documents")).drop("doc_key")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op5_lm_score": op5_lm_score,
@@ -52,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
     "op2_mixing": op2_mixing,
     "op8_pii": op8_pii,
+    "op4_near_duplicates": op4_near_duplicates,
 }
 
 ORACLE_SQL: dict[str, str] = {}
