@@ -51,6 +51,12 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents")).drop("doc_key")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_text
+
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op5_lm_score": op5_lm_score,
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
     "op2_mixing": op2_mixing,
     "op8_pii": op8_pii,
+    "op9_html_text": op9_html_text,
     "op4_near_duplicates": op4_near_duplicates,
 }
 
