@@ -9,30 +9,29 @@ from pyspark.sql import functions as F
 
 
 def dotted_regex(pattern: str) -> str:
-    """A Java regex of a dotted pattern. ``*`` is one segment. ``**`` at the end is the rest. ``**`` elsewhere runs to the first segment equal to the next literal, without ever going on to a later one; a ``*`` after it is a literal star there, then one segment."""
+    """A Java regex of a dotted pattern, for names with a dot before them. ``*`` is one segment. ``**`` at the end is the rest. ``**`` elsewhere runs to the first segment equal to the next literal, without ever going on to a later one; a ``*`` after it is a literal star there, then one segment."""
     parts = pattern.split(".")
     while len(parts) > 1 and parts[-1] == "**" and parts[-2] == "**":
         parts.pop()
     out: list[str] = []
     quote = lambda s: "\\Q" + s.replace("\\E", "\\E\\\\E\\Q") + "\\E" if s else ""
-    sep = "(?:^|\\.)"
     for i, part in enumerate(parts):
         if part == "**":
             if i == len(parts) - 1:
-                out.append("(?:(?:^|\\.).*)?")
+                out.append("(?:\\..*)?")
             else:
                 nxt = quote(parts[i + 1])
-                out.append(f"(?:{sep}(?!{nxt}(?:\\.|$))[^.]*)*+")
+                out.append(f"(?:\\.(?!{nxt}(?:\\.|$))[^.]*)*+")
         elif part == "*":
-            out.append(f"{sep}{quote('*') if i and parts[i - 1] == '**' else '[^.]*'}")
+            out.append("\\." + (quote("*") if i and parts[i - 1] == "**" else "[^.]*"))
         else:
-            out.append(sep + quote(part))
+            out.append("\\." + quote(part))
     return "^" + "".join(out) + "$"
 
 
 def dotted(qid: Column, pattern: str) -> Column:
     """``qid`` matches the dotted pattern."""
-    return qid.rlike("(?s)" + dotted_regex(pattern)) if pattern else qid == ""
+    return F.concat(F.lit("."), qid).rlike("(?s)" + dotted_regex(pattern))
 
 
 def dotted_plain(qid: str, pattern: str) -> bool:

@@ -97,7 +97,7 @@ def dispatch(calls: DataFrame, hierarchy: DataFrame, methods: DataFrame) -> Data
     m = methods.withColumnRenamed("owner", "sub")
     cases = calls.join(hierarchy.select(F.col("super").alias("type"), "sub").distinct(), "type").join(m, ["sub", "method"])
     cases = cases.where(F.size("arg_types") == F.size("param_types"))
-    match = F.forall(F.arrays_zip(F.col("arg_types").alias("a"), F.col("param_types").alias("p")), lambda x: (F.coalesce(x["arg_types"], F.lit("")) == "") | (x["arg_types"] == x["param_types"]))
+    match = F.forall(F.arrays_zip(F.col("arg_types").alias("a"), F.col("param_types").alias("p")), lambda x: (F.coalesce(x["a"], F.lit("")) == "") | (x["a"] == x["p"]))
     order = Window.partitionBy("call", "sub").orderBy(F.desc("match"), F.when(F.col("match"), F.col("pos")).otherwise(-F.col("pos")))
     return cases.withColumn("match", match).withColumn("r", F.row_number().over(order)).where("r = 1").select("call", F.col("sub").alias("owner"), "method", "pos")
 

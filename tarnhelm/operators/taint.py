@@ -37,7 +37,7 @@ def match_calls(calls: DataFrame, rules: DataFrame) -> DataFrame:
     """calls x rules by signature (fsig) or regex (fregex), callee type and argument number; the rule that comes first stays. Rules: rule_id, rule_order, fsig, fregex, callee_type, arg_num."""
     r = rules.select("rule_id", "rule_order", "fsig", "fregex", F.col("callee_type").alias("wanted_type"), "arg_num", "kind")
     by_name = F.col("fsig").isNotNull() & (F.col("fsig") != "") & signature_matches(F.col("callee"), F.col("fsig"))
-    by_regex = F.col("fregex").isNotNull() & F.col("callee").rlike(F.col("fregex"))
+    by_regex = F.col("fregex").isNotNull() & F.rlike("callee", F.col("fregex"))
     fit = calls.join(r, (by_name | by_regex) & type_matches(F.col("callee_type"), F.col("wanted_type")) & (F.col("arg_num").isNull() | (F.col("arg_num") == F.col("n_args"))))
     first = Window.partitionBy("call_id").orderBy("rule_order", "rule_id")
     return fit.withColumn("r", F.row_number().over(first)).where("r = 1").select(*calls.columns, "rule_id", "kind")
@@ -118,8 +118,8 @@ def operand_sanitized(operations: DataFrame, rules: DataFrame) -> DataFrame:
     r = rules.select("sanitizer_id", "operator", "regex")
     full = F.concat(F.lit("^(?:"), F.col("regex"), F.lit(")$"))
     j = operations.join(r, "operator")
-    a = j.where(F.col("left_literal").rlike(full)).select(F.col("right").alias("node"), "sanitizer_id")
-    b = j.where(F.col("right_literal").rlike(full)).select(F.col("left").alias("node"), "sanitizer_id")
+    a = j.where(F.rlike("left_literal", full)).select(F.col("right").alias("node"), "sanitizer_id")
+    b = j.where(F.rlike("right_literal", full)).select(F.col("left").alias("node"), "sanitizer_id")
     return a.unionByName(b).distinct()
 
 

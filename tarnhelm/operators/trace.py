@@ -9,28 +9,36 @@ from pyspark.sql import functions as F
 SOURCE, SINK, CALL, ARG_PASS, CALL_RETURN, FIELD = "SOURCE: ", "SINK: ", "CALL: ", "ARG PASS: ", "CALL RETURN:", "Field: "
 AT = ("file", "line", "tag")
 
-_order = Window.partitionBy("finding").orderBy("pos")
-_upto = _order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-_all = Window.partitionBy("finding")
+
+def _order():
+    return Window.partitionBy("finding").orderBy("pos")
+
+
+def _upto():
+    return _order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _all():
+    return Window.partitionBy("finding")
 
 
 def drop_adjacent_repeats(steps: DataFrame, key: tuple[str, ...] = AT) -> DataFrame:
     """Without steps equal to the one just before."""
     here = F.struct(*key)
-    return steps.withColumn("_before", F.lag(here).over(_order)).where(F.col("_before").isNull() | (F.col("_before") != here)).drop("_before")
+    return steps.withColumn("_before", F.lag(here).over(_order())).where(F.col("_before").isNull() | (F.col("_before") != here)).drop("_before")
 
 
 def first_source_only(steps: DataFrame) -> DataFrame:
     """Without the sources after the first."""
-    n = F.sum((F.col("tag") == SOURCE).cast("int")).over(_upto)
+    n = F.sum((F.col("tag") == SOURCE).cast("int")).over(_upto())
     return steps.withColumn("_n", n).where((F.col("tag") != SOURCE) | (F.col("_n") == 1)).drop("_n")
 
 
 def bounded(steps: DataFrame) -> DataFrame:
     """From the first source to the first sink after it, or to the end; traces without a source stay whole."""
-    s = F.min(F.when(F.col("tag") == SOURCE, F.col("pos"))).over(_all)
+    s = F.min(F.when(F.col("tag") == SOURCE, F.col("pos"))).over(_all())
     marked = steps.withColumn("_s", s)
-    e = F.min(F.when((F.col("tag") == SINK) & (F.col("pos") > F.col("_s")), F.col("pos"))).over(_all)
+    e = F.min(F.when((F.col("tag") == SINK) & (F.col("pos") > F.col("_s")), F.col("pos"))).over(_all())
     marked = marked.withColumn("_e", e)
     return marked.where("_s is null or (pos >= _s and (_e is null or pos <= _e))").drop("_s", "_e")
 
@@ -71,7 +79,7 @@ def first_pass_per_frame(framed: DataFrame) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("finding", "frame", "tag").orderBy("pos"))
     gone = (F.col("tag") == ARG_PASS) & F.col("frame").isNotNull() & (F.col("_nth") > 1)
     marked = framed.withColumn("_nth", nth).withColumn("_gone", gone)
-    after = F.coalesce(F.lead("_gone").over(_order), F.lit(False))
+    after = F.coalesce(F.lead("_gone").over(_order()), F.lit(False))
     return marked.withColumn("_next", after).where(~F.col("_gone") & ~((F.col("tag") == CALL) & F.col("_next"))).drop("_nth", "_gone", "_next")
 
 
@@ -99,7 +107,7 @@ def bridged(framed: DataFrame, stack: DataFrame) -> DataFrame:
 
 def without_foreign_callbacks(framed: DataFrame) -> DataFrame:
     """Without a call and argument pass next to each other of which neither is in a frame of the stack."""
-    nxt, prv = F.lead(F.struct("tag", "frame")).over(_order), F.lag(F.struct("tag", "frame")).over(_order)
+    nxt, prv = F.lead(F.struct("tag", "frame")).over(_order()), F.lag(F.struct("tag", "frame")).over(_order())
     m = framed.withColumn("_n", nxt).withColumn("_p", prv)
     foreign = F.col("frame").isNull()
     gone = (foreign & (F.col("tag") == CALL) & F.coalesce((F.col("_n.tag") == ARG_PASS) & F.col("_n.frame").isNull(), F.lit(False))) | (foreign & (F.col("tag") == ARG_PASS) & F.coalesce((F.col("_p.tag") == CALL) & F.col("_p.frame").isNull(), F.lit(False)))
