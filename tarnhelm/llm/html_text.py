@@ -133,6 +133,9 @@ def extract(html: str | None, sigma: float = SIGMA, threshold: float = THRESHOLD
     """The main text: blocks joined by an empty line."""
     if not html:
         return ""
+    opened = html.rfind("<!--")
+    if opened >= 0 and html.find("-->", opened) < 0:
+        html = html[:opened]
     parser = Lines()
     parser.feed(html)
     parser.close()

@@ -161,7 +161,7 @@ def _cut(width: int):
             inner = np.unique(np.concatenate([np.flatnonzero(edge), bounds[(bounds > 0) & (bounds < total) & gone[np.minimum(bounds, max(total - 1, 0))] & gone[bounds - 1]]])) if total else np.zeros(0, np.int64)
             spans: list[list] = [[] for _ in range(batch.num_rows)]
             cut = inner.tolist()
-            for a, b in zip(cut, [*cut[1:], total], strict=True):
+            for a, b in zip(cut, [*cut[1:], total][: len(cut)], strict=True):
                 if a < total and gone[a]:
                     i = int(np.searchsorted(bounds, a, side="right")) - 1
                     spans[i].append({"begin": a - int(bounds[i]), "end": b - int(bounds[i])})

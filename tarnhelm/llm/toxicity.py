@@ -129,11 +129,11 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit_chain(names: list[str], row: np.ndarray, feature: np.ndarray, value: np.ndarray, labels: np.ndarray, folds: int = FOLDS) -> Chain:
-    """labels: documents x categories, 0 or 1. A document's fold is its place modulo ``folds``."""
+    """labels: documents x categories, 0 or 1. A document's fold is a hash of its place."""
     rows = len(labels)
     if not rows:
         return Chain(names, [Linear(np.zeros(1 << BITS), np.zeros(i), -30.0) for i in range(len(names))], [0.5] * len(names))
-    fold, extra = np.arange(rows) % folds, np.zeros((rows, 0))
+    fold, extra = (W.mix(np.arange(1, rows + 1, dtype=W.U)) % W.U(folds)).astype(int), np.zeros((rows, 0))  # not in step with the labels' order
     models, thresholds = [], []
     for i in range(len(names)):
         y, out = labels[:, i].astype(float), np.zeros(rows)
