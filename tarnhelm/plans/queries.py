@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import patterns, sqlguard
-from ..operators import graph, impact, incremental, taint, trace
+from ..operators import graph, impact, incremental, taint, trace, types
 from ..sources.catalog import FactCatalog
 from . import facts
 
@@ -497,3 +497,75 @@ def a15_group_having(load):
 @query("SELECT file_path, len(string_split(content, chr(10))) AS lines FROM {source_files}")
 def src16_source_lines(load):
     return load("source_files").select("file_path", F.size(F.split("content", "\n")).cast("long").alias("lines"))
+
+
+@query("SELECT concat(coalesce(caller_func, ''), '|', callee_qid, '|1|', resolution_kind, '|', CASE WHEN confidence >= 90 THEN '1' ELSE '0' END) AS key, count(*) AS n, min(id) AS first_call FROM {callgraph} GROUP BY 1")
+def y06_call_summaries(load):
+    calls = load("callgraph").select(F.col("id").alias("call"), F.col("caller_func").alias("caller"), F.col("callee_qid").alias("callee"), F.array("resolution_kind").alias("arg_types"), F.array(F.col("confidence") >= 90).alias("tainted"))
+    return types.distinct_summaries(calls)
+
+
+@query("SELECT ep_id AS call, 0 AS idx, CASE WHEN count(DISTINCT resolution_kind) = 1 THEN min(resolution_kind) ELSE '' END AS type FROM {callgraph} GROUP BY ep_id")
+def y02_argument_types(load):
+    return types.argument_types(load("callgraph").select(F.col("ep_id").alias("call"), F.lit(0).alias("idx"), F.col("resolution_kind").alias("type")))
+
+
+@query("SELECT c_custkey AS call, concat('N', c_nationkey) AS owner, 'run' AS method, 1 AS pos, true AS resolved FROM {customer} UNION ALL SELECT c_custkey, concat('C', c2), 'run', 0, true FROM (SELECT a.c_custkey, b.c_custkey AS c2 FROM {customer} a JOIN {customer} b ON a.c_nationkey = b.c_nationkey AND b.c_custkey % 50 = 0) x")
+def y04_overloads(load):
+    """Every nation has run(x), run(int); some customers, its subtypes, run(int) only: a call with an int takes the matching one of each."""
+    methods = load("nation").select(F.concat(F.lit("N"), "n_nationkey").alias("owner"), F.lit("run").alias("method"), F.explode(F.array(F.struct(F.lit(0).alias("pos"), F.lit("x").alias("t")), F.struct(F.lit(1).alias("pos"), F.lit("int").alias("t")))).alias("m")).select("owner", "method", "m.pos", F.array("m.t").alias("param_types"), F.lit(False).alias("varargs"))
+    own = load("customer").where("c_custkey % 50 = 0").select(F.concat(F.lit("C"), "c_custkey").alias("owner"), F.lit("run").alias("method"), F.lit(0).alias("pos"), F.array(F.lit("lang.int")).alias("param_types"), F.lit(False).alias("varargs"))
+    calls = load("customer").select(F.col("c_custkey").alias("call"), F.concat(F.lit("N"), "c_nationkey").alias("owner"), F.lit("run").alias("method"), F.array(F.lit("int")).alias("arg_types"), F.lit(False).alias("via_super"))
+    subs = load("class_edges").where("super like 'N%'").select("super", "sub")
+    return types.resolve(calls, methods.unionByName(own), subs)
+
+
+@query("SELECT user_id AS finding, string_agg(DISTINCT concat('f', event_id % 7, '.py:', event_id % 100), ',' ORDER BY concat('f', event_id % 7, '.py:', event_id % 100)) AS flows FROM {events} WHERE event_type = 'purchase' GROUP BY user_id")
+def a07_merged_flows(load):
+    r = load("events").where("event_type = 'purchase'").select(F.col("user_id").alias("sink"), F.lit("e").alias("entrypoint"), F.concat(F.lit("f"), F.col("event_id") % 7, F.lit(".py:"), F.col("event_id") % 100).alias("flow"))
+    return taint.merge_flows(r).select(F.col("sink").alias("finding"), F.array_join("flows", ",").alias("flows"))
+
+
+@query("SELECT framework, avg(end_line) AS mean_line, sum(start_line)::BIGINT AS total FROM {entrypoints} GROUP BY framework ORDER BY total DESC LIMIT 3")
+def a09_top_totals(load):
+    return load("entrypoints").groupBy("framework").agg(F.avg("end_line").alias("mean_line"), F.sum("start_line").alias("total")).orderBy(F.desc("total")).limit(3)
+
+
+@query("SELECT edge_type, count(*) AS n FROM {edges} WHERE from_node_id IN (SELECT id FROM {nodes} WHERE line BETWEEN 100 AND 200) GROUP BY edge_type")
+def a11_grouped_semi(load):
+    hit = load("nodes").where("line between 100 and 200").select(F.col("id").alias("from_node_id"))
+    return load("edges").join(hit, "from_node_id", "left_semi").groupBy("edge_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT key, value FROM (SELECT concat('k', o_custkey) AS key, o_orderpriority AS value, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM {orders}) x WHERE r = 1")
+def src18_metadata_upsert(load):
+    rows = load("orders").select(F.concat(F.lit("k"), "o_custkey").alias("key"), F.col("o_orderpriority").alias("value"), F.col("o_orderkey").alias("seq"))
+    return incremental.latest_per_key(rows, "key", "seq").select("key", "value")
+
+
+@query("SELECT file, min(id) AS id FROM {entrypoints} WHERE attribute IS NOT NULL GROUP BY file, attribute UNION ALL SELECT file, id FROM {entrypoints} WHERE attribute IS NULL")
+def p_insert_or_ignore(load):
+    return incremental.insert_or_ignore(load("entrypoints").select("file", "attribute", "id"), ["file", "attribute"], "id").select("file", "id")
+
+
+@query("SELECT e.id, c.change_id FROM {entrypoints} e JOIN {changes} c ON (e.start_line <= c.last_line AND e.end_line >= c.first_line) OR (e.start_line <= c.last_line - 200 AND e.end_line >= c.first_line - 200) WHERE e.file = concat('src/m', c.change_id, '/h', c.change_id, '.go')")
+def x15_touched(load):
+    c = load("changes").withColumn("file", F.concat(F.lit("src/m"), "change_id", F.lit("/h"), "change_id", F.lit(".go")))
+    t = incremental.touches(F.col("start_line"), F.col("end_line"), F.col("first_line"), F.col("last_line"), F.col("first_line") - 200, F.col("last_line") - 200)
+    return load("entrypoints").join(c, "file").where(t).select("id", "change_id")
+
+
+@query("SELECT ep_id, list_sort(list_distinct(flatten(list([from_node_id, to_node_id]))))::VARCHAR AS nodes FROM {edges} GROUP BY ep_id")
+def s16_value_union(load):
+    g = load("edges").groupBy("ep_id").agg(F.array_sort(taint.union_values(F.collect_list("from_node_id"), F.collect_list("to_node_id"))).alias("v"))
+    return g.select("ep_id", F.concat(F.lit("["), F.array_join("v", ", "), F.lit("]")).alias("nodes"))
+
+
+@query("SELECT url, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_replace(url, '^[a-z]+://[^/]+', '') AS rest FROM {pages}")
+def f_regex(load):
+    return load("pages").select("url", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), F.regexp_replace("url", "^[a-z]+://[^/]+", "").alias("rest"))
+
+
+@query("SELECT conv_id AS stack, count(*) AS frames, max_by(role, turn) AS last_role FROM {conversations} GROUP BY conv_id")
+def g20_stacks(load):
+    return load("conversations").groupBy(F.col("conv_id").alias("stack")).agg(F.count("*").alias("frames"), F.max_by("role", "turn").alias("last_role"))
