@@ -42,6 +42,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form menu
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget related recommended share sharing social comment comments disqus reply replies cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search pagination pager toolbar copyright".split()
 )
+#: Of these, what also marks an article or main as none.
+NO_ARTICLE = frozenset("ad ads advert adverts advertisement sponsored promo related recommended comment comments reply replies".split())
 #: An element closes the open ones named here: HTML lets these end tags out.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 RAW = frozenset(("script", "style"))
@@ -52,8 +54,9 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 class Lines(HTMLParser):
     """Lines of a page: (text, tags, region, kind of region)."""
 
-    def __init__(self) -> None:
+    def __init__(self, hints: bool = True) -> None:
         super().__init__(convert_charrefs=True)
+        self.hints = hints
         self.lines: list[tuple[str, int, int, str]] = []
         self.open: list[tuple[str, bool, int, str]] = []  # name, hidden, region, kind
         self.text: list[str] = []
@@ -98,8 +101,9 @@ class Lines(HTMLParser):
         if tag in NEVER:
             return True
         for key, value in attrs:
-            if key in ("class", "id") and tag not in ("html", "body", "article", "main"):
-                if not HINTS.isdisjoint(_SPLIT.split((value or "").lower())):
+            if key in ("class", "id"):
+                hints = NO_ARTICLE if tag in ("article", "main") else HINTS if self.hints and tag not in ("html", "body") else ()
+                if not frozenset(hints).isdisjoint(_SPLIT.split((value or "").lower())):
                     return True
             elif key == "role" and (value or "").lower() in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
                 return True
@@ -129,20 +133,20 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(np.pad(ratios, reach, mode="edge"), bell / bell.sum(), "valid")
 
 
-def extract(html: str | None, sigma: float = SIGMA, threshold: float = THRESHOLD) -> str:
-    """The main text: blocks joined by an empty line."""
+def extract(html: str | None, sigma: float = SIGMA, threshold: float = THRESHOLD, hints: bool = True) -> str:
+    """The main text: blocks joined by an empty line. A page whose classes would leave nothing, as when they name the whole layout, is read without them."""
     if not html:
         return ""
     opened = html.rfind("<!--")
     if opened >= 0 and html.find("-->", opened) < 0:
         html = html[:opened]
-    parser = Lines()
+    parser = Lines(hints)
     parser.feed(html)
     parser.close()
     parser.line()
     lines = parser.lines
     if not lines:
-        return ""
+        return extract(html, sigma, threshold, False) if hints else ""
     ratios = smoothed(np.array([len(text) / max(1, tags) for text, tags, _, _ in lines]), sigma)
     content = ratios >= min(threshold * float(ratios.std()), float(ratios.max()))
     chosen = {region for (_, _, region, _), good in zip(lines, content, strict=True) if good}

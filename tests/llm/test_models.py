@@ -205,6 +205,8 @@ def test_html():
     assert extract(None) == extract("") == extract("<html><nav>x</nav></html>") == ""
     plain = "<body><div class=menu><a>a</a></div><div><p>" + "words " * 50 + "</p><p>end</p></div><div><a>x</a><a>y</a></div></body>"
     assert extract(plain) == ("words " * 50).strip() + "\n\nend"
+    assert extract('<div class="with-sidebar"><article>body text</article><article class="comment">no</article></div>') == "body text"
+    assert extract('<main>body text<article class="comment">no</article></main>') == "body text"
     assert extract("<p>unclosed <!-- never ends") == "unclosed"
     assert abs(smoothed(np.ones(5)) - 1).max() < 1e-12 and pa is not None
 
