@@ -158,19 +158,90 @@ def evidence(facts: FactCatalog, changes: DataFrame, kinds=tuple(EVIDENCE)) -> D
     return reduce(DataFrame.unionByName, [EVIDENCE[k](facts, changes).select(F.lit(k).alias("evidence"), "change_id", "ep") for k in kinds])
 
 
-def affected(facts: FactCatalog, changes: DataFrame, kinds=tuple(EVIDENCE)) -> DataFrame:
-    """ep, n_evidence, reasons of every affected entry point, with single-change tightening.
+DIRECT = ("entrypoint_body", "call_site", "callee_qid", "builtin_sources", "module_deps", "go_interface_dispatch", "handler_response_flow", "edges_one_hop")
 
-    With one change whose evidence has exactly one entry point by body, that one stays alone among those with structural evidence only
-    by body; otherwise all stay.
-    """
+
+def tightened(found: DataFrame, downstream: DataFrame | None = None) -> DataFrame:
+    """The evidence of a single change, narrowed where an entry point's body is hit: to that one if it is alone, else to direct evidence. Those that came downstream (ep) stay."""
+    bodies = found.where("evidence = 'entrypoint_body'").select("ep").distinct()
+    n = bodies.limit(2).count()
+    if not n:
+        return found
+    keep = bodies if n == 1 else found.where(F.col("evidence").isin(*DIRECT)).select("ep")
+    if downstream is not None:
+        keep = keep.unionByName(downstream.select("ep"))
+    return found.join(keep.distinct(), "ep", "left_semi")
+
+
+def affected(facts: FactCatalog, changes: DataFrame, kinds=tuple(EVIDENCE)) -> DataFrame:
+    """ep, ep_id, file, n_evidence, reasons of every affected entry point. A diff of one change is tightened."""
     found = evidence(facts, changes, kinds)
+    if changes.limit(2).count() == 1:
+        found = tightened(found)
     named = found.join(changes, "change_id").withColumn("reason", F.concat("evidence", F.lit(": "), P.trimmed(F.col("path")), F.lit(":"), "first_line", F.lit("-"), "last_line"))
     grouped = named.groupBy("ep").agg(F.countDistinct("evidence").alias("n_evidence"), F.array_join(F.array_sort(F.collect_set("reason")), "; ").alias("reasons"))
     entry = facts["entrypoints"].select(F.col("id").alias("ep"), "ep_id", "file")
     return grouped.join(entry, "ep").select("ep", "ep_id", "file", "n_evidence", "reasons")
 
 
+def downstream_seeds(found: DataFrame) -> DataFrame:
+    """ep, expands: the entry points from which impact goes on. Provenance alone is none; a structural seed that also has handler-response evidence is one that expands to nothing."""
+    handler = found.where("evidence = 'handler_response_flow'").select("ep").distinct().withColumn("handler", F.lit(True))
+    s = seeds(found).where("seed != 'provenance_only'").join(handler, "ep", "left")
+    return s.select("ep", (~((F.col("seed") == "structural") & F.coalesce("handler", F.lit(False)))).alias("expands"))
+
+
+def allowed_downstream(found: DataFrame, downstream: DataFrame) -> DataFrame:
+    """Downstream rows (ep), only among edges-only entry points where no seed is structural."""
+    s = seeds(found)
+    structural = s.where("seed = 'structural'").limit(1).count()
+    return downstream if structural else downstream.join(s.where("seed = 'edges_only'").select("ep"), "ep", "left_semi")
+
+
+def _module_paths(path):
+    """The dotted paths of a file, without its extension, and of its folder; dashes are underscores."""
+    dotted = F.replace(F.replace(P.trimmed(path), F.lit("/"), F.lit(".")), F.lit("-"), F.lit("_"))
+    module = F.regexp_replace(dotted, r"\.?[^.]*$", "")
+    return module, F.regexp_replace(module, r"\.?[^.]*$", "")
+
+
+def qualifier_matches_file(qual, path):
+    q = F.replace(F.replace(qual, F.lit("-"), F.lit("_")), F.lit("/"), F.lit("."))
+    module, package = _module_paths(path)
+    return ((module != "") & F.contains(q, module)) | ((package != "") & F.contains(q, package))
+
+
+def summary_downstream(facts: FactCatalog, seed_eps: DataFrame, hops: int = 2) -> DataFrame:
+    """seed, ep, file: entry points of functions that the seeds' functions call, by summary rows of the call graph (no ep_id), in at most two hops.
+
+    Functions meet by name and file name; from the second hop on also by qualifier. seed_eps: ep.
+    """
+    from ..functions.patterns import summary_function
+
+    entry = facts["entrypoints"]
+    if not facts.has("callgraph", "caller_func", "callee_fsig", "ep_id"):
+        return seed_eps.sparkSession.createDataFrame([], "seed long, ep long, file string")
+    rows = facts["callgraph"].where("ep_id is null").select("caller_func", "callee_fsig").distinct()
+    parts = {f"{side}_{k}": v for side, c in (("caller", "caller_func"), ("callee", "callee_fsig")) for k, v in summary_function(F.col(c)).items()}
+    rows = rows.select(*(v.alias(k) for k, v in parts.items())).where("caller_qual is not null and callee_qual is not null")
+    key = lambda side: F.concat(F.substring_index(f"{side}_qual", ".", -1), F.lit("|"), F.col(f"{side}_file"))
+    rows = rows.select("*", key("caller").alias("caller_key"), key("callee").alias("callee_key"))
+    start = seed_eps.select("ep").join(entry.select(F.col("id").alias("ep"), "file", "func_name"), "ep").where(P.present(F.col("func_name")))
+    frontier = start.select(F.col("ep").alias("seed"), F.concat("func_name", F.lit("|"), P.basename(F.col("file"))).alias("key"))
+    seen, called = frontier, None
+    for _ in range(hops):
+        step = frontier.join(rows, F.col("key") == F.col("caller_key")).select("seed", "callee_qual", "callee_file", "callee_start_line", "callee_end_line", "callee_key").distinct()
+        called = step if called is None else called.unionByName(step)
+        frontier = step.select("seed", F.col("callee_key").alias("key")).distinct().join(seen, ["seed", "key"], "left_anti")
+        seen = seen.unionByName(frontier)
+    go = entry.where(P.is_go(F.col("file"))).select(F.col("id").alias("ep"), "file", "func_name", "start_line", "end_line", P.basename(F.col("file")).alias("_base"))
+    c = called.distinct().withColumn("_base", P.basename(F.col("callee_file")))
+    hit = c.join(go, "_base").where(P.suffix(F.col("file"), F.col("callee_file")) & qualifier_matches_file(F.col("callee_qual"), F.col("file")))
+    good = P.overlaps(F.col("start_line"), F.col("end_line"), F.col("callee_start_line"), F.col("callee_end_line")) | (F.col("func_name") == F.substring_index("callee_qual", ".", -1))
+    ranked = hit.withColumn("level", F.when(F.coalesce(good, F.lit(False)), 0).otherwise(1)).withColumn("best", F.min("level").over(Window.partitionBy("seed", "callee_qual", "callee_file", "callee_start_line")))
+    return ranked.where("level = best and ep != seed").select("seed", "ep", "file").distinct()
+
+
 def evidence_counts(found: DataFrame) -> DataFrame:
     """How many entry points each kind of evidence has."""
     return found.groupBy("evidence").agg(F.countDistinct("ep").alias("n_eps"))

@@ -569,3 +569,64 @@ def f_regex(load):
 @query("SELECT conv_id AS stack, count(*) AS frames, max_by(role, turn) AS last_role FROM {conversations} GROUP BY conv_id")
 def g20_stacks(load):
     return load("conversations").groupBy(F.col("conv_id").alias("stack")).agg(F.count("*").alias("frames"), F.max_by("role", "turn").alias("last_role"))
+
+
+_ONE = "(SELECT * FROM {changes} WHERE change_id = 6)"
+_ONE_KINDS = {k: v.replace("{changes}", _ONE) for k, v in _KINDS.items()}
+
+
+@query("WITH v AS (" + " UNION ALL ".join(f"SELECT '{k}' AS evidence, ep FROM ({v}) x_{k}" for k, v in _ONE_KINDS.items()) + ") SELECT DISTINCT ep FROM v WHERE (SELECT count(DISTINCT ep) FROM v WHERE evidence = 'entrypoint_body') <> 1 OR ep IN (SELECT ep FROM v WHERE evidence = 'entrypoint_body')")
+def s13_single_change(load):
+    return impact.affected(catalog(load), load("changes").where("change_id = 6"), tuple(_KINDS)).select("ep")
+
+
+@query("SELECT ep, true AS expands FROM (SELECT ep, min(CASE WHEN evidence IN ('entrypoint_body','call_site','callee_qid','builtin_sources') THEN 0 WHEN evidence = 'edges_one_hop' THEN 1 ELSE 2 END) AS l FROM (" + _EVIDENCE + ") v GROUP BY ep) x WHERE l < 2")
+def s11_downstream_seeds(load):
+    return impact.downstream_seeds(impact.evidence(catalog(load), load("changes"), tuple(_KINDS)))
+
+
+@query("SELECT a.file AS a, b.file AS b FROM (SELECT DISTINCT file FROM {entrypoints}) a JOIN (SELECT DISTINCT ltrim(path, '/') AS file FROM {changes}) b ON ends_with(a.file, b.file) OR ends_with(b.file, a.file)")
+def j08_either_suffix(load):
+    a, b = load("entrypoints").select(F.col("file").alias("a")).distinct(), load("changes").select(P.trimmed(F.col("path")).alias("b")).distinct()
+    return a.join(b, P.either_suffix(F.col("a"), F.col("b")))
+
+
+@query("SELECT DISTINCT n.n_name, p.p_name FROM {nation} n JOIN {part} p ON contains(lower(p.p_name), lower(left(n.n_name, 3)))")
+def j09_substring(load):
+    n, p = load("nation").select("n_name"), load("part").select("p_name").distinct()
+    return p.join(n, F.instr(F.lower("p_name"), F.lower(F.left("n_name", F.lit(3)))) > 0).select("n_name", "p_name").distinct()
+
+
+@query("SELECT id, CASE WHEN o IS NULL OR o = '' THEN f ELSE o END AS file FROM (SELECT id, file AS f, CASE WHEN id % 3 = 0 THEN '' WHEN id % 3 = 1 THEN NULL ELSE 'kept' END AS o FROM {entrypoints}) x")
+def p12_update_where_empty(load):
+    old = F.when(F.col("id") % 3 == 0, "").when(F.col("id") % 3 == 1, F.lit(None).cast("string")).otherwise("kept")
+    return load("entrypoints").select("id", old.alias("o"), "file").select("id", F.when(~F.coalesce(P.present(F.col("o")), F.lit(False)), F.col("file")).otherwise(F.col("o")).alias("file"))
+
+
+_STACK = "SELECT DISTINCT finding, CAST(line % 3 AS INT) AS idx, file, CAST(30 * (line % 3) AS INT) AS start_line, CAST(30 * (line % 3) + 45 AS INT) AS end_line FROM {steps} WHERE tag = 'CALL: '"
+_FRAMED = "SELECT s.finding, s.pos, s.tag, max(k.idx) AS frame FROM {steps} s LEFT JOIN (" + _STACK + ") k ON k.finding = s.finding AND k.file = s.file AND s.line BETWEEN k.start_line AND k.end_line GROUP BY s.finding, s.pos, s.tag, s.file, s.line"
+
+
+def _stack(load):
+    line = F.col("line")
+    return load("steps").where("tag = 'CALL: '").select("finding", (line % 3).cast("int").alias("idx"), "file", (30 * (line % 3)).cast("int").alias("start_line"), (30 * (line % 3) + 45).cast("int").alias("end_line")).distinct()
+
+
+@query("SELECT finding, pos, tag, coalesce(frame, -1) AS frame FROM (" + _FRAMED + ") f")
+def j13_innermost_frame(load):
+    return trace.frames(load("steps"), _stack(load)).select("finding", "pos", "tag", F.coalesce("frame", F.lit(-1)).alias("frame"))
+
+
+@query("SELECT finding, pos FROM (SELECT *, coalesce(lead(gone) OVER (PARTITION BY finding ORDER BY pos), false) AS nxt FROM (SELECT *, tag = 'ARG PASS: ' AND frame IS NOT NULL AND row_number() OVER (PARTITION BY finding, frame, tag ORDER BY pos) > 1 AS gone FROM (" + _FRAMED + ") f) x) y WHERE NOT gone AND NOT (tag = 'CALL: ' AND nxt)")
+def w07_first_pass_per_frame(load):
+    return trace.first_pass_per_frame(trace.frames(load("steps"), _stack(load))).select("finding", "pos")
+
+
+@query("SELECT finding, pos FROM (SELECT *, lead(tag) OVER w AS nt, lead(frame) OVER w AS nf, lag(tag) OVER w AS pt, lag(frame) OVER w AS pf FROM (" + _FRAMED + ") f WINDOW w AS (PARTITION BY finding ORDER BY pos)) x WHERE NOT (frame IS NULL AND tag = 'CALL: ' AND coalesce(nt = 'ARG PASS: ' AND nf IS NULL, false)) AND NOT (frame IS NULL AND tag = 'ARG PASS: ' AND coalesce(pt = 'CALL: ' AND pf IS NULL, false))")
+def w06_foreign_callbacks(load):
+    return trace.without_foreign_callbacks(trace.frames(load("steps"), _stack(load))).select("finding", "pos")
+
+
+@query("SELECT f.finding, e >= 1 AND coalesce(n, 1) >= e + 1 AS valid FROM (SELECT finding, count(DISTINCT CASE WHEN tag = 'ARG PASS: ' AND frame >= 1 THEN frame END) + sum(CASE WHEN tag = 'SINK: ' THEN 1 ELSE 0 END) AS e FROM (" + _FRAMED + ") f GROUP BY finding) f LEFT JOIN (SELECT finding, count(DISTINCT idx) + 1 AS n FROM (" + _STACK + ") k GROUP BY finding) k ON k.finding = f.finding")
+def w08_edge_invariant(load):
+    return trace.edge_invariant(trace.frames(load("steps"), _stack(load)), _stack(load))
