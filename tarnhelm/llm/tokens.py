@@ -21,6 +21,7 @@ doc_ids are neighbours, ordered by their ids' bytes. An empty table makes no blo
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -38,7 +39,9 @@ END_ID = 1
 #: Ids in a block at most, unless one document has more.
 BLOCK_IDS = 1 << 20
 #: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
+#: Words that are given to the tokenizer as one text, with a special token between them.
+TOGETHER = 2000
 
 BLOCKS = "shard int, block int, doc_ids array<long>, counts array<int>, control binary, data binary"
 
@@ -55,21 +58,44 @@ class Encoder:
     def __init__(self, name: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(vocabulary_path(name))
+        special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
+        self.cut_id, self.cut = min(special, default=(None, None))
         self.size = self.tokenizer.get_vocab_size()
         self.known = np.zeros(0, W.U)  # sorted hashes
         self.at = np.zeros(1, np.int64)  # words' ids: ids[at[i]:at[i + 1]]
         self.ids = np.zeros(0, np.uint32)
 
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of the words ``texts``. The special token between words cuts the text before any other step, so each word is encoded as if alone."""
+        plain = [i for i, x in enumerate(texts) if self.cut is not None and "<|" not in x and self.cut not in x]
+        counts = np.zeros(len(texts), np.int64)
+        found: list[np.ndarray] = []
+        joined = [self.cut.join(texts[i] for i in plain[k : k + TOGETHER]) for k in range(0, len(plain), TOGETHER)]
+        for k, x in zip(range(0, len(plain), TOGETHER), self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(x.ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.cut_id)
+            counts[plain[k : k + TOGETHER]] = np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
+            found.append(np.delete(ids, cuts))
+        order = list(plain)
+        for i in sorted(set(range(len(texts))) - set(plain)):
+            ids = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+            counts[i] = len(ids)
+            order.append(i)
+            found.append(ids)
+        ids = np.concatenate(found) if found else np.zeros(0, np.uint32)
+        start = np.zeros(len(texts), np.int64)
+        start[order] = np.cumsum(counts[order]) - counts[order]
+        return ids[_ranges(start, counts)], counts
+
     def _learn(self, h: np.ndarray, texts: list[str]) -> None:
-        found = [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        n = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter((x for y in found for x in y), np.uint32, int(n.sum()))
+        ids, n = self._ids(texts)
         if len(self.known) > CACHE_WORDS:
             self.known, self.at, self.ids = np.zeros(0, W.U), np.zeros(1, np.int64), np.zeros(0, np.uint32)
         h, n = np.concatenate([self.known, h]), np.concatenate([np.diff(self.at), n])
         starts, ids = np.cumsum(n) - n, np.concatenate([self.ids, ids])
-        order = np.argsort(h)
+        order = np.argsort(h, kind="stable")  # two sorted runs
         self.known, self.ids = h[order], ids[_ranges(starts[order], n[order])]
         self.at = np.concatenate([[0], np.cumsum(n[order])])
 
