@@ -160,11 +160,11 @@ def p09_go_files(load):
     return load("entrypoints").where(P.is_go(F.col("file"))).groupBy("file").agg(F.count("*").alias("n"))
 
 
-@query("SELECT a.id AS ep, b.id AS other FROM {entrypoints} a JOIN {entrypoints} b ON a.func_name IS NOT DISTINCT FROM b.func_name AND a.file IS NOT DISTINCT FROM b.file AND a.start_line IS NOT DISTINCT FROM b.start_line AND a.id < b.id")
+@query("SELECT a.id AS ep, b.id AS other FROM {entrypoints} a JOIN {entrypoints} b ON a.func_name IS NOT DISTINCT FROM b.func_name AND a.file IS NOT DISTINCT FROM b.file AND a.id < b.id")
 def p10_null_safe_equal(load):
-    a = load("entrypoints").select("id", "func_name", "file", "start_line")
-    b = a.toDF("other", "f2", "p2", "l2")
-    return a.join(b, F.col("func_name").eqNullSafe(F.col("f2")) & F.col("file").eqNullSafe(F.col("p2")) & F.col("start_line").eqNullSafe(F.col("l2")) & (F.col("id") < F.col("other"))).select(F.col("id").alias("ep"), "other")
+    a = load("entrypoints").select("id", "func_name", "file")
+    b = a.toDF("other", "f2", "p2")
+    return a.join(b, F.col("func_name").eqNullSafe(F.col("f2")) & F.col("file").eqNullSafe(F.col("p2")) & (F.col("id") < F.col("other"))).select(F.col("id").alias("ep"), "other")
 
 
 @query("SELECT e.id, coalesce(d.dep_kind, e.framework) AS framework FROM {entrypoints} e LEFT JOIN {module_deps} d ON d.consumer_ep_id = e.id")
