@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by additive quantisation, nearest by the largest inner product.
 
 Index. A vector is the sum of one word from each of ``BOOKS`` codebooks, all of full dimension. Codebooks start as k-means of
-the residuals of a bounded, documented sample (the ``SAMPLE`` vectors of the least hash) and are then refitted together by least
-squares. Encoding is a beam search: ``BEAM`` sums are kept from codebook to codebook. The index holds every vector's codes, one
+the residuals of a bounded, documented sample (the ``SAMPLE`` vectors of the least hash) and are then refitted in turn to what the
+others leave. Encoding is a beam search: ``BEAM`` sums are kept from codebook to codebook. The index holds every vector's codes, one
 byte a codebook, and the squared norm of its sum.
 
 Search. A query's inner products with all words are a table of 256 entries a codebook; a vector's score is the sum of the entries at its
@@ -21,6 +21,7 @@ result. Extra columns aren't read.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -32,16 +33,24 @@ from pyspark.sql import functions as F
 from .common import written
 
 BOOKS, WORDS, BEAM, SAMPLE, RERANK, QUERY_BLOCK, PIECE = 16, 256, 4, 8192, 400, 4096, 262_144
-ENCODE_ROWS = 2048
+ENCODE_ROWS, SWEEPS = 2048, 3
 
 
 class Codebooks:
     def __init__(self, books: np.ndarray):
         self.books = books.astype(np.float32)  # codebook x word x dimension
-        flat = self.books.reshape(-1, books.shape[2])
-        self.dots = (flat @ flat.T).reshape(len(books), books.shape[1], len(books), books.shape[1])
         self.norms = np.einsum("mkd,mkd->mk", self.books, self.books)
 
+    def __reduce__(self):
+        return Codebooks, (self.books,)
+
+    @functools.cached_property
+    def dots(self) -> np.ndarray:
+        """Inner products of all words; only encoding needs them."""
+        flat = self.books.reshape(-1, self.books.shape[2])
+        m, k, _ = self.books.shape
+        return (flat @ flat.T).reshape(m, k, m, k)
+
     def encode(self, x: np.ndarray, beam: int = BEAM) -> np.ndarray:
         """Codes, vector x codebook: of the sums that a beam search keeps, the nearest."""
         x = x.astype(np.float32)
@@ -85,19 +94,18 @@ def train(sample: np.ndarray, books: int = BOOKS, words: int = WORDS) -> Codeboo
         found.append(centres)
         rest = rest - centres[((centres * centres).sum(axis=1) - 2 * rest @ centres.T).argmin(axis=1)]
     made = Codebooks(np.stack(found))
-    # All codebooks anew for the codes of the beam search: least squares with a little ridge.
-    codes = np.concatenate([made.encode(sample[i : i + ENCODE_ROWS]) for i in range(0, len(sample), ENCODE_ROWS)]).astype(np.int64) + np.arange(books) * words
-    size = books * words
-    both = np.zeros(size * size)
-    for i in range(books):
-        for j in range(books):
-            both += np.bincount(codes[:, i] * size + codes[:, j], minlength=size * size)
-    right = np.zeros((size, sample.shape[1]))
-    for i in range(books):
-        np.add.at(right, codes[:, i], sample)
-    prior = made.books.reshape(size, -1).astype(float)
-    solved = prior + np.linalg.solve(both.reshape(size, size) + np.eye(size), right - both.reshape(size, size) @ prior)
-    return Codebooks(solved.reshape(books, words, -1))
+    # Codebooks anew for the codes of the beam search, one after another: each word is the mean of what the others leave of its vectors.
+    codes = np.concatenate([made.encode(sample[i : i + ENCODE_ROWS]) for i in range(0, len(sample), ENCODE_ROWS)])
+    fitted = made.books.copy()
+    rest = sample.astype(np.float32) - made.sums(codes)
+    for _ in range(SWEEPS):
+        for i in range(books):
+            rest += fitted[i][codes[:, i]]
+            n = np.bincount(codes[:, i], minlength=words)
+            order, some = np.argsort(codes[:, i], kind="stable"), np.flatnonzero(n)
+            fitted[i][some] = np.add.reduceat(rest[order], (np.cumsum(n) - n)[some]) / n[some, None]
+            rest -= fitted[i][codes[:, i]]
+    return Codebooks(fitted)
 
 
 def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
