@@ -25,7 +25,7 @@ from .common import written
 
 WEIGHTS, CAP = (1.0, 2.0, 3.0), 3.0
 #: Documents that a bucket has about.
-BUCKET_ROWS = 10_000
+BUCKET_ROWS = 2_000
 
 
 def word_count(text: str) -> Column:
@@ -54,11 +54,10 @@ def targets(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP, share: float =
     return open_.select("source", "source_size", F.coalesce("target", F.col("weight") * F.lit(last or 0.0)).alias("target"))
 
 
-def _placed(docs: DataFrame, weights, cap: float, share: float, seed: int) -> DataFrame:
-    """_row, source, size, target, source_size, before (words of the source before this document)."""
-    key = F.xxhash64(F.lit(seed), F.col("_row.doc_id").cast("long"))
-    rows = docs.select(F.struct("*").alias("_row"))
-    rows = rows.select("_row", F.col("_row.source").alias("source"), word_count("_row.text").alias("size"), key.alias("key"), F.xxhash64("_row.text").alias("tie"))
+def _placed(docs: DataFrame, carry: Column, weights, cap: float, share: float, seed: int) -> DataFrame:
+    """_row (``carry``), size, target, source_size, before (words of the source before this document)."""
+    id_ = F.col("doc_id").cast("long")
+    rows = docs.select(carry.alias("_row"), id_.alias("id"), F.col("source"), word_count("text").alias("size"), F.xxhash64(F.lit(seed), id_).alias("key"), F.xxhash64("text").alias("tie"))
     counted = docs.count()
     buckets = max(1, math.ceil(counted / BUCKET_ROWS))
     # The key's upper 32 bits as a number from 0, times buckets, divided by 2 ** 32: ranges of the key, in its order.
@@ -70,7 +69,7 @@ def _placed(docs: DataFrame, weights, cap: float, share: float, seed: int) -> Da
     goals = goals.withColumn("src", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).drop("source")
     earlier = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     facts = sums.select("src", "bucket", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("offset")).join(goals, "src")
-    within = Window.partitionBy("src", "bucket").orderBy("key", "_row.doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("src", "bucket").orderBy("key", "id", "tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("in_bucket", F.coalesce(F.sum("size").over(within), F.lit(0)))
     joined = placed.join(facts, ["src", "bucket"])
     return joined.select("_row", "size", "source_size", "target", (F.col("offset") + F.col("in_bucket")).alias("before"))
@@ -87,8 +86,7 @@ def _budgets(placed: DataFrame) -> DataFrame:
 
 def allot(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, share: float = 1.0, seed: int = 0) -> DataFrame:
     """doc_id, size, source_size, target, taken (words), epochs (whole ones), part (words of the last epoch)."""
-    narrow = docs.select("doc_id", "source", "text")
-    got = _budgets(_placed(narrow, weights, cap, share, seed))
+    got = _budgets(_placed(docs, F.struct("doc_id"), weights, cap, share, seed))  # no text is shuffled
     taken = F.col("epochs") * F.col("size") + F.col("part")
     return got.select(F.col("_row.doc_id").alias("doc_id"), "size", "source_size", "target", taken.alias("taken"), "epochs", "part")
 
@@ -99,6 +97,6 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, share: float = 1.0,
     Documents are whole, so a source is off its budget by half a document at most. A document without words comes as
     often as its source has whole epochs.
     """
-    got = _budgets(_placed(docs, weights, cap, share, seed))
+    got = _budgets(_placed(docs, F.struct("*"), weights, cap, share, seed))
     times = F.col("epochs") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
     return got.withColumn("times", times.cast("int")).where("times > 0").select("_row", F.explode(F.sequence(F.lit(1), "times"))).select("_row.*")
