@@ -114,13 +114,14 @@ def repeats(docs: DataFrame, width: int = WIDTH, k: int = ANCHOR) -> DataFrame:
     keyed = _keyed(docs)
     units = keyed.select("doc", "part", "text").where(F.length("text") >= 2 * width - 1).mapInArrow(_units(width, k), UNITS)
     # Anchors that occur once have no partner: they go before anything is joined.
-    often = units.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    # Written, so that the join deals both sides itself and can split an anchor that a large part of all rows has.
+    often = written(units.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "anchors")
     seeds = written(units.join(often, "anchor", "left_semi"), "seeds")
     place = F.struct("doc", "part", "pos")
     firsts = seeds.groupBy("unit").agg(F.min(F.struct("doc", "part", "pos", "n", "anchor")).alias("first"), F.count("*").alias("c"))
     firsts = written(firsts, "firsts")
     again = seeds.join(firsts.where("c > 1").select("unit", F.struct("first.doc", "first.part", "first.pos").alias("at")), "unit").where(place != F.col("at")).select("doc", "part", "pos", "n")
-    open_anchors = firsts.groupBy(F.col("first.anchor").alias("anchor")).agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    open_anchors = written(firsts.groupBy(F.col("first.anchor").alias("anchor")).agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "anchors")
     open_units = firsts.select("first.*").join(open_anchors, "anchor", "left_semi")
     by_doc = open_units.groupBy("doc", "part").agg(F.collect_list(F.struct("pos", "n")).alias("units"))  # one document's
     texts = keyed.select("doc", "part", "text")
