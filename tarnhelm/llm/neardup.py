@@ -8,10 +8,12 @@ all texts of a step; a shingle stops when its next arrival is later than all com
 
 ``BANDS`` bands of ``ROWS`` components are the buckets: texts of similarity 0.8 meet in one with probability
 1 - (1 - 0.8 ** 4) ** 20 = 0.99998. Texts are compared once they are distinct: exact copies are one node, by digest. In a
-bucket every text is compared with two others, its leaders, so a bucket of n texts makes fewer than 2 n pairs. Verified links join
-into components; a bucket that still holds several gets new leaders, by another order, as long as this finds links. Pairs
-are estimated from the signatures first (a pair of 0.8 has an estimate of under 0.5 with probability 1e-9), then verified
-exactly: Jaccard or probability Jaccard of ``SIMILARITY`` or more. A class is a component.
+bucket some texts, its leaders, are compared with all texts of other components, and then leave the bucket, as all their pairs
+are settled. Verified links join into components. A bucket whose texts are of one component is done; any other gets new leaders,
+four times as many each turn, whether or not the last ones found links. So each two texts of a bucket are compared or in one
+component at the end: about 2 n pairs for n copies of a text, at most all pairs for n texts that are alike but below the
+threshold. Pairs are estimated from the signatures first (a pair of 0.8 has an estimate of under 0.5 with probability 1e-9),
+then verified exactly: Jaccard or probability Jaccard of ``SIMILARITY`` or more. A class is a component.
 
 Defined cases: a null text is in no class but its own, whose id is its doc_id. Equal texts are one class, empty
 ones too; an empty text is like no other. Null doc_ids join classes but aren't ids, unless no other is there.
@@ -32,6 +34,8 @@ from .common import drop_path, pieces, written
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
 ESTIMATE = 0.5
+#: Leaders of a bucket in the first turn, four times as many in each that follows; texts of a part of a large bucket.
+LEADERS, PART = 2, 4096
 
 
 def shingles(column: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,20 +80,31 @@ def signatures(text: np.ndarray, h: np.ndarray, weight: np.ndarray, texts: int,
     return winner.reshape(texts, m).astype(np.uint32)
 
 
-SKETCH = "doc_id long, key binary, sketch array<int>"
+SKETCH = "doc_id long, key binary, bands array<long>, bytes array<long>"
 
 
-def _sketch(m: int, k: int):
+def _sketch(bands: int, rows: int, k: int):
+    """bands: a hash of each band's components; bytes: the last byte of each component, eight in a long. Both are empty for a text without words."""
+    m = bands * rows
+    width = -(-m // 8) * 8
+
+    def lists(values: np.ndarray, has: np.ndarray) -> pa.ListArray:
+        offsets = np.concatenate([[0], np.cumsum(np.where(has, values.shape[1], 0))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[has].reshape(-1)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             text, h, weight = shingles(batch["text"], k)
             n = batch.num_rows
-            made = signatures(text, h, weight, n, m).view(np.int32)
+            made = signatures(text, h, weight, n, m)
             has = np.zeros(n, bool)
             has[text] = True
-            offsets = np.concatenate([[0], np.cumsum(np.where(has, m, 0))]).astype(np.int32)
-            arrays = pa.ListArray.from_arrays(pa.array(offsets), pa.array(made[has].reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], arrays], ["doc_id", "key", "sketch"])
+            value = np.zeros((n, bands), W.U)
+            for j in range(rows):
+                value = W.mix(value ^ made[:, j::rows].astype(W.U))
+            low = np.zeros((n, width), np.uint8)
+            low[:, :m] = made
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], lists(value.view(np.int64), has), lists(low.view(np.int64), has)], ["doc_id", "key", "bands", "bytes"])
 
     return run
 
@@ -153,52 +168,82 @@ def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return written(nodes.join(over, "component", "left").select("node", F.coalesce("_to", "component").alias("component")), "labels")
 
 
-def classes(docs: DataFrame, k: int = WORDS, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, doc_key (digest of the text), class_id (the least doc_id of the class), class_size."""
-    m = bands * rows
+def _compared(members: DataFrame, sketches: DataFrame, texts: DataFrame, m: int, threshold: float, k: int) -> DataFrame | None:
+    """node, component of the linked texts: any two of a bucket in ``members`` (bucket, key) that are similar are in one component."""
+    spark = members.sparkSession
+    active, labels, rejected, turn = members, None, None, 0
+    while True:
+        if labels is None:
+            placed = active.select("bucket", "key", F.col("key").alias("component"))
+        else:
+            placed = active.join(labels.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("component"))
+        order = F.xxhash64(F.lit(turn), "key")
+        # A bucket is done when the texts that have not led yet are of one component.
+        open_ = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(order.alias("o"), "key")).alias("least"), F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low != _high").select("bucket", "n", F.col("least.key").alias("least"))
+        # The text that is first by this turn's order leads, and about so many more: an even share of the bucket, all of a small one.
+        leads = (F.col("key") == F.col("least")) | (F.pmod(order, F.lit(1 << 32)) * F.col("n") < F.lit(float(LEADERS * 4**turn)) * F.lit(float(1 << 32)))
+        now = written(placed.join(open_, "bucket").select("bucket", "key", "component", "n", leads.alias("leads")), "active")
+        if turn:
+            drop_path(spark, active.inputFiles()[0].rpartition("/")[0])
+        if not now.limit(1).count():
+            return labels
+        # Large buckets are dealt in parts; leaders go to each part.
+        parts = F.ceil(F.col("n") / PART).cast("int")
+        leaders = now.where("leads").select("bucket", F.col("key").alias("lead"), F.col("component").alias("lead_component"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        dealt = now.withColumn("part", F.pmod(F.xxhash64("key"), parts).cast("int"))
+        pairs = dealt.join(leaders, ["bucket", "part"]).where(F.col("component") != F.col("lead_component")).select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
+        side = lambda c: sketches.select(F.col("key").alias(c), F.col("bytes").alias(f"_{c}"))
+        close = pairs.join(side("a"), "a").join(side("b"), "b").where(_differing("_a", "_b", m) <= (1 - ESTIMATE) * m).select("a", "b")
+        if rejected is not None:
+            close = close.join(rejected, ["a", "b"], "left_anti")
+        close = written(close, "close")
+        full = close.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+        new = written(full.select("a", "b", "text_a", "text_b").mapInArrow(_verify(threshold, k), "a binary, b binary"), "new")
+        not_linked = close.join(new, ["a", "b"], "left_anti")
+        rejected = not_linked if rejected is None else rejected.union(not_linked)
+        if new.limit(1).count():
+            labels = joined(labels, new)
+        active = now.where("not leads").select("bucket", "key")
+        turn += 1
+
+
+def _differing(a: str, b: str, m: int):
+    """In how many of ``m`` bytes two arrays of longs differ."""
+    total = F.lit(0)
+    for i in range(-(-m // 8)):
+        x = F.element_at(a, i + 1).bitwiseXOR(F.element_at(b, i + 1))
+        for shift in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    return total
+
+
+def _classes(docs: DataFrame, k: int = WORDS, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``classes`` with component: the least doc_key of the class, null for a null text. Unlike class_id, it is one class's alone."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5("text")).alias("key"), "text")
-    sketched = keyed.where("text is not null").mapInArrow(_sketch(m, k), SKETCH)
-    nodes = written(sketched.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("sketch").alias("sketch")), "nodes")
-    band = lambda i: F.xxhash64(F.lit(i), *(F.element_at("sketch", i * rows + j + 1) for j in range(rows)))
-    buckets = nodes.where(F.size("sketch") > 0).select("key", F.explode(F.array(*map(band, range(bands)))).alias("bucket"))
+    sketched = keyed.where("text is not null").mapInArrow(_sketch(bands, rows, k), SKETCH)
+    nodes = written(sketched.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes")), "nodes")
+    buckets = nodes.select("key", F.posexplode("bands").alias("band", "value")).select("key", F.xxhash64("band", "value").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = written(buckets.join(shared, "bucket", "left_semi"), "members")
     wanted = members.select("key").distinct()
     # The texts that met another, once each.
     texts = written(keyed.where("text is not null").join(nodes.select(F.col("key"), F.col("least")).join(wanted, "key", "left_semi"), "key").where(F.col("doc_id").eqNullSafe(F.col("least"))).select("key", "text").groupBy("key").agg(F.first("text").alias("text")), "texts")
-    sketches = nodes.select("key", "sketch").join(wanted, "key", "left_semi")
-    tested = labels = None
-    turn = 0
-    while True:
-        active = members.withColumn("component", F.col("key")) if labels is None else members.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-        order = F.struct(F.xxhash64(F.lit(turn), "key").alias("o"), "key", "component")
-        if labels is not None:  # one text of each component of a bucket, another one each turn
-            active = active.groupBy("bucket", "component").agg(F.min(order).alias("x")).select("bucket", "component", F.col("x.key").alias("key"))
-        two = F.explode(F.array("first", "last")).alias("lead")
-        leaders = active.groupBy("bucket").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).where("n > 1").select("bucket", two).select("bucket", F.col("lead.key").alias("lead"), F.col("lead.component").alias("lead_component"))
-        pairs = active.join(leaders, "bucket").where(F.col("component") != F.col("lead_component")).select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        pairs = written(pairs, "pairs")
-        close = pairs.join(sketches.select(F.col("key").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("key").alias("b"), F.col("sketch").alias("sb")), "b").where(agree >= ESTIMATE * m).select("a", "b")
-        full = close.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-        new = written(full.select("a", "b", "text_a", "text_b").mapInArrow(_verify(threshold, k), "a binary, b binary"), "new")
-        found = new.limit(1).count()
-        tested = pairs if tested is None else tested.union(pairs)
-        turn += 1
-        if found:
-            labels = joined(labels, new)
-        if not found and turn > 1 or labels is None:
-            break
+    sketches = nodes.select("key", "bytes").join(wanted, "key", "left_semi")
+    labels = _compared(members, sketches, texts, bands * rows, threshold, k)
     if labels is None:
-        grouped = nodes.select("key", F.col("least").alias("class_id"), F.col("copies").alias("class_size"))
+        grouped = nodes.select("key", F.col("key").alias("component"), F.col("least").alias("class_id"), F.col("copies").alias("class_size"))
     else:
         placed = nodes.select("key", "least", "copies").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
         facts = placed.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
-        grouped = placed.select("key", "component").join(facts, "component").select("key", "class_id", "class_size")
+        grouped = placed.select("key", "component").join(facts, "component").select("key", "component", "class_id", "class_size")
     out = keyed.select("doc_id", "key").join(grouped, "key", "left")
-    return out.select("doc_id", F.col("key").alias("doc_key"), F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+    return out.select("doc_id", F.col("key").alias("doc_key"), "component", F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+
+
+def classes(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, doc_key (digest of the text), class_id (the least doc_id of the class), class_size."""
+    return _classes(docs, **options).drop("component")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:

@@ -239,3 +239,29 @@ def test_pipeline_stages(spark, tmp_path):
     assert sum(2000 + i in seen[0] for i in range(0, 200, 4)) <= 3 and sum(2000 + i in seen[0] for i in range(1, 200, 4)) >= 48
     assert 100 in seen[0] and 100 not in seen[1] and 10 in seen[1] and 10 not in seen[2]
     assert len(seen[3]) == len(seen[4])
+
+
+def star(rng: random.Random, n: int = 120, words: int = 400, changed: int = 8) -> list[tuple]:
+    """A text, and copies that each are over 0.8 like it, but under 0.8 like each other."""
+    base = sentence(rng, words).split()
+    table = [(0, " ".join(base), "en", "s", 1)]
+    for i in range(1, n):
+        copy = list(base)
+        for at in rng.sample(range(0, words, 6), changed):
+            copy[at] = f"new{rng.randrange(10**9)}"
+        table.append((i, " ".join(copy), "en", "s", 1))
+    return table
+
+
+def test_copies_that_only_resemble_their_original_are_one_class(spark, monkeypatch):
+    from tarnhelm.llm import neardup as N
+
+    table = star(random.Random(5))
+    assert len(exact_classes(table[:1] + table[1:12])) == 12 and set(c for _, c in exact_classes(table)) == {0}
+    assert len(set(c for _, c in exact_classes(table[1:]))) > 100
+    docs = spark.createDataFrame(table, SCHEMA)
+    monkeypatch.setattr(N, "PART", 16, raising=False)  # a large bucket is dealt in parts
+    # One row a band: all texts share buckets, so that nothing is left to chance.
+    got = Counter((r.doc_id, r.class_id) for r in N.classes(docs, bands=20, rows=1).collect())
+    assert got == exact_classes(table)
+    assert Counter((r.doc_id, r.class_id) for r in N.classes(docs.where("doc_id > 0"), bands=20, rows=1).collect()) == exact_classes(table[1:])
