@@ -247,10 +247,10 @@ def classes(docs: DataFrame, **options) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each class, that of the least doc_id; of its repeated rows, one. All columns stay. Null texts stay."""
-    found = classes(docs.select("doc_id", "text"), **options).where("doc_key is not null")
+    """``docs`` with one document of each class, that of the least doc_id, then doc_key; of its repeated rows, one. All columns stay. Null texts stay."""
+    found = _classes(docs.select("doc_id", "text"), **options).where("doc_key is not null")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "doc_key"))
-    keep = found.groupBy("class_id").agg(best.alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.doc_key").alias("_key"))
+    keep = found.groupBy("component").agg(best.alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.doc_key").alias("_key"))
     packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc_id"), F.unhex(F.md5("text")).alias("_doc_key"))
     kept = packed.join(keep, packed["_doc_key"].eqNullSafe(keep["_key"]) & packed["_doc_id"].eqNullSafe(keep["_id"]), "left_semi")
     if docs.groupBy(F.col("doc_id")).count().where("count > 1").limit(1).count():

@@ -265,3 +265,13 @@ def test_copies_that_only_resemble_their_original_are_one_class(spark, monkeypat
     got = Counter((r.doc_id, r.class_id) for r in N.classes(docs, bands=20, rows=1).collect())
     assert got == exact_classes(table)
     assert Counter((r.doc_id, r.class_id) for r in N.classes(docs.where("doc_id > 0"), bands=20, rows=1).collect()) == exact_classes(table[1:])
+
+
+def test_classes_without_ids_or_with_the_same_id_keep_a_text_each(spark):
+    from tarnhelm.llm import neardup as N
+
+    rng = random.Random(6)
+    texts = [sentence(rng, 60) for _ in range(8)]
+    table = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2] + " more"), (4, texts[2]), (5, texts[3]), (5, texts[4]), (6, texts[5]), (None, texts[5]), (None, None)]
+    kept = N.drop_near_duplicates(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in table], SCHEMA)).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(None, texts[0]), (None, texts[1]), (4, texts[2]), (5, texts[3]), (5, texts[4]), (6, texts[5]), (None, None)])
