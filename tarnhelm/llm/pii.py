@@ -1,14 +1,18 @@
 """Personal data: patterns for direct identifiers, and information-theoretic sanitisation of terms that reveal them.
 
 Direct identifiers are e-mail addresses, IPv4 addresses, payment cards and phone numbers, found by pattern. Each is a
-protected entity. Terms are words of letters or digits, lower-cased; those within ``CONTEXT`` words of an entity's
-mention co-occur with it. Over all documents, with p by documents,
+protected entity. Terms are words of ``TERM_LENGTH`` letters or digits or more, lower-cased; all terms of a document co-occur
+with the entities it mentions, however far away. Over all documents, with p by documents,
 
     PMI(entity; term) = log p(entity, term) / (p(entity) p(term)) = IC(entity) + log p(entity | term)
 
 and a term discloses the entity if PMI is ``DISCLOSURE`` of the entity's information content IC or more: p(entity | term)
 >= p(entity) ** (1 - DISCLOSURE). Pairs seen in fewer than ``SUPPORT`` documents are no evidence. A disclosing term is
-generalised beside each mention of its entity: words to ``[TERM]``, numbers to ``[NUMBER]``; direct identifiers to their kind.
+generalised at every place of the documents that mention its entity: words to ``[TERM]``, numbers to ``[NUMBER]``; direct
+identifiers to their kind.
+
+Pairs are counted only where they can pass: the entity is in ``SUPPORT`` documents or more, and the term in no more than
+n(entity) / p(entity) ** (1 - DISCLOSURE), as both together are in n(entity) at most. This drops no pair that would disclose.
 
 Defined cases: a null text is an empty one, without spans; ``sanitise`` leaves it null. Rows with the same doc_id and text
 are one document for the counts and get equal results each. A term that overlaps an identifier is left out. An empty table
@@ -23,14 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
 from .common import pieces, written
 
 KINDS = ("email", "ip", "card", "phone")
-CONTEXT, SUPPORT, DISCLOSURE, TERM_LENGTH = 8, 3, 0.7, 3
+SUPPORT, DISCLOSURE, TERM_LENGTH = 3, 0.7, 3
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -92,7 +96,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return [(kind, a, b) for kind, find in FINDERS.items() for a, b in find(text)]
 
 
-SCAN = "doc_id long, doc_key long, spans array<struct<kind:string,begin:int,end:int>>, near array<struct<entity:long,term:long,begin:int,end:int>>"
+SCAN = "doc_id long, doc_key long, spans array<struct<kind:string,begin:int,end:int>>, entities array<long>, text string"
+#: Of each term of a text, where it begins and ends.
+TERMS = "doc_key long, term long, begins array<int>, ends array<int>"
 
 
 def _hash64(raw: bytes) -> int:
@@ -106,40 +112,48 @@ def _entity(kind: str, text: str) -> int:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text is kept where it has an identifier."""
     kind_span = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int32()), ("end", pa.int32())]))
-    kind_near = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("begin", pa.int32()), ("end", pa.int32())]))
     for batch in pieces(batches, "text"):
         spans: list[list] = []
-        near: list[list] = []
+        entities: list[list] = []
+        texts: list[str | None] = []
         for text in batch["text"].to_pylist():
             found = base_spans(text or "")
             spans.append([{"kind": k, "begin": a, "end": b} for k, a, b in found])
-            near.append(_near(text, found) if found else [])
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["doc_key"], pa.array(spans, kind_span), pa.array(near, kind_near)], ["doc_id", "doc_key", "spans", "near"])
+            entities.append(sorted({_entity(k, text[a:b]) for k, a, b in found}))
+            texts.append(text if found else None)
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["doc_key"], pa.array(spans, kind_span), pa.array(entities, pa.list_(pa.int64())), pa.array(texts, pa.string())], ["doc_id", "doc_key", "spans", "entities", "text"])
 
 
-def _near(text: str, found: list[tuple[str, int, int]]) -> list[dict]:
-    """The terms around each mention, with the hash that ``_term_counts`` gives them."""
-    at = np.array([m.span() for m in _WORD.finditer(text)], np.int64).reshape(-1, 2)
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each term of a text outside its identifiers, with the hash that ``_term_counts`` gives it."""
+    names = [x.split()[0] for x in TERMS.split(", ")]
+    for batch in pieces(batches, "text"):
+        for row in range(batch.num_rows):
+            text = batch["text"][row].as_py()
+            free = _free(text, [(s["kind"], s["begin"], s["end"]) for s in batch["spans"][row].as_py()])
+            if not len(free):
+                continue
+            data, offsets = W.flat(pa.array([text[a:b].translate(_A_TO_Z) for a, b in free.tolist()], pa.string()))
+            h = W.hashes(data, offsets[:-1], offsets[1:])
+            order = np.argsort(h, kind="stable")
+            h, free = h[order], free[order].astype(np.int32)
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            at = pa.array(np.append(first, len(h)).astype(np.int32))
+            places = [pa.ListArray.from_arrays(at, pa.array(np.ascontiguousarray(free[:, i]))) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), batch["doc_key"][row].as_py())), pa.array(h[first].view(np.int64)), *places], names)
+
+
+def _free(text: str, found: list[tuple[str, int, int]]) -> np.ndarray:
+    """(begin, end) of the terms that no identifier overlaps."""
+    at = np.array([m.span() for m in _WORD.finditer(text.translate(_A_TO_Z))], np.int64).reshape(-1, 2)
     inside = np.zeros(len(text) + 1, np.int64)
     for _, a, b in found:
         inside[a] += 1
         inside[b] -= 1
     covered = np.concatenate([[0], np.cumsum(np.cumsum(inside)[:-1] > 0)])
-    free = at[(covered[at[:, 1]] == covered[at[:, 0]]) & (at[:, 1] - at[:, 0] >= TERM_LENGTH)]
-    pairs: set[tuple[int, int, int]] = set()
-    for kind, a, b in found:
-        entity = _entity(kind, text[a:b])
-        left, right = int(np.searchsorted(free[:, 1], a, side="right")), int(np.searchsorted(free[:, 0], b))
-        for i in (*range(max(0, left - CONTEXT), left), *range(right, min(len(free), right + CONTEXT))):
-            pairs.add((entity, int(free[i, 0]), int(free[i, 1])))
-    if not pairs:
-        return []
-    some = sorted(pairs)
-    raw = [text[a:b].translate(_A_TO_Z) for _, a, b in some]
-    data, offsets = W.flat(pa.array(raw, pa.string()))
-    terms = W.hashes(data, offsets[:-1], offsets[1:]).view(np.int64).tolist()
-    return [{"entity": e, "term": t, "begin": a, "end": b} for (e, a, b), t in zip(some, terms, strict=True)]
+    return at[(covered[at[:, 1]] == covered[at[:, 0]]) & (at[:, 1] - at[:, 0] >= TERM_LENGTH)]
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,16 +180,34 @@ def find_spans(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISC
     """doc_id, doc_key, spans: identifiers by kind and start, then ``term`` spans by start."""
     keyed = _keyed(docs)
     found = written(keyed.mapInArrow(_scan, SCAN), "pii")
-    total = found.count()
-    near = found.where(F.size("near") > 0).select("doc_key", F.explode("near").alias("x")).select("doc_key", "x.*")
-    seen = near.groupBy("entity", "term", "doc_key").agg(F.lit(1).alias("one"))
-    pairs = written(seen.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support), "pairs")
-    entities = near.select("entity", "doc_key").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    wanted = pairs.select("term").distinct()
-    terms = keyed.mapInArrow(_term_counts, "term long, n long").join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_term"))
-    revealing = pairs.join(terms, "term").join(entities, "entity").where(F.least(F.lit(1.0), F.col("both") / F.col("n_term")) >= F.pow(F.col("n_entity") / F.lit(float(max(total, 1))), F.lit(1 - disclosure)))
-    spans = near.join(revealing.select("entity", "term"), ["entity", "term"]).select("doc_key", F.struct(F.lit("term").alias("kind"), "begin", "end").alias("s"))
-    more = spans.distinct().groupBy("doc_key").agg(F.array_sort(F.collect_list("s")).alias("more"))  # one document's
+    copies = written(found.groupBy("doc_key").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
+    rows, repeated = found.count(), copies.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0))).first()[0]
+    total = float(max(rows - repeated, 1))
+    mentions = found.where(F.size("entities") > 0).select("doc_key", F.explode("entities").alias("entity")).distinct()
+    entities = written(mentions.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support), "entities")
+    mentions = written(mentions.join(entities, "entity"), "mentions")
+    holders = mentions.select("doc_key").distinct()
+    texts = found.where("text is not null").select("doc_key", "text", "spans").join(holders, "doc_key", "left_semi")
+    if repeated:
+        texts = texts.dropDuplicates(["doc_key"])
+    terms = written(texts.mapInArrow(_terms, TERMS), "terms")
+    wanted = terms.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("term")
+    counts = keyed.mapInArrow(_term_counts, "term long, n long")
+    if repeated:  # rows of one document count once
+        again = keyed.join(copies, "doc_key").select("text", F.row_number().over(Window.partitionBy("doc_key").orderBy("doc_key")).alias("nth")).where("nth > 1")
+        counts = counts.union(again.select("text").mapInArrow(_term_counts, "term long, n long").select("term", -F.col("n")))
+    counts = counts.groupBy("term").agg(F.sum("n").alias("n_term")).join(wanted, "term", "left_semi")
+    share = F.pow(F.col("n_entity") / F.lit(total), F.lit(1 - disclosure))  # what p(entity | term) has to be
+    most = written(mentions.groupBy("doc_key").agg(F.max(F.col("n_entity") / share).alias("most")), "most")
+    possible = lambda limit: F.col("n_term") <= limit * (1 + 1e-9)
+    rare = written(terms.join(counts, "term").join(most, "doc_key").where(possible(F.col("most"))).select("doc_key", "term", "n_term", "begins", "ends"), "rare")
+    seen = rare.join(mentions, "doc_key").where(possible(F.col("n_entity") / share))
+    pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity"))
+    revealing = written(pairs.where((F.col("both") >= support) & (F.col("both") / F.col("n_term") >= share)).select("entity", "term"), "revealing")
+    marked = seen.join(revealing, ["entity", "term"]).groupBy("doc_key", "term").agg(F.first("begins").alias("begins"), F.first("ends").alias("ends"))
+    place = F.explode(F.arrays_zip("begins", "ends")).alias("at")
+    spans = marked.select("doc_key", place).select("doc_key", F.struct(F.lit("term").alias("kind"), F.col("at.begins").alias("begin"), F.col("at.ends").alias("end")).alias("s"))
+    more = spans.groupBy("doc_key").agg(F.array_sort(F.collect_list("s")).alias("more"))  # one document's
     none = F.expr("cast(array() as array<struct<kind:string,begin:int,end:int>>)")
     return found.select("doc_id", "doc_key", "spans").join(more, "doc_key", "left").select("doc_id", "doc_key", F.concat("spans", F.coalesce("more", none)).alias("spans"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -205,3 +206,25 @@ def test_revealing_terms_are_generalised(spark):
     assert found[10].spans == []
     clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     assert "zanzibar" not in clean[0] and "bob@" not in clean[0] and "[EMAIL]" in clean[0] and clean[99] is None and clean[12] == texts[7][1]
+
+
+def test_revealing_terms_far_from_a_mention_are_generalised(spark):
+    from tarnhelm.llm import pii
+
+    rng = random.Random(8)
+    filler = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(n))
+    # The name opens each document and the address ends it; in two of them it is also near.
+    texts = [(i, f"Quillon {filler(40)} {'quillon ' if i < 2 else ''}mail bob@example.org") for i in range(4)] + [(10 + i, filler(30)) for i in range(60)]
+    texts += [(90, "quillon alone"), (90, "quillon alone")]  # one document, without the entity
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.find_spans(docs).collect()}
+    for i in range(4):
+        terms = [(s.begin, texts[i][1][s.begin : s.end].lower()) for s in found[i] if s.kind == "term"]
+        assert [t for t in terms if t[1] == "quillon"] == [(m.start(), "quillon") for m in re.finditer("quillon", texts[i][1].lower())]
+        assert not {t for _, t in terms} & {"alpha", "beta", "gamma", "delta"}
+    assert found[90] == []
+    assert all("quillon" not in r.text.lower() for r in pii.sanitise(docs).where("doc_id < 4").collect())
+    # p(entity | term) = 4/5 over 65 documents: with the repeated row counted twice it would be 4/6.
+    limit = lambda p: 1 - math.log(p) / math.log(4 / 65)
+    marked = lambda p: any(s.kind == "term" and s.begin == 0 for r in pii.find_spans(docs, disclosure=limit(p)).collect() for s in r.spans if r.doc_id == 0)
+    assert marked(0.79) and not marked(0.81)
