@@ -5,12 +5,13 @@ storage as word numbers and the block's own vocabulary. Word counts are summed o
 blocks that have the word, so exact counts of all words reach every document without any table of the whole
 vocabulary in one place.
 
-Model. States are the empty context, the frequent words, and pairs of words. A word is a state if its share of the
-training tokens is ``word_share`` or more; a pair or triple of state words is an arc if its count is ``arc_share`` of
-the tokens or more. There are at most 1 / share of them whatever the corpus, so the automaton that is broadcast has
-a proven bound. An arc has the discounted probability (c - discount) / c(context); a state's failure arc goes to
-the context without its first word, with the weight that makes the state's probabilities sum to one. At the empty
-context, any word w has (c(w) + 1) / (N + V + 1), an unknown word included.
+Model. States are the empty context, all words, and pairs of words that begin a kept triple. A pair or triple is an arc if
+it is seen ``LEAST`` times or more in training texts, whatever the size of the corpus. An arc has the discounted probability
+(c - discount) / c(context); a state's failure arc goes to the context without its first word, with the weight that makes the
+state's probabilities sum to one. At the empty context, any word w has (c(w) + 1) / (N + V + 1), an unknown word included.
+The automaton is in no place as a whole: n-grams are keyed by 64-bit hashes, counted over blocks by key, and each block gets
+the counts and failure weights of the n-grams of its own texts, from which it builds its part of the automaton. A triple
+is counted only where both of its pairs are kept, as it is seen no more often than they are.
 
 Scoring. One left-to-right traversal carries the state: while it has no arc for the word, take the failure arc and add
 its weight; then take the arc. Long texts are traversed in pieces side by side; a piece begins two tokens early
@@ -23,14 +24,12 @@ Extra columns aren't read.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -38,7 +37,7 @@ from .common import pieces, written
 
 #: The hashes that stand for the end of a text and for what is before its first word.
 END, BEGIN = 0x1234567890ABCDEF, 0x0FEDCBA987654321
-WORD_SHARE, ARC_SHARE, DISCOUNT = 1e-5, 2e-6, 0.5
+LEAST, DISCOUNT = 2, 0.5
 PIECE = 256
 #: Text of a block. Larger blocks repeat fewer words.
 BLOCK_BYTES = 8 << 20
@@ -135,9 +134,23 @@ class Model:
             return arcs[context, w]
         return 10 ** self.weight[state[context]] * self._below(arcs, context[1:], w, one, state) if context else one(w)
 
-    def numbers(self, vocabulary: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.hashes, vocabulary), max(len(self.hashes) - 1, 0))
-        return np.where(self.hashes[at] == vocabulary, at + 2, 0) if len(self.hashes) else np.zeros(len(vocabulary), np.int64)
+    @classmethod
+    def part(cls, words: np.ndarray, pairs: np.ndarray, pair_logs: np.ndarray, contexts: np.ndarray, weights: np.ndarray, triples: np.ndarray, triple_logs: np.ndarray) -> Model:
+        """What a text needs of the automaton. words: failure weights by number; pairs (a, b) of words and triples (pair, pair) by place; contexts: places of pairs, with their ``weights``."""
+        model = cls.__new__(cls)
+        model.size = len(words)
+        state = np.full(len(pairs), -1, np.int64)
+        state[contexts] = model.size + np.arange(len(contexts))
+        after = np.where(state >= 0, state, pairs[:, 1])
+        model.fail = np.concatenate([np.zeros(model.size, np.int64), pairs[contexts, 1]])
+        model.weight = np.concatenate([words, weights])
+        has = np.flatnonzero(~np.isnan(pair_logs))
+        keys = np.concatenate([pairs[has, 0] * model.size + pairs[has, 1], state[triples[:, 0]] * model.size + pairs[triples[:, 1], 1]])
+        order = np.argsort(keys)
+        model.keys = keys[order]
+        model.to = np.concatenate([after[has], after[triples[:, 1]]])[order]
+        model.log = np.concatenate([pair_logs[has], triple_logs])[order]
+        return model
 
     def traverse(self, w: np.ndarray, base: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """log10 probability of each token. w: the words' numbers; base: their log10 probability at the empty context."""
@@ -180,117 +193,150 @@ class Model:
         return out
 
 
-def _grams(block: pa.RecordBatch, row: int, numbers, order: int, size: int, kept: np.ndarray | None) -> np.ndarray:
-    """Keys of a block's training n-grams whose words all are state words; for triples, whose pairs both are kept."""
-    at, tokens = _tokens_of(block, row)
-    vocabulary = block["vocabulary"][row].values.to_numpy()
-    w = numbers(vocabulary.view(W.U))[tokens]
-    docs = len(at) - 1
-    both = np.full(len(w) + docs, 1, np.int64)  # BEGIN before each text
-    owner = np.repeat(np.arange(docs), np.diff(at))
-    both[np.arange(len(w)) + owner + 1] = w
-    text = np.repeat(np.arange(docs), np.diff(at) + 1)
-    train = ~block["held"][row].values.to_numpy(zero_copy_only=False)[text]
-    n = len(both) - order + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    good = train[:n] & (text[:n] == text[order - 1 :])
-    for i in range(order):
-        good &= both[i : n + i] > 0
-    i = np.flatnonzero(good)
-    pair = both[i] * size + both[i + 1]
-    if order == 2:
-        return pair
-    second = both[i + 1] * size + both[i + 2]
-    a, b = np.searchsorted(kept, pair), np.searchsorted(kept, second)
-    last = max(len(kept) - 1, 0)
-    good = (kept[np.minimum(a, last)] == pair) & (kept[np.minimum(b, last)] == second) if len(kept) else np.zeros(len(i), bool)
-    return a[good] * size + both[i + 2][good]
-
-
-def _gram_counts(shared, order: int):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, size, kept = shared.value
-        numbers = functools.partial(Model.numbers, _Words(hashes))
-        for batch in batches:
-            for row in range(batch.num_rows):
-                keys, n = np.unique(_grams(batch, row, numbers, order, size, kept), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["gram", "n"])
-
-    return count
-
-
-class _Words:
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = hashes
-
-
-def fit(blocks: DataFrame, counts: DataFrame, word_share: float = WORD_SHARE, arc_share: float = ARC_SHARE, discount: float = DISCOUNT) -> Model:
-    spark = blocks.sparkSession
-    tokens, distinct = counts.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # At most 1 / word_share words and 1 / arc_share pairs and triples pass these filters, whatever the corpus.
-    states = {r["word"]: r["n"] for r in counts.where((F.col("n") > 0) & (F.col("n") >= word_share * tokens)).collect()}
-    starts = blocks.select(F.explode("held").alias("held")).where("not held").count()
-    hashes = np.sort(np.array(list(states), np.int64).view(W.U))
-    size, least = len(hashes) + 2, max(2, arc_share * tokens)
-    narrow = blocks.select("block", "held", "bounds", "tokens", "vocabulary")
-    grams: list[np.ndarray] = []
-    kept = None
-    for order in (2, 3):
-        shared = spark.sparkContext.broadcast((hashes, size, kept))
-        found = narrow.mapInArrow(_gram_counts(shared, order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()
-        got = found.sort_values("gram")
-        grams.append((got["gram"].to_numpy(np.int64), got["n"].to_numpy(np.int64)))
-        kept = grams[0][0]
-        shared.unpersist()
-    pairs = {(int(k) // size, int(k) % size): int(n) for k, n in zip(*grams[0], strict=True)}
-    triples = {(*divmod(int(kept[k // size]), size), int(k % size)): int(n) for k, n in zip(*grams[1], strict=True)} if len(kept) else {}
-    return Model(tokens, distinct, states, starts, pairs, triples, discount)
+#: What blocks get: kind 0 is a word's count (x), 1 its failure weight (x); 2 a pair's count (x), 3 its failure weight (x); 4 a triple's count (x).
+BACK = "block long, kind int, place int, x double"
+GRAMS = "block long, place int, gram long, n long, context long, x double, y double"
+
+
+class _Block:
+    """A block's texts with what has come back: its words by number (0 is any other, 1 is BEGIN), its distinct pairs and triples."""
+
+    def __init__(self, block: pa.Table, back: pa.Table, starts: int, least: int):
+        row = block.combine_chunks().to_batches()[0]
+        self.id = row["block"][0].as_py()
+        self.at, tokens = _tokens_of(row, 0)
+        self.row, self.least = row, least
+        self.hashes = np.concatenate([np.array([0, BEGIN], W.U), row["vocabulary"][0].values.to_numpy().view(W.U)])
+        self.tokens = tokens.astype(np.int64) + 2
+        kind, place, x = (back[c].to_numpy() for c in ("kind", "place", "x"))
+
+        def values(k: int, n: int, default: float) -> np.ndarray:
+            out = np.full(n, default, np.float64)
+            out[place[kind == k]] = x[kind == k]
+            return out
+
+        self.values = values
+        self.count = np.concatenate([[0, starts], values(0, len(self.hashes) - 2, 0)])
+        docs = len(self.at) - 1
+        text = np.repeat(np.arange(docs), np.diff(self.at) + 1)
+        both = np.full(len(text), 1, np.int64)  # BEGIN before each text
+        both[np.arange(len(tokens)) + np.repeat(np.arange(docs), np.diff(self.at)) + 1] = self.tokens
+        train = ~row["held"][0].values.to_numpy(zero_copy_only=False)[text]
+        size = len(self.hashes)
+        inside = np.flatnonzero((text[:-1] == text[1:]) & (self.count[both[:-1]] >= least) & (self.count[both[1:]] >= least))
+        found, which = np.unique(both[inside] * size + both[inside + 1], return_inverse=True)
+        self.pairs = np.stack([found // size, found % size], axis=1)
+        self.pair_train = np.bincount(which[train[inside]], minlength=len(found))
+        self.pair_keys = W.mix(W.mix(self.hashes[self.pairs[:, 0]] ^ W.U(0xA0761D6478BD642F)) + self.hashes[self.pairs[:, 1]])
+        self.pair_at = np.full(len(text), -1, np.int64)
+        self.pair_at[inside] = which
+        self.train, self.text = train, text
+
+    def read_triples(self) -> None:
+        """After the counts of pairs are back."""
+        self.pair_count = self.values(2, len(self.pairs), 0)
+        kept = np.append(self.pair_count >= self.least, False)
+        first, second = self.pair_at[:-1], self.pair_at[1:]
+        inside = np.flatnonzero(kept[first] & kept[second] & (self.text[:-1] == self.text[1:]))
+        n = max(len(self.pairs), 1)
+        found, which = np.unique(first[inside] * n + second[inside], return_inverse=True)
+        self.triples = np.stack([found // n, found % n], axis=1)
+        self.triple_train = np.bincount(which[self.train[inside]], minlength=len(found))
+        self.triple_keys = W.mix(W.mix(self.pair_keys[self.triples[:, 0]] ^ W.U(0xE7037ED1A0B428DB)) + self.hashes[self.pairs[self.triples[:, 1], 1]])
+
+
+def _table(schema: str, *columns) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+    names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    n = max((len(c) for c in columns if hasattr(c, "__len__")), default=0)
+    return pa.table([pa.array(c if hasattr(c, "__len__") else np.full(n, c)).cast(kinds[t]) for c, t in zip(columns, types, strict=True)], list(names))
+
+
+def _pairs(starts: int, total: float, least: int):
+    def run(block: pa.Table, back: pa.Table) -> pa.Table:
+        b = _Block(block, back, starts, least)
+        first, second = b.pairs[:, 0], b.pairs[:, 1]
+        return _table(GRAMS, b.id, np.arange(len(b.pairs)), signed(b.pair_keys), b.pair_train, signed(b.hashes[first]), b.count[first], (b.count[second] + 1) / total)
+
+    return run
+
+
+def _triples(starts: int, least: int, discount: float):
+    def run(block: pa.Table, back: pa.Table) -> pa.Table:
+        b = _Block(block, back, starts, least)
+        b.read_triples()
+        first, second = b.triples[:, 0], b.triples[:, 1]
+        lower = (b.pair_count[second] - discount) / b.count[b.pairs[second, 0]]
+        return _table(GRAMS, b.id, np.arange(len(b.triples)), signed(b.triple_keys), b.triple_train, signed(b.pair_keys[first]), b.pair_count[first], lower)
+
+    return run
+
+
+def _kept(grams: DataFrame, least: int, name: str) -> DataFrame:
+    """``grams`` with their count in the corpus (total), if it is ``least`` or more. A gram has a row a block; the first of them is marked."""
+    every = Window.partitionBy("gram")
+    summed = grams.select("*", F.sum("n").over(every).alias("total"), (F.min("block").over(every) == F.col("block")).alias("first"))
+    return written(summed.where(F.col("total") >= least).drop("n"), name)
+
+
+def _failing(kept: DataFrame, discount: float) -> DataFrame:
+    """context, weight: what is left of the context's mass, over what its words leave at the shorter context (y). x: the context's count."""
+    mass = kept.where("first").groupBy("context").agg(F.sum((F.col("total") - discount) / F.col("x")).alias("mass"), F.sum("y").alias("lower"))
+    rest = lambda c: F.greatest(1 - F.col(c), F.lit(1e-12))
+    return mass.select("context", F.log10(rest("mass") / rest("lower")).alias("weight"))
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scorer(shared, tokens: int, total: float):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
-        for batch in batches:
-            for row in range(batch.num_rows):
-                at, token = _tokens_of(batch, row)
-                distinct = batch["distinct"][row].as_py()
-                count, state = np.zeros(distinct, np.int64), np.zeros(distinct, np.int64)
-                places = batch["places"][row].values.to_numpy()
-                count[places] = batch["counts"][row].values.to_numpy()
-                state[places] = batch["states"][row].values.to_numpy()
-                base = np.log10((count + 1) / total)[token]
-                logs = model.traverse(state[token], base, at)
-                add = lambda x, at=at: np.add.reduceat(x, at[:-1]) if len(at) > 1 else np.zeros(0, x.dtype)  # noqa: E731  every text has its end token
-                n = len(at) - 1
-                yield pa.RecordBatch.from_arrays(
-                    [batch["doc_ids"][row].values, batch["held"][row].values, pa.array(np.diff(at)), pa.array(add((count > 0)[token].astype(np.int64))), pa.array(np.full(n, tokens, np.int64)), pa.array(add(base)), pa.array(add(logs))],
-                    [x.split()[0] for x in SCORES.split(", ")],
-                )
-
-    return score
-
-
-def score(docs: DataFrame, held, **shares: float) -> DataFrame:
+def _scorer(starts: int, tokens: int, total: float, begin: float, least: int, discount: float):
+    def run(block: pa.Table, back: pa.Table) -> pa.Table:
+        b = _Block(block, back, starts, least)
+        b.read_triples()
+        words = np.concatenate([[0, begin], b.values(1, len(b.hashes) - 2, 0)])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            pair_logs = np.where(b.pair_count >= least, np.log10((b.pair_count - discount) / b.count[b.pairs[:, 0]]), np.nan)
+        weight = b.values(3, len(b.pairs), np.nan)
+        contexts = np.flatnonzero(~np.isnan(weight))
+        count = b.values(4, len(b.triples), 0)
+        has = count >= least
+        triples = b.triples[has]
+        model = Model.part(words, b.pairs, pair_logs, contexts, weight[contexts], triples, np.log10((count[has] - discount) / b.pair_count[triples[:, 0]]))
+        at = b.at
+        base = np.log10((b.count + 1) / total)[b.tokens]
+        logs = model.traverse(b.tokens, base, at)
+        add = lambda x: np.add.reduceat(x, at[:-1]) if len(at) > 1 else np.zeros(0, x.dtype)  # noqa: E731  every text has its end token
+        return _table(SCORES, b.row["doc_ids"][0].values, b.row["held"][0].values, np.diff(at), add((b.count > 0)[b.tokens].astype(np.int64)), tokens, add(base), add(logs))
+
+    return run
+
+
+def score(docs: DataFrame, held, least: int = LEAST, discount: float = DISCOUNT) -> DataFrame:
     """Scores of all ``docs`` under the model of those for which the column ``held`` is false."""
-    spark = docs.sparkSession
     blocks = blocks_of(docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held")))
     counts = word_counts(blocks)
-    model = fit(blocks, counts, **shares)
-    tokens = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # Words go back with their count and their number in the model; at most 1 / word_share have one.
-    numbered = spark.createDataFrame(pd.DataFrame({"word": model.hashes.view(np.int64), "state": np.arange(2, model.size, dtype=np.int32)}), "word long, state int")
-    known = counts.where("n > 0").join(F.broadcast(numbered), "word", "left").select("word", "n", F.coalesce("state", F.lit(0)).alias("state"))
-    needs = blocks.select("block", F.posexplode("vocabulary").alias("place", "word")).join(known, "word")
-    # A block's words are bounded by the block; the groups are even. The three lists of a group are in the same order.
-    back = needs.groupBy("block").agg(F.collect_list("place").alias("places"), F.collect_list("n").alias("counts"), F.collect_list("state").alias("states"))
-    texts = blocks.select("block", "doc_ids", "held", "bounds", "tokens", F.size("vocabulary").alias("distinct"))
-    none = lambda c, kind: F.coalesce(c, F.expr(f"cast(array() as array<{kind}>)")).alias(c)
-    joined = texts.join(back, "block", "left").select("doc_ids", "held", "bounds", "tokens", "distinct", none("places", "int"), none("counts", "long"), none("states", "int"))
-    return joined.mapInArrow(_scorer(spark.sparkContext.broadcast(model), tokens, model.total), SCORES)
+    tokens, distinct = counts.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    starts = blocks.select(F.explode("held").alias("held")).where("not held").count()
+    total = float(tokens + distinct + 1)
+    texts = blocks.drop("train")
+    words = blocks.select("block", F.posexplode("vocabulary").alias("place", "word"))
+
+    def sent(df: DataFrame, kind: int, value: str) -> DataFrame:
+        return df.select("block", F.lit(kind).alias("kind"), "place", F.col(value).cast("double").alias("x"))
+
+    def met(back: DataFrame, run, schema: str) -> DataFrame:
+        return texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, schema)
+
+    back = written(sent(words.join(counts.where("n > 0"), "word"), 0, "n"), "back")
+    pairs = _kept(met(back, _pairs(starts, total, least), GRAMS), least, "pairs")
+    back = back.union(sent(pairs, 2, "total"))
+    triples = _kept(met(back, _triples(starts, least, discount), GRAMS), least, "triples")
+    by_word = written(_failing(pairs, discount), "failing")
+    begin = by_word.where(F.col("context") == BEGIN).select("weight").first()
+    back = back.union(sent(words.join(by_word, F.col("word") == F.col("context")), 1, "weight"))
+    by_pair = _failing(triples, discount).withColumnRenamed("context", "gram")
+    back = back.union(sent(pairs.select("block", "place", "gram").join(by_pair, "gram"), 3, "weight")).union(sent(triples, 4, "total"))
+    return met(back, _scorer(starts, tokens, total, begin[0] if begin else 0.0, least, discount), SCORES)
 
 
 def held_out(doc_id):

@@ -275,3 +275,45 @@ def test_classes_without_ids_or_with_the_same_id_keep_a_text_each(spark):
     table = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2] + " more"), (4, texts[2]), (5, texts[3]), (5, texts[4]), (6, texts[5]), (None, texts[5]), (None, None)]
     kept = N.drop_near_duplicates(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in table], SCHEMA)).collect()
     assert Counter((r.doc_id, r.text) for r in kept) == Counter([(None, texts[0]), (None, texts[1]), (4, texts[2]), (5, texts[3]), (5, texts[4]), (6, texts[5]), (None, None)])
+
+
+def test_rare_ngrams_count_in_a_large_corpus(spark):
+    from tarnhelm.llm import lm
+
+    rng = random.Random(12)
+    table = [(i, sentence(rng, 60)) for i in range(40)] + [(100 + i, "one rare pair of words") for i in range(3)] + [(200, None)]
+    table += [(1000 + i, "a b c d e " * 20_000) for i in range(18)]  # 1.8 million tokens: a share of 2e-6 would be over 3
+    got = lm.score(spark.createDataFrame(table, "doc_id long, text string").repartition(3), lm.held_out("doc_id")).collect()
+    texts = {d: ["<s>", *(t or "").split(), None] for d, t in table}
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    c = [Counter() for _ in range(4)]
+    for d, t in texts.items():
+        if not held(d):
+            for k in (1, 2, 3):
+                c[k].update(zip(*(t[i:] for i in range(k)), strict=False))
+    total = sum(n for g, n in c[1].items() if g != ("<s>",)) + len(c[1])  # distinct words and one more, without the start
+    kept = {k: {g: n for g, n in c[k].items() if n >= 2} for k in (2, 3)}
+    after: dict = {}
+    for k in (2, 3):
+        for g in kept[k]:
+            after.setdefault(g[:-1], []).append(g[-1])
+    memo: dict = {}
+
+    def p(context, w):
+        if not context:
+            return (c[1][(w,)] + 1) / total
+        if (context, w) not in memo:
+            gram = (*context, w)
+            if gram in kept[len(gram)]:
+                memo[context, w] = (kept[len(gram)][gram] - 0.5) / c[len(context)][context]
+            elif context not in after:
+                memo[context, w] = p(context[1:], w)
+            else:
+                memo[context, w] = (1 - sum(p(context, x) for x in after[context])) / (1 - sum(p(context[1:], x) for x in after[context])) * p(context[1:], w)
+        return memo[context, w]
+
+    assert len(got) == len(table) and {r.held_out for r in got} == {True, False}
+    for r in got:
+        t = texts[r.doc_id]
+        expected = sum(math.log10(p(tuple(t[max(0, i - 2) : i]), t[i])) for i in range(1, len(t)))
+        assert abs(r.score - expected) < 1e-6 * max(1, abs(expected)), r.doc_id
