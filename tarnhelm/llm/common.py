@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset and there is one machine (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tarnhelm-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -47,7 +49,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to shared storage and read again: lineage ends there, and lost executors take nothing with them."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def kept_as(df: DataFrame, source: DataFrame) -> DataFrame:
+    """``df``, which reads the written ``source``, with its folder: ``dropped`` then works on it."""
+    df.scratch = source.scratch
+    return df
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes what ``written`` has written for ``df``, once nothing that is yet to run reads it."""
+    drop_path(df.sparkSession, df.scratch)
 
 
 @atexit.register

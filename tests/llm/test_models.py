@@ -317,3 +317,44 @@ def test_rare_ngrams_count_in_a_large_corpus(spark):
         t = texts[r.doc_id]
         expected = sum(math.log10(p(tuple(t[max(0, i - 2) : i]), t[i])) for i in range(1, len(t)))
         assert abs(r.score - expected) < 1e-6 * max(1, abs(expected)), r.doc_id
+
+
+def test_parts_and_blocks_lose_no_pair(spark, monkeypatch):
+    """Families alike but below the threshold, links between any two of them: with one-row bands all texts of a family share buckets."""
+    from tarnhelm.llm import neardup as N
+
+    for name, value in (("PART", 8), ("BLOCK", 8), ("LEADERS", 1)):
+        monkeypatch.setattr(N, name, value)
+    rng = random.Random(9)
+    table: list[tuple] = []
+    for family in range(2):
+        base = sentence(rng, 150).split()
+        for i in range(60):
+            copy = list(base)
+            for _ in range(rng.choice([1, 4, 9])):
+                copy[rng.randrange(150)] = f"new{rng.randrange(10**6)}"
+            table.append((100 * family + i, " ".join(copy), "en", "s", 1))
+        table.append((100 * family + 90, " ".join(base * 3), "en", "s", 1))
+    got = Counter((r.doc_id, r.class_id) for r in N.classes(spark.createDataFrame(table, SCHEMA), bands=20, rows=1).collect())
+    assert got == exact_classes(table) and 10 < len({c for _, c in got}) < 110
+
+
+def test_matrices_of_pairs_agree_with_one_pair_at_a_time():
+    import pyarrow as pa
+
+    from tarnhelm.llm import neardup as N
+
+    rng = random.Random(10)
+    base = sentence(rng, 60).split()
+    texts = []
+    for i in range(40):
+        copy = list(base)
+        for _ in range(rng.randrange(6)):
+            copy[rng.randrange(60)] = rng.choice(["other", "word", base[0]])
+        texts.append(" ".join(copy + copy[: rng.choice([0, 0, 20, 60])]))
+    sets = N.Sets.of(pa.array(texts), 5)
+    good, maybe = sets.close(0.8)
+    for i in range(40):
+        for j in range(40):
+            close = N.similarity(sets[i], sets[j]) >= 0.8
+            assert i == j or ((good[i, j] or maybe[i, j]) if close else not good[i, j])
