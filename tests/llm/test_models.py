@@ -209,6 +209,29 @@ def test_html():
     assert extract('<main>body text<article class="comment">no</article></main>') == "body text"
     assert extract("<p>unclosed <!-- never ends") == "unclosed"
     assert abs(smoothed(np.ones(5)) - 1).max() < 1e-12 and pa is not None
+    assert extract('<article><p>first text</p><script>var x="<!--";</script><p>second text</p></article>') == "first text\n\nsecond text"
+    assert extract('<article><header><h1>Head</h1></header><p class="widget">a</p><div class="share">b</div><footer>no</footer></article>') == "Head\n\na\n\nb"
+    deep = "<b>" * 30
+    assert extract(f"<article><ul><li>one{deep}<li>two</ul><p>a{deep}<div>b</div></article>") == "one\n\ntwo\n\na\n\nb"
+    assert extract("<article>" + "<p>x" * 20000 + "</p></p></p></article>").count("x") == 20000
+    assert extract("<div>" * 5000 + "deep" + "</b>" * 5000) == "deep"
+
+
+def test_html_regions_come_from_the_ratios(monkeypatch):
+    """Pages without a telling element or class: what is content decides."""
+    from tarnhelm.llm import html_text as H
+
+    menu = "".join(f"<div><a href=/{i}>item {i}</a></div>" for i in range(8))
+    body = "".join(f"<p>{'some words of the text ' * n}</p>" for n in (9, 14, 1, 20))
+    text = "\n\n".join(("some words of the text " * n).strip() for n in (9, 14, 1, 20))
+    small = "".join(f"<span><i>tag</i></span><div><em>s{i}</em></div>" for i in range(6))
+    flat = f"<body><div>{menu}</div><div><h1>Title</h1><div>{body}</div></div><div>{small}</div></body>"
+    table = f"<table><tr><td>{menu}</td><td>{body}</td></tr></table>"
+    parts = f"<body><div>{menu}</div><section>{body}</section><section>{body}</section></body>"
+    wanted = [f"Title\n\n{text}", text, f"{text}\n\n{text}"]
+    assert [H.extract(x) for x in (flat, table, parts)] == wanted
+    monkeypatch.setattr(H, "content", lambda lines, *_: np.ones(len(lines), bool))
+    assert all(H.extract(x) != y for x, y in zip((flat, table, parts), wanted, strict=True))
 
 
 def test_html_rows(spark):
