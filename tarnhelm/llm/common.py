@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Text bytes that one step of an Arrow function handles at once; a longer text is a step of its own.
 CHUNK_BYTES = 4 << 20
 
-_made: list[tuple[SparkSession, str]] = []
+_made: list[tuple[SparkSession, str, str | None]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/tarnhelm-{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
+    _made.append((spark, path, None))
     return path
 
 
@@ -54,6 +54,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, buckets: int, column: str) -> DataFrame:
+    """``df`` written to shared storage as a table in buckets by ``column``: what is grouped or joined by it is not shuffled again."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table_name = path.rpartition("/")[2].replace("-", "_")
+    _made.append((spark, path, table_name))
+    df.write.bucketBy(buckets, column).option("path", path).option("compression", "zstd").saveAsTable(table_name)
+    return spark.table(table_name)
+
+
 def kept_as(df: DataFrame, source: DataFrame) -> DataFrame:
     """``df``, which reads the written ``source``, with its folder: ``dropped`` then works on it."""
     df.scratch = source.scratch
@@ -67,8 +77,10 @@ def dropped(df: DataFrame) -> None:
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _made:
+    for spark, path, table_name in _made:
         try:
+            if table_name:
+                spark.sql(f"DROP TABLE IF EXISTS {table_name}")
             drop_path(spark, path)
         except Exception:  # the session may have ended before us
             pass

@@ -1,17 +1,17 @@
 """Language-model scoring by a weighted backoff automaton.
 
-Counting. Texts are cut into blocks (whole documents, about ``BLOCK_BYTES``), each stored once in shared
-storage as word numbers and the block's own vocabulary. Word counts are summed over blocks and sent back to the
-blocks that have the word, so exact counts of all words reach every document without any table of the whole
-vocabulary in one place.
+Counting. Texts are cut into blocks (whole documents, about ``BLOCK_BYTES``), each stored once in shared storage as word
+numbers and the block's own vocabulary, in a table bucketed by block. Words, pairs and triples are 64-bit hashes. A block sends its
+distinct hashes with their counts to the ranges of hashes; a range adds up the counts of all blocks and sends each block the
+sums of its own. So exact counts of all n-grams reach every document without any table of them in one place, and no n-gram
+is hot, as a block sends it once. Words go first, then pairs of words seen ``LEAST`` times, then triples of pairs seen so.
 
 Model. States are the empty context, all words, and pairs of words that begin a kept triple. A pair or triple is an arc if
 it is seen ``LEAST`` times or more in training texts, whatever the size of the corpus. An arc has the discounted probability
 (c - discount) / c(context); a state's failure arc goes to the context without its first word, with the weight that makes the
 state's probabilities sum to one. At the empty context, any word w has (c(w) + 1) / (N + V + 1), an unknown word included.
-The automaton is in no place as a whole: n-grams are keyed by 64-bit hashes, counted over blocks by key, and each block gets
-the counts and failure weights of the n-grams of its own texts, from which it builds its part of the automaton. A triple
-is counted only where both of its pairs are kept, as it is seen no more often than they are.
+The automaton is in no place as a whole: the sums behind failure weights are exchanged in the same way, each arc counted in the first
+block that has it, and a block builds the part of the automaton that its own texts walk.
 
 Scoring. One left-to-right traversal carries the state: while it has no arc for the word, take the failure arc and add
 its weight; then take the arc. Long texts are traversed in pieces side by side; a piece begins two tokens early
@@ -24,16 +24,17 @@ Extra columns aren't read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import pieces, written
+from .common import bucketed, pieces, written
 
 #: The hashes that stand for the end of a text and for what is before its first word.
 END, BEGIN = 0x1234567890ABCDEF, 0x0FEDCBA987654321
@@ -41,8 +42,10 @@ LEAST, DISCOUNT = 2, 0.5
 PIECE = 256
 #: Text of a block. Larger blocks repeat fewer words.
 BLOCK_BYTES = 8 << 20
+#: Blocks whose hashes four ranges hold: a range is the work of one task.
+RANGE_BLOCKS = 32
 
-BLOCK = "block long, doc_ids array<long>, held array<boolean>, bounds array<int>, tokens binary, vocabulary array<long>, train array<int>"
+BLOCK = "block long, doc_ids array<long>, held array<boolean>, bounds array<int>, tokens binary, vocabulary array<long>, train array<int>, starts long, trained long"
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -69,10 +72,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, tokens = vocabulary[order], rank[tokens]
         held = batch["held"].to_numpy(zero_copy_only=False)
         train = np.bincount(tokens[~np.repeat(held, np.diff(at))], minlength=len(vocabulary))
-        row = [(task << 33) + n, batch["doc_id"].to_pylist(), held.tolist(), at, pa.compress(tokens.tobytes(), "zstd", asbytes=True), signed(vocabulary), train]
+        row = [(task << 33) + n, batch["doc_id"].to_pylist(), held.tolist(), at, pa.compress(tokens.tobytes(), "zstd", asbytes=True), signed(vocabulary), train, int((~held).sum()), int(train.sum())]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([x], k) for x, k in zip(row, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())), strict=True)],
-            ["block", "doc_ids", "held", "bounds", "tokens", "vocabulary", "train"],
+            [pa.array([x], k) for x, k in zip(row, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.int64()), strict=True)],
+            [x.split()[0] for x in BLOCK.split(", ")],
         )
         n += 1
 
@@ -85,14 +88,9 @@ def _tokens_of(block: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks_of(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text, held."""
-    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held").mapInArrow(_blocks, BLOCK), "blocks")
-
-
-def word_counts(blocks: DataFrame) -> DataFrame:
-    """word, n: each word of the corpus with its count in training texts, which may be 0."""
-    each = blocks.select(F.explode(F.arrays_zip("vocabulary", "train")).alias("x"))
-    return written(each.groupBy(F.col("x.vocabulary").alias("word")).agg(F.sum("x.train").alias("n")), "counts")
+    """docs: doc_id, text, held. A table in buckets by block: what comes back to a block goes to its bucket, and the blocks are never shuffled."""
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held").mapInArrow(_blocks, BLOCK)
+    return bucketed(made, "blocks", 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block")
 
 
 class Model:
@@ -193,49 +191,122 @@ class Model:
         return out
 
 
-#: What blocks get: kind 0 is a word's count (x), 1 its failure weight (x); 2 a pair's count (x), 3 its failure weight (x); 4 a triple's count (x).
-BACK = "block long, kind int, place int, x double"
-GRAMS = "block long, place int, gram long, n long, context long, x double, y double"
+#: What a block sends to each range of hashes: its hashes there in order, as differences, and ``columns`` numbers for each.
+SENT = "range int, block long, n int, hashes binary, numbers binary"
+#: What it gets back: the sums over all blocks. new: how many hashes with a sum have this block as their first.
+BACK = "block long, kind int, range int, n int, numbers binary, new long"
+#: Kinds of exchange: counts of words, of pairs, of triples; what is kept after a context (how many, their counts, what they have at the shorter context).
+WORD, PAIR, TRIPLE, CONTEXT = range(4)
+COLUMNS = {WORD: 1, PAIR: 1, TRIPLE: 1, CONTEXT: 3}
+
+
+def packed(x: np.ndarray) -> bytes:
+    """64-bit numbers, byte planes compressed."""
+    return pa.compress(np.ascontiguousarray(x.astype("<u8").reshape(-1).view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(raw: pa.BinaryScalar, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw.as_buffer(), 8 * n, "zstd"), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).reshape(-1).view("<u8")
+
+
+def _table(schema: str, *columns) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    n = max((len(c) for c in columns if hasattr(c, "__len__")), default=0)
+    return pa.table([pa.array(c if hasattr(c, "__len__") else np.full(n, c), kinds[t]) for c, t in zip(columns, types, strict=True)], list(names))
+
+
+def _sent(block: int, hashes: np.ndarray, numbers: np.ndarray, ranges: int) -> pa.Table:
+    """hashes: distinct, any order; numbers: columns x hashes."""
+    order = np.argsort(hashes)
+    hashes, numbers = hashes[order], numbers[:, order]
+    which = (hashes >> W.U(32)) * W.U(ranges) >> W.U(32)
+    cut = np.append(np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]])) if len(which) else [], len(which)).astype(np.int64)
+    each = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+    return _table(SENT, which[cut[:-1]].astype(np.int32), block, np.diff(cut).astype(np.int32), [packed(np.diff(hashes[a:b], prepend=W.U(0))) for a, b in each], [packed(numbers[:, a:b]) for a, b in each])
+
+
+def _summed(kind: int, least: int):
+    """All rows of a range: each block's hashes with their sums over the blocks, 0 if under ``least``; the first number also says, in its lowest bit, whether the block is the hash's first."""
+    columns = COLUMNS[kind]
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks().sort_by("block")
+        n = rows["n"].to_numpy().astype(np.int64)
+        hashes = np.concatenate([np.cumsum(unpacked(x, k), dtype=W.U) for x, k in zip(rows["hashes"], n.tolist(), strict=True)])
+        numbers = np.concatenate([unpacked(x, columns * k).reshape(columns, k) for x, k in zip(rows["numbers"], n.tolist(), strict=True)], axis=1)
+        order = np.argsort(hashes, kind="stable")
+        new = np.concatenate([[True], np.diff(hashes[order]) != 0])
+        total = np.add.reduceat(numbers[:, order], np.flatnonzero(new), axis=1)
+        total[:, total[0] < least] = 0
+        out = np.empty_like(numbers)
+        out[:, order] = total[:, np.cumsum(new) - 1] * np.array([[2], *[[1]] * (columns - 1)], W.U)
+        first = np.zeros(len(hashes), bool)
+        first[order] = new
+        first &= out[0] > 0
+        out[0] += first
+        at = np.concatenate([[0], np.cumsum(n)])
+        each = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+        return _table(BACK, rows["block"].to_numpy(), kind, rows["range"].to_numpy(), n.astype(np.int32), [packed(out[:, a:b]) for a, b in each], [int(first[a:b].sum()) for a, b in each])
+
+    return run
+
+
+def exchanged(sent: DataFrame, kind: int, least: int) -> DataFrame:
+    return written(sent.groupBy("range").applyInArrow(_summed(kind, least), BACK), "back")
+
+
+class Facts:
+    """Numbers of the corpus that all tasks need."""
+
+    def __init__(self, starts: int, tokens: int, distinct: int, least: int, discount: float, ranges: int):
+        self.starts, self.tokens, self.least, self.discount, self.ranges = starts, tokens, least, discount, ranges
+        self.total = float(tokens + distinct + 1)
 
 
 class _Block:
     """A block's texts with what has come back: its words by number (0 is any other, 1 is BEGIN), its distinct pairs and triples."""
 
-    def __init__(self, block: pa.Table, back: pa.Table, starts: int, least: int):
+    def __init__(self, block: pa.Table, back: pa.Table, facts: Facts):
         row = block.combine_chunks().to_batches()[0]
-        self.id = row["block"][0].as_py()
+        self.id, self.row, self.facts = row["block"][0].as_py(), row, facts
+        self.kind, self.range, self.n = (back[c].to_numpy() for c in ("kind", "range", "n"))
+        self.numbers = back["numbers"]
         self.at, tokens = _tokens_of(row, 0)
-        self.row, self.least = row, least
-        self.hashes = np.concatenate([np.array([0, BEGIN], W.U), row["vocabulary"][0].values.to_numpy().view(W.U)])
+        words = row["vocabulary"][0].values.to_numpy().view(W.U)
+        self.hashes = np.concatenate([np.array([0, BEGIN], W.U), words])
         self.tokens = tokens.astype(np.int64) + 2
-        kind, place, x = (back[c].to_numpy() for c in ("kind", "place", "x"))
-
-        def values(k: int, n: int, default: float) -> np.ndarray:
-            out = np.full(n, default, np.float64)
-            out[place[kind == k]] = x[kind == k]
-            return out
-
-        self.values = values
-        self.count = np.concatenate([[0, starts], values(0, len(self.hashes) - 2, 0)])
+        self.count = np.concatenate([[0, facts.starts], self.returned(WORD, words)[0] >> W.U(1)]).astype(np.int64)
         docs = len(self.at) - 1
         text = np.repeat(np.arange(docs), np.diff(self.at) + 1)
         both = np.full(len(text), 1, np.int64)  # BEGIN before each text
         both[np.arange(len(tokens)) + np.repeat(np.arange(docs), np.diff(self.at)) + 1] = self.tokens
-        train = ~row["held"][0].values.to_numpy(zero_copy_only=False)[text]
+        self.train, self.text = ~row["held"][0].values.to_numpy(zero_copy_only=False)[text], text
         size = len(self.hashes)
-        inside = np.flatnonzero((text[:-1] == text[1:]) & (self.count[both[:-1]] >= least) & (self.count[both[1:]] >= least))
+        often = self.count >= facts.least
+        inside = np.flatnonzero((text[:-1] == text[1:]) & often[both[:-1]] & often[both[1:]])
         found, which = np.unique(both[inside] * size + both[inside + 1], return_inverse=True)
         self.pairs = np.stack([found // size, found % size], axis=1)
-        self.pair_train = np.bincount(which[train[inside]], minlength=len(found))
+        self.pair_train = np.bincount(which[self.train[inside]], minlength=len(found))
         self.pair_keys = W.mix(W.mix(self.hashes[self.pairs[:, 0]] ^ W.U(0xA0761D6478BD642F)) + self.hashes[self.pairs[:, 1]])
         self.pair_at = np.full(len(text), -1, np.int64)
         self.pair_at[inside] = which
-        self.train, self.text = train, text
 
-    def read_triples(self) -> None:
-        """After the counts of pairs are back."""
-        self.pair_count = self.values(2, len(self.pairs), 0)
-        kept = np.append(self.pair_count >= self.least, False)
+    def returned(self, kind: int, hashes: np.ndarray) -> np.ndarray:
+        """What has come back for the hashes that the block has sent."""
+        mine = np.flatnonzero(self.kind == kind)
+        parts = [unpacked(self.numbers[i], COLUMNS[kind] * int(self.n[i])).reshape(COLUMNS[kind], -1) for i in mine[np.argsort(self.range[mine])].tolist()]
+        out = np.zeros((COLUMNS[kind], len(hashes)), W.U)
+        if parts:
+            out[:, np.argsort(hashes)] = np.concatenate(parts, axis=1)
+        return out
+
+    def read_pairs(self) -> None:
+        """After the counts of pairs are back: the triples whose pairs are both kept."""
+        got = self.returned(PAIR, self.pair_keys)[0]
+        self.pair_count, self.pair_first = (got >> W.U(1)).astype(np.int64), (got & W.U(1)) > 0
+        kept = np.append(self.pair_count > 0, False)
         first, second = self.pair_at[:-1], self.pair_at[1:]
         inside = np.flatnonzero(kept[first] & kept[second] & (self.text[:-1] == self.text[1:]))
         n = max(len(self.pairs), 1)
@@ -244,99 +315,116 @@ class _Block:
         self.triple_train = np.bincount(which[self.train[inside]], minlength=len(found))
         self.triple_keys = W.mix(W.mix(self.pair_keys[self.triples[:, 0]] ^ W.U(0xE7037ED1A0B428DB)) + self.hashes[self.pairs[self.triples[:, 1], 1]])
 
+    def read_triples(self) -> None:
+        """After the counts of triples are back: the words and pairs that may be contexts, by arcs of this block or of others."""
+        got = self.returned(TRIPLE, self.triple_keys)[0]
+        self.triple_count, self.triple_first = (got >> W.U(1)).astype(np.int64), (got & W.U(1)) > 0
+        self.arcs, self.long_arcs = np.flatnonzero(self.pair_count > 0), np.flatnonzero(self.triple_count > 0)
+        self.word_contexts, self.pair_contexts = np.flatnonzero(self.count >= self.facts.least), self.arcs
+        self.context_keys = np.concatenate([self.hashes[self.word_contexts], self.pair_keys[self.pair_contexts]])
+
+    def own_contexts(self) -> np.ndarray:
+        """Of each context: how many arcs has it whose first block is this one, the sum of their counts, and of the counts of their shorter arcs."""
+
+        def sums(context: np.ndarray, contexts: np.ndarray, count: np.ndarray, lower: np.ndarray) -> np.ndarray:
+            at = np.searchsorted(contexts, context)
+            return np.stack([np.bincount(at, x, minlength=len(contexts)) for x in (np.ones(len(at)), count, lower)])
+
+        a, b = self.arcs[self.pair_first[self.arcs]], self.long_arcs[self.triple_first[self.long_arcs]]
+        words = sums(self.pairs[a, 0], self.word_contexts, self.pair_count[a], self.count[self.pairs[a, 1]] + 1)
+        pairs = sums(self.triples[b, 0], self.pair_contexts, self.triple_count[b], self.pair_count[self.triples[b, 1]])
+        return np.concatenate([words, pairs], axis=1).astype(W.U)
+
+    def model(self) -> Model:
+        """The part of the automaton that the block's texts walk. A failure weight is what is left of the context's mass, over what its arcs leave at the shorter context."""
+        facts = self.facts
+        got = self.returned(CONTEXT, self.context_keys)
+        arcs, counts, lower = (x.astype(np.float64) for x in (got[0] >> W.U(1), got[1], got[2]))
+        n = len(self.word_contexts)
+        of = np.concatenate([self.count[self.word_contexts], self.pair_count[self.pair_contexts]])
+        middle = np.concatenate([np.full(n, facts.total), self.count[self.pairs[self.pair_contexts, 1]]])
+        cut = np.where(np.arange(len(of)) < n, 0.0, facts.discount)  # a word's probability at the empty context is not discounted
+        rest = lambda x: np.maximum(1 - x, 1e-12)
+        weight = np.log10(rest((counts - facts.discount * arcs) / of) / rest((lower - cut * arcs) / middle))
+        words = np.zeros(len(self.hashes))
+        words[self.word_contexts] = weight[:n]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            logs = np.where(self.pair_count > 0, np.log10((self.pair_count - facts.discount) / self.count[self.pairs[:, 0]]), np.nan)
+        triples, some = self.triples[self.long_arcs], arcs[n:] > 0
+        return Model.part(words, self.pairs, logs, self.pair_contexts[some], weight[n:][some], triples, np.log10((self.triple_count[self.long_arcs] - facts.discount) / self.pair_count[triples[:, 0]]))
+
 
-def _table(schema: str, *columns) -> pa.Table:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
-    names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
-    n = max((len(c) for c in columns if hasattr(c, "__len__")), default=0)
-    return pa.table([pa.array(c if hasattr(c, "__len__") else np.full(n, c)).cast(kinds[t]) for c, t in zip(columns, types, strict=True)], list(names))
+def _words(ranges: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words, n = batch["vocabulary"][i].values.to_numpy().view(W.U), batch["train"][i].values.to_numpy()
+                yield from _sent(batch["block"][i].as_py(), words, n[None].astype(W.U), ranges).to_batches()
+
+    return run
 
 
-def _pairs(starts: int, total: float, least: int):
+def _pairs(facts: Facts):
     def run(block: pa.Table, back: pa.Table) -> pa.Table:
-        b = _Block(block, back, starts, least)
-        first, second = b.pairs[:, 0], b.pairs[:, 1]
-        return _table(GRAMS, b.id, np.arange(len(b.pairs)), signed(b.pair_keys), b.pair_train, signed(b.hashes[first]), b.count[first], (b.count[second] + 1) / total)
+        b = _Block(block, back, facts)
+        return _sent(b.id, b.pair_keys, b.pair_train[None].astype(W.U), facts.ranges)
 
     return run
 
 
-def _triples(starts: int, least: int, discount: float):
+def _triples(facts: Facts):
     def run(block: pa.Table, back: pa.Table) -> pa.Table:
-        b = _Block(block, back, starts, least)
-        b.read_triples()
-        first, second = b.triples[:, 0], b.triples[:, 1]
-        lower = (b.pair_count[second] - discount) / b.count[b.pairs[second, 0]]
-        return _table(GRAMS, b.id, np.arange(len(b.triples)), signed(b.triple_keys), b.triple_train, signed(b.pair_keys[first]), b.pair_count[first], lower)
+        b = _Block(block, back, facts)
+        b.read_pairs()
+        return _sent(b.id, b.triple_keys, b.triple_train[None].astype(W.U), facts.ranges)
 
     return run
 
 
-def _kept(grams: DataFrame, least: int, name: str) -> DataFrame:
-    """``grams`` with their count in the corpus (total), if it is ``least`` or more. A gram has a row a block; the first of them is marked."""
-    every = Window.partitionBy("gram")
-    summed = grams.select("*", F.sum("n").over(every).alias("total"), (F.min("block").over(every) == F.col("block")).alias("first"))
-    return written(summed.where(F.col("total") >= least).drop("n"), name)
-
+def _contexts(facts: Facts):
+    def run(block: pa.Table, back: pa.Table) -> pa.Table:
+        b = _Block(block, back, facts)
+        b.read_pairs()
+        b.read_triples()
+        return _sent(b.id, b.context_keys, b.own_contexts(), facts.ranges)
 
-def _failing(kept: DataFrame, discount: float) -> DataFrame:
-    """context, weight: what is left of the context's mass, over what its words leave at the shorter context (y). x: the context's count."""
-    mass = kept.where("first").groupBy("context").agg(F.sum((F.col("total") - discount) / F.col("x")).alias("mass"), F.sum("y").alias("lower"))
-    rest = lambda c: F.greatest(1 - F.col(c), F.lit(1e-12))
-    return mass.select("context", F.log10(rest("mass") / rest("lower")).alias("weight"))
+    return run
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scorer(starts: int, tokens: int, total: float, begin: float, least: int, discount: float):
+def _scorer(facts: Facts):
     def run(block: pa.Table, back: pa.Table) -> pa.Table:
-        b = _Block(block, back, starts, least)
+        b = _Block(block, back, facts)
+        b.read_pairs()
         b.read_triples()
-        words = np.concatenate([[0, begin], b.values(1, len(b.hashes) - 2, 0)])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            pair_logs = np.where(b.pair_count >= least, np.log10((b.pair_count - discount) / b.count[b.pairs[:, 0]]), np.nan)
-        weight = b.values(3, len(b.pairs), np.nan)
-        contexts = np.flatnonzero(~np.isnan(weight))
-        count = b.values(4, len(b.triples), 0)
-        has = count >= least
-        triples = b.triples[has]
-        model = Model.part(words, b.pairs, pair_logs, contexts, weight[contexts], triples, np.log10((count[has] - discount) / b.pair_count[triples[:, 0]]))
-        at = b.at
-        base = np.log10((b.count + 1) / total)[b.tokens]
+        at, model = b.at, b.model()
+        base = np.log10((b.count + 1) / facts.total)[b.tokens]
         logs = model.traverse(b.tokens, base, at)
         add = lambda x: np.add.reduceat(x, at[:-1]) if len(at) > 1 else np.zeros(0, x.dtype)  # noqa: E731  every text has its end token
-        return _table(SCORES, b.row["doc_ids"][0].values, b.row["held"][0].values, np.diff(at), add((b.count > 0)[b.tokens].astype(np.int64)), tokens, add(base), add(logs))
+        return _table(SCORES, b.row["doc_ids"][0].values, b.row["held"][0].values, np.diff(at), add((b.count > 0)[b.tokens].astype(np.int64)), facts.tokens, add(base), add(logs))
 
     return run
 
 
 def score(docs: DataFrame, held, least: int = LEAST, discount: float = DISCOUNT) -> DataFrame:
     """Scores of all ``docs`` under the model of those for which the column ``held`` is false."""
+    spark = docs.sparkSession
     blocks = blocks_of(docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held")))
-    counts = word_counts(blocks)
-    tokens, distinct = counts.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    starts = blocks.select(F.explode("held").alias("held")).where("not held").count()
-    total = float(tokens + distinct + 1)
-    texts = blocks.drop("train")
-    words = blocks.select("block", F.posexplode("vocabulary").alias("place", "word"))
-
-    def sent(df: DataFrame, kind: int, value: str) -> DataFrame:
-        return df.select("block", F.lit(kind).alias("kind"), "place", F.col(value).cast("double").alias("x"))
-
-    def met(back: DataFrame, run, schema: str) -> DataFrame:
+    n, starts, tokens = blocks.agg(F.count("*"), F.coalesce(F.sum("starts"), F.lit(0)), F.coalesce(F.sum("trained"), F.lit(0))).first()
+    ranges = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / RANGE_BLOCKS))
+    back = exchanged(blocks.select("block", "vocabulary", "train").mapInArrow(_words(ranges), SENT), WORD, 0)
+    distinct = back.agg(F.coalesce(F.sum("new"), F.lit(0))).first()[0]
+    facts = Facts(starts, tokens, distinct, least, discount, ranges)
+    texts = blocks.drop("train", "starts", "trained")
+
+    def met(run, schema: str) -> DataFrame:
         return texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, schema)
 
-    back = written(sent(words.join(counts.where("n > 0"), "word"), 0, "n"), "back")
-    pairs = _kept(met(back, _pairs(starts, total, least), GRAMS), least, "pairs")
-    back = back.union(sent(pairs, 2, "total"))
-    triples = _kept(met(back, _triples(starts, least, discount), GRAMS), least, "triples")
-    by_word = written(_failing(pairs, discount), "failing")
-    begin = by_word.where(F.col("context") == BEGIN).select("weight").first()
-    back = back.union(sent(words.join(by_word, F.col("word") == F.col("context")), 1, "weight"))
-    by_pair = _failing(triples, discount).withColumnRenamed("context", "gram")
-    back = back.union(sent(pairs.select("block", "place", "gram").join(by_pair, "gram"), 3, "weight")).union(sent(triples, 4, "total"))
-    return met(back, _scorer(starts, tokens, total, begin[0] if begin else 0.0, least, discount), SCORES)
+    for kind, run, lowest in ((PAIR, _pairs, least), (TRIPLE, _triples, least), (CONTEXT, _contexts, 0)):
+        back = back.union(exchanged(met(run(facts), SENT), kind, lowest))
+    return met(_scorer(facts), SCORES)
 
 
 def held_out(doc_id):
