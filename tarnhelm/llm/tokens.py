@@ -13,7 +13,9 @@ numpy tables of 256 entries (four lengths and their sum) and gathers the bytes.
 
 Texts are encoded word by word: the tokenizer's own steps (composition, white space to a space, lower case, split,
 byte-level merges) never look across ASCII white space, so a text's ids are those of its white-space-separated words
-in order. Each distinct word of a step is encoded once.
+in order. Nor does it look from an ASCII letter to an ASCII character that is none, where its split always cuts; so words are cut
+there as well, and those of ASCII alone are lower-cased, which leaves fewer to encode. Each distinct word of a step is encoded once.
+A step in which an added token of the tokenizer stands, whatever its case, has its words encoded as they are.
 
 Defined cases: a null text is an empty one and has the end id alone. Rows with a null doc_id come first. Repeated
 doc_ids are neighbours, ordered by their ids' bytes. An empty table makes no blocks. Extra columns aren't read.
@@ -24,6 +26,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +42,13 @@ END_ID = 1
 #: Ids in a block at most, unless one document has more.
 BLOCK_IDS = 1 << 20
 #: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 1_000_000
-#: Words that are given to the tokenizer as one text, with a special token between them.
-TOGETHER = 2000
+CACHE_WORDS = 2_000_000
+#: Words that are given to the tokenizer at once.
+TOGETHER = 20_000
+
+_LETTER, _OTHER = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
+_OTHER[0x21:0x80] = ~_LETTER[0x21:0x80]
 
 BLOCKS = "shard int, block int, doc_ids array<long>, counts array<int>, control binary, data binary"
 
@@ -60,34 +67,17 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(vocabulary_path(name))
-        special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
-        self.cut_id, self.cut = min(special, default=(None, None))
+        self.special = sorted({t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.size = self.tokenizer.get_vocab_size()
         self.known = np.zeros(0, W.U)  # sorted hashes
         self.at = np.zeros(1, np.int64)  # words' ids: ids[at[i]:at[i + 1]]
         self.ids = np.zeros(0, np.uint32)
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, counts) of the words ``texts``. The special token between words cuts the text before any other step, so each word is encoded as if alone."""
-        plain = [i for i, x in enumerate(texts) if self.cut is not None and "<|" not in x and self.cut not in x]
-        counts = np.zeros(len(texts), np.int64)
-        found: list[np.ndarray] = []
-        joined = [self.cut.join(texts[i] for i in plain[k : k + TOGETHER]) for k in range(0, len(plain), TOGETHER)]
-        for k, x in zip(range(0, len(plain), TOGETHER), self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-            ids = np.array(x.ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.cut_id)
-            counts[plain[k : k + TOGETHER]] = np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
-            found.append(np.delete(ids, cuts))
-        order = list(plain)
-        for i in sorted(set(range(len(texts))) - set(plain)):
-            ids = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
-            counts[i] = len(ids)
-            order.append(i)
-            found.append(ids)
-        ids = np.concatenate(found) if found else np.zeros(0, np.uint32)
-        start = np.zeros(len(texts), np.int64)
-        start[order] = np.cumsum(counts[order]) - counts[order]
-        return ids[_ranges(start, counts)], counts
+        """(ids, counts) of the words ``texts``."""
+        found = [x.ids for i in range(0, len(texts), TOGETHER) for x in self.tokenizer.encode_batch_fast(texts[i : i + TOGETHER], add_special_tokens=False)]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts
 
     def _learn(self, h: np.ndarray, texts: list[str]) -> None:
         ids, n = self._ids(texts)
@@ -103,20 +93,39 @@ class Encoder:
         """(ids, bounds): text i has ids[bounds[i]:bounds[i + 1]]."""
         data, offsets = W.flat(column)
         start, end, bounds = W.words(data, offsets, W.NOT_WHITE)
-        h, first, word = np.unique(W.hashes(data, start, end), return_index=True, return_inverse=True)
+        low = W.LOWER[data]
+        folded = np.zeros(len(start), bool)
+        whole = low.tobytes()
+        if not any(x in whole for x in self.special):  # an added token is found before any other step
+            start, end = cut(data, start, end)
+            bounds = np.searchsorted(start, offsets)
+            beyond = np.concatenate([[0], np.cumsum(data >= 0x80)])
+            folded = beyond[end] == beyond[start]
+        hashes = W.hashes(low, start, end)
+        hashes[~folded] = W.hashes(data, start[~folded], end[~folded])
+        h, first, word = np.unique(hashes, return_index=True, return_inverse=True)
         place = np.searchsorted(self.known, h)
         new = np.ones(len(h), bool) if not len(self.known) else self.known[np.minimum(place, len(self.known) - 1)] != h
         if new.any():
-            whole = data.tobytes()
             if len(self.known) > CACHE_WORDS:
                 new[:] = True
-            self._learn(h[new], [whole[start[i] : end[i]].decode("utf-8", "replace") for i in first[new]])
+            raw = data.tobytes()
+            wanted = zip(folded[first[new]].tolist(), start[first[new]].tolist(), end[first[new]].tolist(), strict=True)
+            self._learn(h[new], [(whole if f else raw)[a:b].decode("utf-8", "replace") for f, a, b in wanted])
             place = np.searchsorted(self.known, h)
         begin, n = self.at[place][word], np.diff(self.at)[place][word]
         sums = np.concatenate([[0], np.cumsum(n)])
         return self.ids[_ranges(begin, n)], sums[bounds]
 
 
+def cut(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words cut between an ASCII letter and an ASCII character that is none."""
+    at = np.flatnonzero(_LETTER[data[:-1]] & _OTHER[data[1:]]) + 1
+    first, last = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
+    first[start], last[end], first[at], last[at] = True, True, True, True
+    return np.flatnonzero(first), np.flatnonzero(last)
+
+
 def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """start[0] ... start[0] + n[0] - 1, start[1] ... and so on."""
     total = int(n.sum())
