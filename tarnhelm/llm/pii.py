@@ -2,21 +2,24 @@
 
 Direct identifiers are e-mail addresses, IPv4 addresses, payment cards and phone numbers, found by pattern. Each is a
 protected entity. Terms are words of ``TERM_LENGTH`` letters or digits or more, lower-cased; all terms of a document co-occur
-with the entities it mentions, however far away. Over all documents, with p by documents,
+with the entities it mentions, however far away. Over all documents, with all p by documents,
 
     PMI(entity; term) = log p(entity, term) / (p(entity) p(term)) = IC(entity) + log p(entity | term)
 
 and a term discloses the entity if PMI is ``DISCLOSURE`` of the entity's information content IC or more: p(entity | term)
->= p(entity) ** (1 - DISCLOSURE). Pairs seen in fewer than ``SUPPORT`` documents are no evidence. A disclosing term is
-generalised at every place of the documents that mention its entity: words to ``[TERM]``, numbers to ``[NUMBER]``; direct
-identifiers to their kind.
+>= p(entity) ** (1 - DISCLOSURE). At 0.9, who knows the term knows nine tenths of what the entity's mention says: so a term that
+is in no document without the entity discloses it, and so does one in few others. A disclosing term is generalised at every
+place of the documents that mention its entity: words to ``[TERM]``, numbers to ``[NUMBER]``; direct identifiers to their kind.
+Pairs seen in fewer than ``SUPPORT`` documents are left out; at 1 none is, as most identifiers stand in one document.
 
-Pairs are counted only where they can pass: the entity is in ``SUPPORT`` documents or more, and the term in no more than
-n(entity) / p(entity) ** (1 - DISCLOSURE), as both together are in n(entity) at most. This drops no pair that would disclose.
+Both together are in n(entity) documents at most. So a term can only disclose if it is in no more than n(entity) / p(entity) **
+(1 - DISCLOSURE) documents, and terms that are in more of the documents with identifiers are not counted. The others are
+counted over all documents; a bitmap of their hashes, of fixed size, keeps most words out of that count's shuffle. It drops no
+term, and lets more pass the more terms there are.
 
 Defined cases: a null text is an empty one, without spans; ``sanitise`` leaves it null. Rows with the same doc_id and text
-are one document for the counts and get equal results each. A term that overlaps an identifier is left out. An empty table
-gives an empty result. Extra columns are kept by ``sanitise`` and not read.
+are one document for the counts and get equal results each; the same text under another doc_id is another document. A term that
+overlaps an identifier is left out. An empty table gives an empty result. Extra columns are kept by ``sanitise`` and not read.
 """
 
 from __future__ import annotations
@@ -34,7 +37,9 @@ from . import words as W
 from .common import pieces, written
 
 KINDS = ("email", "ip", "card", "phone")
-SUPPORT, DISCLOSURE, TERM_LENGTH = 3, 0.7, 3
+SUPPORT, DISCLOSURE, TERM_LENGTH = 1, 0.9, 3
+#: Bits of the bitmap of hashes, and of one of the pieces that it is made in: 8 MB in all.
+BITS, PIECE_BITS = 26, 20
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -96,9 +101,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return [(kind, a, b) for kind, find in FINDERS.items() for a, b in find(text)]
 
 
-SCAN = "doc_id long, doc_key long, spans array<struct<kind:string,begin:int,end:int>>, entities array<long>, text string"
-#: Of each term of a text, where it begins and ends.
-TERMS = "doc_key long, term long, begins array<int>, ends array<int>"
+SCAN = "doc_id long, text_key binary, spans array<struct<kind:string,begin:int,end:int>>, entities array<long>, text string, sanitised_sha256 string"
+SPANS = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int32()), ("end", pa.int32())]))
 
 
 def _hash64(raw: bytes) -> int:
@@ -112,37 +116,45 @@ def _entity(kind: str, text: str) -> int:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The text is kept where it has an identifier."""
-    kind_span = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int32()), ("end", pa.int32())]))
+    """The text is kept where it has an identifier; elsewhere its own digest is that of the sanitised one."""
     for batch in pieces(batches, "text"):
         spans: list[list] = []
         entities: list[list] = []
         texts: list[str | None] = []
+        digests: list[str | None] = []
         for text in batch["text"].to_pylist():
             found = base_spans(text or "")
             spans.append([{"kind": k, "begin": a, "end": b} for k, a, b in found])
             entities.append(sorted({_entity(k, text[a:b]) for k, a, b in found}))
             texts.append(text if found else None)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["doc_key"], pa.array(spans, kind_span), pa.array(entities, pa.list_(pa.int64())), pa.array(texts, pa.string())], ["doc_id", "doc_key", "spans", "entities", "text"])
+            digests.append(None if found or text is None else hashlib.sha256(text.encode()).hexdigest())
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_key"], pa.array(spans, SPANS), pa.array(entities, pa.list_(pa.int64())), pa.array(texts, pa.string()), pa.array(digests, pa.string())], [x.name for x in batch.schema if x.name != "text"] + ["spans", "entities", "text", "sanitised_sha256"])
+
+
+def _terms_of(text: str, spans: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, (begin, end)) of each term outside the identifiers, with the hash that ``_term_counts`` gives it."""
+    free = _free(text, [(s["kind"], s["begin"], s["end"]) for s in spans])
+    data, offsets = W.flat(pa.array([text[a:b].translate(_A_TO_Z) for a, b in free.tolist()], pa.string()))
+    return W.hashes(data, offsets[:-1], offsets[1:]), free
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each term of a text outside its identifiers, with the hash that ``_term_counts`` gives it."""
-    names = [x.split()[0] for x in TERMS.split(", ")]
     for batch in pieces(batches, "text"):
-        for row in range(batch.num_rows):
-            text = batch["text"][row].as_py()
-            free = _free(text, [(s["kind"], s["begin"], s["end"]) for s in batch["spans"][row].as_py()])
-            if not len(free):
-                continue
-            data, offsets = W.flat(pa.array([text[a:b].translate(_A_TO_Z) for a, b in free.tolist()], pa.string()))
-            h = W.hashes(data, offsets[:-1], offsets[1:])
-            order = np.argsort(h, kind="stable")
-            h, free = h[order], free[order].astype(np.int32)
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            at = pa.array(np.append(first, len(h)).astype(np.int32))
-            places = [pa.ListArray.from_arrays(at, pa.array(np.ascontiguousarray(free[:, i]))) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), batch["doc_key"][row].as_py())), pa.array(h[first].view(np.int64)), *places], names)
+        found = [np.unique(_terms_of(t, s)[0]) for t, s in zip(batch["text"].to_pylist(), batch["spans"].to_pylist(), strict=True)]
+        of = np.repeat(np.arange(len(found)), [len(x) for x in found])
+        yield pa.RecordBatch.from_arrays([batch["text_key"].take(pa.array(of)), pa.array(np.concatenate(found).view(np.int64))], ["text_key", "term"])
+
+
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spans of the texts with identifiers: these, and where their disclosing terms are."""
+    for batch in pieces(batches, "text"):
+        spans, digests = [], []
+        for text, own, terms in zip(batch["text"].to_pylist(), batch["spans"].to_pylist(), batch["terms"].to_pylist(), strict=True):
+            h, free = _terms_of(text, own)
+            marked = free[np.isin(h.view(np.int64), np.array(terms or [], np.int64))]
+            spans.append(own + [{"kind": "term", "begin": a, "end": b} for a, b in marked.tolist()])
+            digests.append(hashlib.sha256(_replace(text, spans[-1]).encode()).hexdigest())
+        yield pa.RecordBatch.from_arrays([batch["text_key"], pa.array(spans, SPANS), pa.array(digests, pa.string())], ["text_key", "spans", "digest"])
 
 
 def _free(text: str, found: list[tuple[str, int, int]]) -> np.ndarray:
@@ -156,60 +168,85 @@ def _free(text: str, found: list[tuple[str, int, int]]) -> np.ndarray:
     return at[(covered[at[:, 1]] == covered[at[:, 0]]) & (at[:, 1] - at[:, 0] >= TERM_LENGTH)]
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many of the documents each term is, summed over each step before anything is shuffled."""
-    for batch in pieces(batches, "text"):
-        data, offsets = W.flat(batch["text"])
-        data = W.LOWER[data]
-        start, end, bounds = W.words(data, offsets, W.ALNUM)
-        h = W.hashes(data, start, end)
-        row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
-        order = np.lexsort((row, h))
-        h, row = h[order], row[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-        terms, n = np.unique(h[new], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n)], ["term", "n"])
+def _bits(rows: pa.Table) -> pa.Table:
+    """A piece of the bitmap from the hashes that belong to it."""
+    slot = rows["term"].to_numpy().view(W.U) & W.U((1 << PIECE_BITS) - 1)
+    held = np.zeros(1 << PIECE_BITS, bool)
+    held[slot.astype(np.int64)] = True
+    return pa.table({"piece": rows["piece"].slice(0, 1), "bits": pa.array([np.packbits(held).tobytes()], pa.binary())})
+
+
+def _bitmap(terms: DataFrame) -> np.ndarray:
+    """``BITS`` bits of the hashes say where terms may be: one bit for each of 2 ** 26 groups of hashes, whatever their number."""
+    piece = F.col("term").bitwiseAND(F.lit((1 << BITS) - 1))
+    made = terms.select("term", F.shiftright(piece, PIECE_BITS).cast("int").alias("piece")).groupBy("piece").applyInArrow(_bits, "piece int, bits binary")
+    out = np.zeros(1 << BITS - 3, np.uint8)
+    for r in made.collect():  # at most 64 rows
+        out[r["piece"] << PIECE_BITS - 3 : r["piece"] + 1 << PIECE_BITS - 3] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _term_counts(shared):
+    """In how many of the documents each term is, summed over each step before anything is shuffled; only of terms in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = shared.value
+        for batch in pieces(batches, "text"):
+            data, offsets = W.flat(batch["text"])
+            data = W.LOWER[data]
+            start, end, bounds = W.words(data, offsets, W.ALNUM)
+            h = W.hashes(data, start, end)
+            slot = h & W.U((1 << BITS) - 1)
+            fits = np.flatnonzero(bitmap[(slot >> W.U(3)).astype(np.int64)] >> (7 - (slot & W.U(7)).astype(np.uint8)) & 1)
+            h, row = h[fits], np.searchsorted(bounds, fits, side="right")
+            order = np.lexsort((row, h))
+            h, row = h[order], row[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+            terms, n = np.unique(h[new], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n)], ["term", "n"])
+
+    return run
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("doc_key"), "text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5("text")).alias("text_key"), "text")
 
 
 def find_spans(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """doc_id, doc_key, spans: identifiers by kind and start, then ``term`` spans by start."""
-    keyed = _keyed(docs)
+    """doc_id, text_key (digest of the text), spans: identifiers by kind and start, then ``term`` spans by start; sanitised_sha256 of the generalised text."""
+    spark, keyed = docs.sparkSession, _keyed(docs)
     found = written(keyed.mapInArrow(_scan, SCAN), "pii")
-    copies = written(found.groupBy("doc_key").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
-    rows, repeated = found.count(), copies.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0))).first()[0]
+    again = written(found.groupBy("doc_id", "text_key").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
+    rows, repeated = found.count(), again.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0))).first()[0]
     total = float(max(rows - repeated, 1))
-    mentions = found.where(F.size("entities") > 0).select("doc_key", F.explode("entities").alias("entity")).distinct()
-    entities = written(mentions.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support), "entities")
-    mentions = written(mentions.join(entities, "entity"), "mentions")
-    holders = mentions.select("doc_key").distinct()
-    texts = found.where("text is not null").select("doc_key", "text", "spans").join(holders, "doc_key", "left_semi")
-    if repeated:
-        texts = texts.dropDuplicates(["doc_key"])
-    terms = written(texts.mapInArrow(_terms, TERMS), "terms")
-    wanted = terms.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("term")
-    counts = keyed.mapInArrow(_term_counts, "term long, n long")
-    if repeated:  # rows of one document count once
-        again = keyed.join(copies, "doc_key").select("text", F.row_number().over(Window.partitionBy("doc_key").orderBy("doc_key")).alias("nth")).where("nth > 1")
-        counts = counts.union(again.select("text").mapInArrow(_term_counts, "term long, n long").select("term", -F.col("n")))
-    counts = counts.groupBy("term").agg(F.sum("n").alias("n_term")).join(wanted, "term", "left_semi")
     share = F.pow(F.col("n_entity") / F.lit(total), F.lit(1 - disclosure))  # what p(entity | term) has to be
-    most = written(mentions.groupBy("doc_key").agg(F.max(F.col("n_entity") / share).alias("most")), "most")
-    possible = lambda limit: F.col("n_term") <= limit * (1 + 1e-9)
-    rare = written(terms.join(counts, "term").join(most, "doc_key").where(possible(F.col("most"))).select("doc_key", "term", "n_term", "begins", "ends"), "rare")
-    seen = rare.join(mentions, "doc_key").where(possible(F.col("n_entity") / share))
-    pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity"))
-    revealing = written(pairs.where((F.col("both") >= support) & (F.col("both") / F.col("n_term") >= share)).select("entity", "term"), "revealing")
-    marked = seen.join(revealing, ["entity", "term"]).groupBy("doc_key", "term").agg(F.first("begins").alias("begins"), F.first("ends").alias("ends"))
-    place = F.explode(F.arrays_zip("begins", "ends")).alias("at")
-    spans = marked.select("doc_key", place).select("doc_key", F.struct(F.lit("term").alias("kind"), F.col("at.begins").alias("begin"), F.col("at.ends").alias("end")).alias("s"))
-    more = spans.groupBy("doc_key").agg(F.array_sort(F.collect_list("s")).alias("more"))  # one document's
-    none = F.expr("cast(array() as array<struct<kind:string,begin:int,end:int>>)")
-    return found.select("doc_id", "doc_key", "spans").join(more, "doc_key", "left").select("doc_id", "doc_key", F.concat("spans", F.coalesce("more", none)).alias("spans"))
+    held = found.where("text is not null")
+    ids = held.select("text_key", "doc_id").distinct().groupBy("text_key").agg(F.count("*").alias("n"))  # documents with the text
+    first = held.groupBy("text_key").agg(*(F.first(c).alias(c) for c in ("text", "spans", "entities")))
+    texts = written(first.join(ids, "text_key"), "texts")
+    mentions = texts.select("text_key", "n", F.explode("entities").alias("entity"))
+    entities = mentions.groupBy("entity").agg(F.sum("n").alias("n_entity")).where(F.col("n_entity") >= support)
+    mentions = written(mentions.join(entities, "entity").withColumn("most", F.col("n_entity") / share * (1 + 1e-9)), "mentions")
+    most = mentions.agg(F.max("most")).first()[0] or 0.0
+    terms = written(texts.select("text_key", "text", "spans").mapInArrow(_terms, "text_key binary, term long"), "terms")
+    wanted = written(terms.join(texts.select("text_key", "n"), "text_key").groupBy("term").agg(F.sum("n").alias("m")).where(F.col("m") <= most).select("term"), "wanted")
+    count = _term_counts(spark.sparkContext.broadcast(_bitmap(wanted)))
+    counts = keyed.select("text").mapInArrow(count, "term long, n long")
+    if repeated:  # rows of one document count once
+        more = keyed.join(again.drop("copies"), (keyed["doc_id"].eqNullSafe(again["doc_id"])) & (keyed["text_key"] == again["text_key"])).select(keyed["doc_id"], keyed["text_key"], "text")
+        more = more.select("text", F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy("doc_id")).alias("nth")).where("nth > 1")
+        counts = counts.union(more.select("text").mapInArrow(count, "term long, n long").select("term", -F.col("n")))
+    counts = counts.groupBy("term").agg(F.sum("n").alias("n_term")).where(F.col("n_term") <= most).join(wanted, "term", "left_semi")
+    seen = terms.join(counts, "term").join(mentions, "text_key").where(F.col("n_term") <= F.col("most"))
+    seen = written(seen.select("text_key", "term", "entity", "n", "n_term", "n_entity"), "seen")
+    pairs = seen.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity"))
+    revealing = pairs.where((F.col("both") >= support) & (F.col("both") / F.col("n_term") >= share)).select("entity", "term")
+    marks = seen.join(revealing, ["entity", "term"]).groupBy("text_key").agg(F.collect_set("term").alias("terms"))  # one document's
+    marked = texts.select("text_key", "text", "spans").join(marks, "text_key", "left").mapInArrow(_mark, "text_key binary, spans array<struct<kind:string,begin:int,end:int>>, digest string")
+    marked = marked.withColumnRenamed("spans", "_spans")
+    out = found.select("doc_id", "text_key", "spans", "sanitised_sha256").join(marked, "text_key", "left")
+    return out.select("doc_id", "text_key", F.coalesce("_spans", "spans").alias("spans"), F.coalesce("digest", "sanitised_sha256").alias("sanitised_sha256"))
 
 
 def _joined(spans: Column) -> Column:
@@ -219,7 +256,7 @@ def _joined(spans: Column) -> Column:
 def report(found: DataFrame) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("spans", lambda s: s["kind"].isin(*KINDS))
-    return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in KINDS), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in KINDS), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), "sanitised_sha256")
 
 
 def _replace(text: str, spans: list[dict]) -> str:
@@ -239,9 +276,9 @@ def _replace(text: str, spans: list[dict]) -> str:
 
 def sanitise(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """``docs`` with identifiers and disclosing terms of ``text`` generalised; all columns stay."""
-    spans = find_spans(docs, support, disclosure).where(F.size("spans") > 0).select(F.col("doc_key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_key"])
-    packed = docs.select(F.struct("*").alias("_row"), F.xxhash64("doc_id", "text").alias("_doc_key"))
-    joined = packed.join(spans, packed["_doc_key"] == spans["_key"], "left")
+    spans = find_spans(docs, support, disclosure).where(F.size("spans") > 0).select(F.col("text_key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_key"])
+    packed = docs.select(F.struct("*").alias("_row"), F.unhex(F.md5("text")).alias("_text_key"))
+    joined = packed.join(spans, packed["_text_key"] == spans["_key"], "left")
 
     @F.pandas_udf("string")
     def replaced(text, found):

@@ -228,3 +228,44 @@ def test_revealing_terms_far_from_a_mention_are_generalised(spark):
     limit = lambda p: 1 - math.log(p) / math.log(4 / 65)
     marked = lambda p: any(s.kind == "term" and s.begin == 0 for r in pii.find_spans(docs, disclosure=limit(p)).collect() for s in r.spans if r.doc_id == 0)
     assert marked(0.79) and not marked(0.81)
+
+
+@pytest.mark.parametrize(("support", "disclosure"), [(1, 0.9), (2, 0.7), (1, 0.4)])
+def test_term_spans_equal_brute_force(spark, support, disclosure):
+    """PMI by documents from its definition; rows with the same doc_id and text are one document."""
+    from tarnhelm.llm import pii
+
+    rng = random.Random(21)
+    vocabulary = [f"w{i}é" if i % 7 == 0 else f"w{i}" for i in range(60)]
+    table = []
+    for i in range(80):
+        words = [rng.choice(vocabulary[: rng.choice([10, 30, 60])]) for _ in range(rng.randrange(1, 25))]
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            words.insert(rng.randrange(len(words)), rng.choice(["a@b.org", "A@b.org", "c@d.com", "10.0.0.1", f"x{i}@y.net"]))
+        table += [(rng.choice([i, i, None]), " ".join(words))] * rng.choice([1, 1, 3])
+    table += [(500 + i, table[i][1]) for i in range(10)]
+    documents = set(table)
+    plain = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    facts = []
+    for doc_id, text in documents:
+        base = pii.base_spans(text)
+        free = [m.span() for m in plain.finditer(text.lower()) if m.end() - m.start() >= 3 and all(m.end() <= a or m.start() >= b for _, a, b in base)]
+        facts.append(({text[a:b].lower() for _, a, b in base}, set(plain.findall(text.lower())), {text[a:b].lower() for a, b in free}, doc_id, text, base, free))
+    n = len(documents)
+    expected = {}
+    for entities, _, own, doc_id, text, base, free in facts:
+        marked = set()
+        for e in entities:
+            with_e = [f for f in facts if e in f[0]]
+            for t in own:
+                both, alone = sum(t in f[2] for f in with_e), sum(t in f[1] for f in facts)
+                pmi = math.log(both / n / (len(with_e) / n * alone / n))
+                if len(with_e) >= support and both >= support and pmi >= disclosure * -math.log(len(with_e) / n) - 1e-12:
+                    marked.add(t)
+        spans = [*base, *(("term", a, b) for a, b in free if text[a:b].lower() in marked)]
+        expected[doc_id, text] = spans
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    by_digest = {(d, hashlib.md5(t.encode()).digest()): s for (d, t), s in expected.items()}
+    got = [((r.doc_id, bytes(r.text_key)), [(s.kind, s.begin, s.end) for s in r.spans]) for r in pii.find_spans(docs, support, disclosure).collect()]
+    assert len(got) == len(table) and all(by_digest[k] == s for k, s in got)
+    assert any(k == "term" for _, s in got for k, _, _ in s)
