@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,23 +35,6 @@ def dotted(qid: Column, pattern: str) -> Column:
     return F.concat(F.lit("."), qid).rlike("(?s)" + dotted_regex(pattern))
 
 
-def dotted_plain(qid: str, pattern: str) -> bool:
-    """The same by walking both lists; what tests compare with."""
-    q, p = qid.split("."), pattern.split(".")
-    a = b = 0
-    while a < len(q) and b < len(p):
-        if p[b] == "**":
-            if b == len(p) - 1:
-                return True
-            b += 1
-            a = next((k for k in range(a, len(q)) if q[k] == p[b]), len(q))
-        elif p[b] == "*" or p[b] == q[a]:
-            a, b = a + 1, b + 1
-        else:
-            return False
-    return a == len(q) and all(x == "**" for x in p[b:])
-
-
 def chain_matches(chain: Column, segments: Column) -> Column:
     """A call chain, root to leaf, of (kind, name) matches the segments of a signature, from the leaf back.
 
@@ -120,11 +104,58 @@ def selectors(rule: dict) -> list[tuple[str, int | None, str | None]]:
     return list(dict.fromkeys(out))
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _first_replaced(text: Column, old: str, new: str) -> Column:
+    def cut(x: Column) -> Column:
+        at = F.instr(x, old)
+        return F.when(at > 0, F.concat(F.substring(x, F.lit(1), at - 1), F.lit(new), F.substring(x, at + len(old), F.length(x)))).otherwise(x)
+
+    return _let(text, cut)
+
+
+def without_parentheses(text: Column) -> Column:
+    """Without parentheses and all that is in them, nested ones too; an open one takes the rest with it."""
+    start = F.struct(F.lit(0).alias("level"), F.lit("").alias("out"))
+
+    def step(s: Column, c: Column) -> Column:
+        level = F.when(c == "(", s["level"] + 1).when(c == ")", F.greatest(s["level"] - 1, F.lit(0))).otherwise(s["level"])
+        return F.struct(level.alias("level"), F.when((s["level"] == 0) & ~c.isin("(", ")"), F.concat(s["out"], c)).otherwise(s["out"]).alias("out"))
+
+    return F.when(text.rlike("[()]"), F.aggregate(F.split(text, ""), start, step)["out"]).otherwise(text)
+
+
+# Marks inside qualified ids.
+BLOCK_MARKS, BLOCK_STARTS = ("<block", "<fileblock_", "<object", "__tmp"), ("<block", "<fileblock_", "<object_", "__tmp")
+GLOBAL_MARKS = ("<global>.", "packageManager.", "moduleManager.", "fileManager.")
+ALIASES = (("Egg.Application", "app"), ("Egg.Context", "ctx"))
+LIBRARY_PREFIX = "syslib_from."
+
+
+def without_blocks(qid: Column) -> Column:
+    """Without the segments of blocks, and those that are the one before and ``_scope``, if there is any mark of a block."""
+    parts = F.split(qid, r"\.")
+    before = lambda i: F.when(i == 0, "NaN").otherwise(F.element_at(parts, F.greatest(i, F.lit(1))))
+    block = lambda x: F.coalesce(*(F.when(F.startswith(x, F.lit(m)), True) for m in BLOCK_STARTS), F.lit(False))
+    kept = F.filter(parts, lambda x, i: ~block(x) & (x != F.concat(before(i), F.lit("_scope"))))
+    return F.when(F.greatest(*(F.instr(qid, m) for m in BLOCK_MARKS)) > 0, F.array_join(kept, ".")).otherwise(qid)
+
+
 def unified_qid(qid: Column) -> Column:
-    """A qualified id without what differs between equal symbols: instance and location marks, index brackets, doubled dots."""
-    for pattern, by in ((r"<[^<>]*>", ""), (r"\[[^\]]*\]", ""), (r"@[0-9_]+", ""), (r"\.{2,}", "."), (r"^\.|\.$", "")):
-        qid = F.regexp_replace(qid, pattern, by)
-    return qid
+    """A qualified id without what differs between equal symbols, in this order: path separators, framework aliases, parentheses, blocks, instances, copies, global prefixes, clones, the prefix of unresolved imports."""
+    qid = F.replace(F.regexp_replace(qid, "^/", ""), F.lit("/"), F.lit("."))
+    for old, new in ALIASES:
+        qid = _first_replaced(qid, old, new)
+    qid = _let(_let(qid, without_parentheses), without_blocks)
+    for mark in ("instance_", "copied"):
+        qid = F.regexp_replace(qid, f"<{mark}[^.]*?_endtag>", "")
+    for mark in GLOBAL_MARKS:
+        qid = _first_replaced(qid, mark, "")
+    qid = F.regexp_replace(qid, "<cloned[^.]*?_endtag>", "")
+    return F.regexp_replace(qid, "^" + re.escape(LIBRARY_PREFIX), "")
 
 
 def summary_function(text: Column) -> dict[str, Column]:

@@ -31,6 +31,13 @@ DEFINITIONS: dict[str, str] = {
     "steps": """SELECT user_id AS finding, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS pos,
         CASE event_type WHEN 'signup' THEN 'SOURCE: ' WHEN 'click' THEN 'CALL: ' WHEN 'view' THEN 'ARG PASS: ' WHEN 'purchase' THEN 'SINK: ' ELSE 'Var Pass: ' END AS tag,
         concat('f', event_id % 7, '.py') AS file, CAST(event_id % 100 AS INT) AS line FROM {events}""",
+    "traces": """SELECT user_id * 100000 + r - r % 5 AS finding, CAST(r % 5 + 1 AS INT) AS pos,
+        CASE WHEN r % 5 = 0 AND event_id % 10 < 9 THEN 'SOURCE: ' WHEN event_type = 'purchase' OR r % 5 = 4 AND event_id % 10 < 8 THEN 'SINK: ' WHEN event_type = 'click' THEN 'CALL: ' WHEN event_type = 'view' THEN 'ARG PASS: '
+        WHEN event_id % 3 = 0 THEN 'CALL RETURN:' WHEN event_id % 3 = 1 THEN 'Return Value: ' ELSE 'Var Pass: ' END AS tag,
+        concat('f', user_id % 3, '.py') AS file, CAST(event_id % 4 * 25 AS INT) AS line, CASE WHEN event_id % 9 = 0 THEN concat('fn', event_id % 4) END AS func, event_id % 3 > 0 AS callback, concat('fn', user_id % 4) AS owner
+        FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS r FROM {events}) e""",
+    "stacks": """SELECT DISTINCT t.finding, i.idx, t.file, CAST(25 * i.idx AS INT) AS start_line, CAST(CASE i.idx WHEN 0 THEN 99 WHEN 1 THEN 75 ELSE 60 END AS INT) AS end_line, concat('fn', i.idx) AS func,
+        CASE WHEN i.idx > 0 THEN t.file END AS call_file, CAST(25 * i.idx - 20 AS INT) AS call_line FROM {traces} t CROSS JOIN (SELECT CAST(n_nationkey AS INT) AS idx FROM {nation} WHERE n_nationkey < 3) i WHERE i.idx < 2 OR t.finding % 2 = 0""",
     "source_files": """SELECT concat(source, '/', doc_id, '.txt') AS file_path, text AS content FROM {documents}""",
     "changes": """SELECT * FROM (VALUES (1, 'm3/h11.go', 1, 60), (2, '/src/m7/h20.go', 100, 240), (3, 'm12/h40.ts', 1, 500), (4, 'M5/H33.GO', 30, 90), (5, 'h50.go', 200, 230), (6, 'src/m0/h0.go', 0, 499),
         (7, 'm9/h77.ts', 241, 250), (8, 'none/such.go', 1, 9)) AS c(change_id, path, first_line, last_line)""",

@@ -288,9 +288,24 @@ def w04_valid_boundary(load):
     return trace.valid_findings(trace.bounded(load("steps")))
 
 
-@query("SELECT finding, bool_and(tag <> 'ARG PASS: ' OR passing) AS valid FROM (SELECT *, coalesce(last_other = 'CALL: ', false) AS passing FROM (SELECT *, last_value(CASE WHEN tag <> 'ARG PASS: ' THEN tag END IGNORE NULLS) OVER (PARTITION BY finding ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_other FROM {steps}) x) y GROUP BY finding")
-def w05_segment_fold(load):
-    return trace.segment_fold(load("steps"))
+_IN_FRAME = "SELECT t.finding, t.pos, t.tag, coalesce(max(k.idx), -1) AS frame FROM {traces} t LEFT JOIN {stacks} k ON k.finding = t.finding AND k.file = t.file AND t.line BETWEEN k.start_line AND k.end_line GROUP BY t.finding, t.pos, t.tag"
+
+
+@query(
+    "WITH RECURSIVE f AS ("
+    + _IN_FRAME
+    + "), nx AS (SELECT a.finding, a.pos, min_by(b.tag, b.pos) AS ntag, min_by(b.frame, b.pos) AS nframe FROM f a JOIN f b ON b.finding = a.finding AND b.pos > a.pos AND b.tag <> 'SOURCE: ' GROUP BY a.finding, a.pos), "
+    "x AS (SELECT f.*, CASE WHEN ntag IN ('ARG PASS: ', 'SINK: ') THEN NULL ELSE nframe END AS back FROM f LEFT JOIN nx USING (finding, pos)), "
+    "w AS (SELECT DISTINCT finding, 0 AS pos, -1 AS cur, -1 AS pend, true AS ok FROM f UNION ALL SELECT x.finding, x.pos, "
+    "CASE WHEN x.tag = 'ARG PASS: ' THEN x.frame WHEN cur < 0 OR x.tag IN ('SOURCE: ', 'SINK: ', 'CALL: ') OR x.frame = cur THEN cur WHEN x.frame > cur AND (pend = cur OR pend = x.frame) THEN x.frame "
+    "WHEN x.tag = 'Return Value: ' AND coalesce(x.back = cur, false) THEN cur WHEN x.frame BETWEEN 0 AND cur - 1 AND (x.tag = 'CALL RETURN:' OR pend < 0) THEN x.frame ELSE cur END, "
+    "CASE WHEN x.tag = 'ARG PASS: ' THEN -1 WHEN cur < 0 OR x.tag IN ('SOURCE: ', 'SINK: ') THEN pend WHEN x.tag = 'CALL: ' THEN x.frame WHEN x.frame = cur OR x.frame > cur AND (pend = cur OR pend = x.frame) THEN -1 "
+    "WHEN x.tag = 'Return Value: ' AND coalesce(x.back = cur, false) THEN pend WHEN x.tag = 'CALL RETURN:' AND x.frame BETWEEN 0 AND cur - 1 THEN -1 ELSE pend END, "
+    "ok AND (cur < 0 OR x.tag IN ('ARG PASS: ', 'SOURCE: ', 'SINK: ', 'CALL: ') OR x.frame = cur OR x.frame > cur AND (pend = cur OR pend = x.frame) OR x.tag = 'Return Value: ' AND coalesce(x.back = cur, false) OR x.frame BETWEEN 0 AND cur - 1 AND (x.tag = 'CALL RETURN:' OR pend < 0)) "
+    "FROM w JOIN x ON x.finding = w.finding AND x.pos = w.pos + 1) SELECT finding, bool_and(ok) AS valid FROM w GROUP BY finding"
+)
+def w05_segments_in_frame(load):
+    return trace.segments_in_frame(trace.frames(load("traces"), load("stacks")))
 
 
 _SUMMARY = "SELECT finding, count(*) AS n, concat(min_by(tag, pos), min_by(concat(file, ':', line), pos)) AS source, concat(max_by(tag, pos), max_by(concat(file, ':', line), pos)) AS sink FROM (" + _BOUND + ") b GROUP BY finding"
@@ -301,12 +316,13 @@ def a06_shortest_trace(load):
     return trace.shortest_per_flow(trace.bounded(load("steps"))).select("source", "sink", "finding", "n")
 
 
-_MID = "SELECT s.*, coalesce(m.places, []) AS places FROM (" + _SUMMARY + ") s LEFT JOIN (SELECT finding, list(DISTINCT concat(file, ':', line)) AS places FROM (SELECT *, row_number() OVER (PARTITION BY finding ORDER BY pos) AS r, count(*) OVER (PARTITION BY finding) AS c FROM (" + _BOUND + ") b) z WHERE r > 1 AND r < c GROUP BY finding) m ON m.finding = s.finding"
+_SHORT = _BOUND.replace("{steps}", "{traces}")
+_MID = "SELECT s.*, coalesce(m.places, []) AS places FROM (" + _SUMMARY.replace("{steps}", "{traces}") + ") s LEFT JOIN (SELECT finding, list(DISTINCT concat(file, ':', line)) AS places FROM (SELECT *, row_number() OVER (PARTITION BY finding ORDER BY pos) AS r, count(*) OVER (PARTITION BY finding) AS c FROM (" + _SHORT + ") b) z WHERE r > 1 AND r < c GROUP BY finding) m ON m.finding = s.finding"
 
 
 @query("SELECT DISTINCT a.finding FROM (" + _MID + ") a JOIN (" + _MID + ") b ON a.source = b.source AND a.sink = b.sink AND a.n < b.n WHERE a.source LIKE 'SOURCE: %' AND a.sink LIKE 'SINK: %' AND (a.n = 2 OR len(list_filter(a.places, lambda x: NOT list_contains(b.places, x))) = 0)")
 def w10_degenerate(load):
-    return trace.degenerate(trace.bounded(load("steps")))
+    return trace.degenerate(trace.bounded(load("traces")))
 
 
 @query("SELECT file, min(line) AS first_line, max(line) AS last_line FROM (SELECT *, line - row_number() OVER (PARTITION BY file ORDER BY line) AS g FROM (SELECT DISTINCT file, line FROM {nodes}) d) x GROUP BY file, g")
@@ -427,6 +443,17 @@ def r02_dotted_patterns(load):
     return load("nodes").select("qid").distinct().select("qid", patterns.dotted(q, "svc.*.p7").alias("one"), patterns.dotted(q, "svc.**").alias("rest"))
 
 
+_MARKED = "SELECT DISTINCT concat('/src/', qid, '.f_scope.<block_', line % 3, '>.<instance_', col, '_endtag>', CASE line % 3 WHEN 0 THEN '(a(b))' WHEN 1 THEN '<copied_x_endtag>' ELSE '<cloned1_endtag>' END, '.g') AS qid FROM {nodes} WHERE line < 60"
+
+
+@query("SELECT qid, regexp_replace(regexp_replace(replace(replace(substr(qid, 2), '/', '.'), '(a(b))', ''), '\\.<block_[0-9]>', '', 'g'), '<(instance_|copied|cloned)[^.]*?_endtag>', '', 'g') AS unified FROM (" + _MARKED + ") m")
+def r10_unified_qids(load):
+    line, mark = F.col("line"), F.lit
+    tail = F.when(line % 3 == 0, "(a(b))").when(line % 3 == 1, "<copied_x_endtag>").otherwise("<cloned1_endtag>")
+    marked = load("nodes").where("line < 60").select(F.concat(mark("/src/"), "qid", mark(".f_scope.<block_"), line % 3, mark(">.<instance_"), "col", mark("_endtag>"), tail, mark(".g")).alias("qid")).distinct()
+    return marked.select("qid", patterns.unified_qid(F.col("qid")).alias("unified"))
+
+
 @query("SELECT lower(qid) AS a, replace(qid, '.', '/') AS b, length(qid) AS n, strpos(qid, '.p') AS at, sha256(qid) AS digest FROM (SELECT DISTINCT qid FROM {nodes}) n")
 def f_scalars(load):
     return load("nodes").select("qid").distinct().select(F.lower("qid").alias("a"), F.replace("qid", F.lit("."), F.lit("/")).alias("b"), F.length("qid").cast("long").alias("n"), F.instr("qid", ".p").cast("long").alias("at"), F.sha2("qid", 256).alias("digest"))
@@ -510,11 +537,11 @@ def y02_argument_types(load):
     return types.argument_types(load("callgraph").select(F.col("ep_id").alias("call"), F.lit(0).alias("idx"), F.col("resolution_kind").alias("type")))
 
 
-@query("SELECT c_custkey AS call, concat('N', c_nationkey) AS owner, 'run' AS method, 1 AS pos, true AS resolved FROM {customer} UNION ALL SELECT c_custkey, concat('C', c2), 'run', 0, true FROM (SELECT a.c_custkey, b.c_custkey AS c2 FROM {customer} a JOIN {customer} b ON a.c_nationkey = b.c_nationkey AND b.c_custkey % 50 = 0) x")
+@query("SELECT c_custkey AS call, concat('N', c_nationkey) AS owner, 'run' AS method, 1 AS pos, true AS resolved FROM {customer} UNION ALL SELECT c_custkey, concat('C', c2), 'run', 0, true FROM (SELECT a.c_custkey, b.c_custkey AS c2 FROM {customer} a JOIN {customer} b ON a.c_nationkey = b.c_nationkey AND b.c_acctbal > 9800) x")
 def y04_overloads(load):
-    """Every nation has run(x), run(int); some customers, its subtypes, run(int) only: a call with an int takes the matching one of each."""
+    """Every nation has run(x), run(int); its richest customers, its subtypes, run(int) only: a call with an int takes the matching one of each."""
     methods = load("nation").select(F.concat(F.lit("N"), "n_nationkey").alias("owner"), F.lit("run").alias("method"), F.explode(F.array(F.struct(F.lit(0).alias("pos"), F.lit("x").alias("t")), F.struct(F.lit(1).alias("pos"), F.lit("int").alias("t")))).alias("m")).select("owner", "method", "m.pos", F.array("m.t").alias("param_types"), F.lit(False).alias("varargs"))
-    own = load("customer").where("c_custkey % 50 = 0").select(F.concat(F.lit("C"), "c_custkey").alias("owner"), F.lit("run").alias("method"), F.lit(0).alias("pos"), F.array(F.lit("lang.int")).alias("param_types"), F.lit(False).alias("varargs"))
+    own = load("customer").where("c_acctbal > 9800").select(F.concat(F.lit("C"), "c_custkey").alias("owner"), F.lit("run").alias("method"), F.lit(0).alias("pos"), F.array(F.lit("lang.int")).alias("param_types"), F.lit(False).alias("varargs"))
     calls = load("customer").select(F.col("c_custkey").alias("call"), F.concat(F.lit("N"), "c_nationkey").alias("owner"), F.lit("run").alias("method"), F.array(F.lit("int")).alias("arg_types"), F.lit(False).alias("via_super"))
     subs = load("class_edges").where("super like 'N%'").select("super", "sub")
     return types.resolve(calls, methods.unionByName(own), subs)
@@ -622,9 +649,34 @@ def w07_first_pass_per_frame(load):
     return trace.first_pass_per_frame(trace.frames(load("steps"), _stack(load))).select("finding", "pos")
 
 
-@query("SELECT finding, pos FROM (SELECT *, lead(tag) OVER w AS nt, lead(frame) OVER w AS nf, lag(tag) OVER w AS pt, lag(frame) OVER w AS pf FROM (" + _FRAMED + ") f WINDOW w AS (PARTITION BY finding ORDER BY pos)) x WHERE NOT (frame IS NULL AND tag = 'CALL: ' AND coalesce(nt = 'ARG PASS: ' AND nf IS NULL, false)) AND NOT (frame IS NULL AND tag = 'ARG PASS: ' AND coalesce(pt = 'CALL: ' AND pf IS NULL, false))")
+_CALLBACKS = "SELECT * FROM (SELECT t.*, callback AND tag = 'CALL: ' AND coalesce(lead(callback AND tag = 'ARG PASS: ') OVER w, false) AND owner NOT IN (SELECT k.func FROM {stacks} k WHERE k.finding = t.finding) AS a, callback AND tag = 'ARG PASS: ' AND coalesce(lag(callback AND tag = 'CALL: ') OVER w, false) AND owner NOT IN (SELECT k.func FROM {stacks} k WHERE k.finding = t.finding) AS b FROM {traces} t WINDOW w AS (PARTITION BY finding ORDER BY pos)) x WHERE NOT a AND NOT b"
+
+
+@query("SELECT finding, pos FROM (" + _CALLBACKS + ") c")
 def w06_foreign_callbacks(load):
-    return trace.without_foreign_callbacks(trace.frames(load("steps"), _stack(load))).select("finding", "pos")
+    return trace.without_foreign_callbacks(load("traces"), load("stacks")).select("finding", "pos")
+
+
+@query(
+    "WITH RECURSIVE f AS (" + _IN_FRAME + "), k AS (SELECT c.finding, c.pos, c.tag, f.frame FROM (" + _CALLBACKS + ") c JOIN f USING (finding, pos) WHERE c.tag IN ('SOURCE: ', 'SINK: ') OR f.frame >= 0 AND (c.func IS NULL OR c.func IN (SELECT s.func FROM {stacks} s WHERE s.finding = c.finding))), "
+    "p AS (SELECT *, row_number() OVER (PARTITION BY finding ORDER BY pos) AS n FROM k WHERE tag = 'ARG PASS: '), depth AS (SELECT finding, count(DISTINCT idx) AS d FROM {stacks} GROUP BY finding), "
+    "w AS (SELECT finding, d, 0::BIGINT AS n, 1 AS nxt, 0 AS pos, false AS took FROM depth UNION ALL SELECT w.finding, w.d, p.n, CASE WHEN nxt < d AND p.frame IN (nxt, nxt - 1) THEN nxt + 1 ELSE nxt END, p.pos, nxt < d AND p.frame IN (nxt, nxt - 1) FROM w JOIN p ON p.finding = w.finding AND p.n = w.n + 1), "
+    "m AS (SELECT k.*, k.tag = 'ARG PASS: ' AND NOT coalesce(w.took, false) AS gone FROM k LEFT JOIN w ON w.finding = k.finding AND w.pos = k.pos AND w.n > 0), z AS (SELECT *, coalesce(lead(gone) OVER (PARTITION BY finding ORDER BY pos), false) AS nxt FROM m) "
+    "SELECT finding, pos, frame FROM z WHERE NOT gone AND NOT (tag = 'CALL: ' AND nxt)"
+)
+def w06_callstack_order(load):
+    return trace.in_callstack_order(load("traces"), load("stacks")).select("finding", "pos", F.coalesce("frame", F.lit(-1)).alias("frame"))
+
+
+@query()
+def w09_bridges(load):
+    return trace.bridged(trace.in_callstack_order(trace.bounded(load("traces")), load("stacks")), load("stacks")).select("finding", "pos", "tag", "file", "line")
+
+
+@query()
+def t22_callstack_findings(load):
+    """Verdicts of the whole chain of checks and corrections, findings kept and rejected by their reason."""
+    return trace.callstack_findings(load("traces"), load("stacks"))[1]
 
 
 @query("SELECT f.finding, e >= 1 AND coalesce(n, 1) >= e + 1 AS valid FROM (SELECT finding, count(DISTINCT CASE WHEN tag = 'ARG PASS: ' AND frame >= 1 THEN frame END) + sum(CASE WHEN tag = 'SINK: ' THEN 1 ELSE 0 END) AS e FROM (" + _FRAMED + ") f GROUP BY finding) f LEFT JOIN (SELECT finding, count(DISTINCT idx) + 1 AS n FROM (" + _STACK + ") k GROUP BY finding) k ON k.finding = f.finding")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import random
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,16 +11,22 @@ from tarnhelm.sources import findings, frontend, rules
 from tarnhelm.streaming import snapshots
 
 
+# Expectations from the rule's statement: pattern, names that match, names that don't.
+DOTTED = [
+    ("a", "a", "a.a b"), ("a.*.c", "a.b.c a.c.c", "a.c a.b.b.c b.b.c a.b.d"), ("a.**", "a a.b a.b.c", "b b.a"), ("**", "a a.b.c", ""), ("**.**", "a a.b", ""),
+    ("**.c", "c a.c a.b.c", "a.b c.c c.d"), ("**.*", "* a.*", "a a.b *.*"), ("a.**.b.*", "a.b.c a.x.b.c a.x.y.b.b", "a.b a.x.b.c.d a.b.c.b.x b.b.c"), ("*.**.a", "x.a a.a x.y.a", "a x.y x.a.a"), ("b.**.c.**", "b.c b.x.c b.x.c.y.z", "b.x c.b.c b"),
+]
+
+
 def test_dotted_patterns(spark):
-    rng = random.Random(1)
-    qids = sorted({".".join(rng.choice("abc*") for _ in range(rng.randrange(1, 5))) for _ in range(80)})
-    df = spark.createDataFrame([(q,) for q in qids], "qid string")
-    wanted = ["a.*.c", "**", "**.c", "a.**", "a", "**.*", "a.**.b.*", "**.**", "*.**.a", "b.**.c.**"]
-    got = df.select("qid", *(patterns.dotted(F.col("qid"), p).alias(str(i)) for i, p in enumerate(wanted))).collect()
-    for r in got:
-        assert [r[i + 1] for i in range(len(wanted))] == [patterns.dotted_plain(r.qid, p) for p in wanted], r
+    df = spark.createDataFrame([(q,) for q in sorted({q for _, a, b in DOTTED for q in f"{a} {b}".split()})], "qid string")
+    got = df.select("qid", *(patterns.dotted(F.col("qid"), p).alias(str(i)) for i, (p, _, _) in enumerate(DOTTED))).collect()
+    for i, (pattern, yes, no) in enumerate(DOTTED):
+        found = {r.qid for r in got if r[i + 1]}
+        assert set(yes.split()) <= found and not set(no.split()) & found, pattern
 
 
+# Signatures that chains match, and don't.
 CHAINS = [
     ("id:a", "a", True), ("id:a", "b", False), ("id:b", "a.b", False), ("id:a member:b", "a.b", True), ("id:a member:b", "x.b", False), ("id:a member:b member:c", "b.c", False), ("id:a call:b member:c", "b.c", True), ("id:a call:b member:c", "a.b.c", True), ("id:a member:c", "b.c", False),
     ("call:a member:c", "b.c", False), ("call:a member:c", "a.c", True), ("id:a call:b call:c member:d", "a.b.c.d", True), ("id:a call:b call:c member:d", "b.c.d", True), ("id:a call:b call:c member:d", "x.c.d", False), ("id:q", "**", True), ("id:q member:c", "**.c", True), ("id:a member:bar", "a.b*", True),
@@ -119,14 +123,47 @@ def test_traces(spark):
     assert [r.pos for r in b.where("finding = 0").orderBy("pos").collect()] == [1, 2, 3, 4]
     assert trace.drop_adjacent_repeats(b).where("finding = 0").count() == 3
     assert {r.finding: r.valid for r in trace.valid_findings(b).collect()} == {0: True, 1: True, 2: True, 3: True}
-    assert {r.finding: r.valid for r in trace.segment_fold(b).collect()} == {0: True, 1: True, 2: False, 3: True}
     assert [r.finding for r in trace.degenerate(b).collect()] == [1]
-    stack = spark.createDataFrame([(3, 0, "b", 1, 10, 2), (3, 1, "b", 3, 4, 3), (3, 2, "z", 1, 2, 1)], "finding int, idx int, file string, start_line int, end_line int, call_line int")
+    stack = spark.createDataFrame([(3, 0, "b", 1, 10, "b", 2), (3, 1, "b", 3, 4, "b", 2), (3, 2, "z", 1, 2, "b", 4), (3, 3, "y", 1, 2, None, None)], STACK)
     framed = trace.frames(b.where("finding = 3"), stack)
     assert [r.frame for r in framed.orderBy("pos").collect()] == [0, 0, 1, 1]
     assert trace.edge_invariant(framed, stack).first().valid
-    assert [r.tag for r in trace.bridged(framed, stack).orderBy("pos").collect()] == [S, C, A, C, A, K]
-    assert trace.first_pass_per_frame(framed).count() == 4 and trace.without_foreign_callbacks(framed).count() == 4
+    assert [(r.tag, r.file, r.line) for r in trace.bridged(framed, stack).orderBy("pos").collect()] == [(S, "b", 1), (C, "b", 2), (A, "b", 3), (C, "b", 4), (A, "z", 1), (A, "y", 1), (K, "b", 4)]
+    assert trace.first_pass_per_frame(framed).count() == 4
+
+
+STACK = "finding int, idx int, file string, start_line int, end_line int, call_file string, call_line int"
+
+
+def test_segments_and_callstack_order(spark):
+    S, K, C, A, V, R, B = "SOURCE: ", "SINK: ", "CALL: ", "ARG PASS: ", "Var Pass: ", "CALL RETURN:", "Return Value: "
+    # Frames by line: 0 is 1-99, 1 is 20-60, 2 is 30-40.
+    cases = [
+        ([(S, 1), (C, 2), (A, 21), (V, 22), (K, 23)], True), ([(S, 1), (C, 2), (A, 21), (V, 70), (K, 70)], True), ([(S, 1), (C, 2), (A, 21), (V, 31), (K, 31)], False), ([(S, 1), (A, 21), (C, 22), (V, 31), (K, 31)], True),
+        ([(S, 1), (A, 2), (C, 35), (V, 35), (K, 35)], True), ([(S, 1), (A, 21), (C, 22), (V, 70), (K, 70)], False), ([(S, 1), (A, 21), (C, 22), (R, 70), (K, 70)], True), ([(S, 1), (A, 21), (C, 22), (B, 70), (V, 25), (K, 25)], True),
+        ([(S, 1), (A, 21), (C, 22), (B, 70), (A, 25), (K, 25)], False), ([(S, 1), (V, 31), (K, 31)], True), ([(S, 1), (A, 21), (V, 200), (K, 31)], False),
+    ]
+    table = [(i, p, t, "b", n, None, t == C or t == A, "f9" if i == 0 else "f1") for i, (tr, _) in enumerate(cases) for p, (t, n) in enumerate(tr)]
+    steps = spark.createDataFrame(table, "finding int, pos int, tag string, file string, line int, func string, callback boolean, owner string")
+    stack = spark.createDataFrame([(i, j, "b", a, z, f"f{j}", None, None) for i in range(len(cases)) for j, (a, z) in enumerate([(1, 99), (20, 60), (30, 40)])], STACK.replace("call_file", "func string, call_file"))
+    assert {r.finding: r.valid for r in trace.segments_in_frame(trace.frames(steps, stack)).collect()} == {i: ok for i, (_, ok) in enumerate(cases)}
+    ordered = trace.in_callstack_order(steps, stack)
+    kept = lambda df, i: [r.pos for r in df.where(f"finding = {i}").orderBy("pos").collect()]
+    assert kept(ordered, 0) == [0, 3, 4] and kept(ordered, 1) == [0, 1, 2, 3, 4] and kept(ordered, 10) == [0, 1, 3]  # a foreign callback; all in order; a step in no frame
+    assert kept(ordered, 8) == [0, 1, 2, 3, 4, 5]  # the second pass is in the frame before the expected one
+    assert kept(trace.in_callstack_order(steps, stack, callee_only=True), 8) == [0, 1, 2, 3, 5]
+    final, verdicts = trace.callstack_findings(steps, stack)  # the bridge into frame 2 mends the third case
+    reasons = {r.finding: r.reason for r in verdicts.collect()}
+    assert reasons[1] is None and reasons[2] is None and reasons[5] == "segment" and final.select("finding").distinct().count() == sum(x is None for x in reasons.values())
+
+
+def test_unified_qids(spark):
+    cases = {
+        "/tp/2.func": "tp.2.func", "a.a_scope.<block_1_2>.b": "a.b", "a.a_scope.b": "a.a_scope.b", "x(y(z)w)v": "xv", "x)y(z": "xy", "c<instance_1_endtag>.d<copied_2_endtag>e<cloned_3_endtag>": "c.de", "<global>.packageManager.m.<global>.n": "m.<global>.n",
+        "syslib_from.os.path": "os.path", "Egg.Context.q.Egg.Context": "ctx.q.Egg.Context", "NaN_scope.__tmp1.z": "z", "p<object>q": "p<object>q", "<instance_a.b_endtag>": "<instance_a.b_endtag>",
+    }
+    df = spark.createDataFrame([(q,) for q in cases], "q string").select("q", patterns.unified_qid(F.col("q")).alias("u"))
+    assert {r.q: r.u for r in df.collect()} == cases
 
 
 def test_taint_and_rules(spark, tmp_path):
