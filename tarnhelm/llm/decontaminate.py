@@ -188,6 +188,6 @@ def report(hits: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` without the rows that hold a window of the benchmark; all columns stay."""
-    bad = find_hits(docs, benchmark, width).where(F.size("first") > 0).select(F.col("doc_key").alias("_bad_key")).distinct()
-    packed = docs.select(F.struct("*").alias("_row"), F.xxhash64("doc_id", "text").alias("_doc_key"))
-    return packed.join(bad, packed["_doc_key"] == bad["_bad_key"], "left_anti").select("_row.*")
+    bad = find_hits(docs, benchmark, width).where(F.size("first") > 0).select(F.col("doc_id").alias("_bad_id"), F.col("doc_key").alias("_bad_key")).distinct()
+    packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc_id"), F.xxhash64("doc_id", "text").alias("_doc_key"))
+    return packed.join(bad, (packed["_doc_key"] == bad["_bad_key"]) & packed["_doc_id"].eqNullSafe(bad["_bad_id"]), "left_anti").select("_row.*")

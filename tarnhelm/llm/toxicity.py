@@ -13,7 +13,7 @@ the least hash of doc_id; that is the only bounded part. All documents are score
 
 Defined cases: a null or empty text has no features; its score is the bias, and it is not toxic. Labelled documents
 without a text, and labels without a document or with a null label, don't train. Several labels of a document count by
-their largest. Without labelled documents all probabilities are 0. Repeated rows return equal rows. Extra columns are
+their largest; of the texts with one labelled doc_id the least trains. Without labelled documents all probabilities are 0. Repeated rows return equal rows. Extra columns are
 kept by ``drop_toxic`` and not read.
 """
 
@@ -152,7 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int
     known = labels.groupBy(F.col("doc_id").cast("long").alias("id")).agg(*values).dropna()
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)  # at most ``sample`` rows
     ys = [f"y{i}" for i in range(len(names))]
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text is not null").join(F.broadcast(chosen), "id").select("id", "text", *ys)
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text is not null").join(F.broadcast(chosen), "id")
+    texts = texts.groupBy("id").agg(F.min("text").alias("text"), *(F.first(y).alias(y) for y in ys))  # a document each, however often its id is repeated
     got = texts.mapInArrow(_featured, "features array<int>, values array<float>, id long, " + ", ".join(f"{y} int" for y in ys)).toArrow()
     got = got.take(pc.sort_indices(got, [("id", "ascending"), *((y, "ascending") for y in ys)])).combine_chunks()
     lists = got["features"].combine_chunks()
@@ -183,6 +184,6 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``docs`` without the rejected rows; all columns stay."""
-    bad = score(docs, train(docs, labels, **options)).where("rejected").select(F.col("doc_key").alias("_bad_key")).distinct()
-    packed = docs.select(F.struct("*").alias("_row"), F.xxhash64("doc_id", "text").alias("_doc_key"))
-    return packed.join(bad, packed["_doc_key"] == bad["_bad_key"], "left_anti").select("_row.*")
+    bad = score(docs, train(docs, labels, **options)).where("rejected").select(F.col("doc_id").alias("_bad_id"), F.col("doc_key").alias("_bad_key")).distinct()
+    packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc_id"), F.xxhash64("doc_id", "text").alias("_doc_key"))
+    return packed.join(bad, (packed["_doc_key"] == bad["_bad_key"]) & packed["_doc_id"].eqNullSafe(bad["_bad_id"]), "left_anti").select("_row.*")

@@ -381,3 +381,67 @@ def test_matrices_of_pairs_agree_with_one_pair_at_a_time():
         for j in range(40):
             close = N.similarity(sets[i], sets[j]) >= 0.8
             assert i == j or ((good[i, j] or maybe[i, j]) if close else not good[i, j])
+
+
+def test_pipeline_of_empty_odd_and_wide_tables(spark, tmp_path, empty, wide):
+    import corpus_pipeline as C
+
+    def folder(name, documents, labels, items):
+        documents.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        return f"{tmp_path}/{name}"
+
+    assert C.run(spark, folder("empty", empty, [], [])).collect() == []
+    odd = [(None, 1, 1), (1, None, 1), (2, 1, None), (5, 0, 1), (5, 1, 0), (99999, 1, 1), (7, 1, 0)]
+    at = folder("odd", wide, odd, [(None, "one two"), ("x", None), ("y", "")])
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    for name, stage in C.STAGES[:-1]:
+        stage(spark, docs, at).write.parquet(f"{at}/{name}")
+        docs = spark.read.parquet(f"{at}/{name}")
+        assert docs.columns == wide.columns
+    kept = spark.read.parquet(f"{at}/decontaminate")
+    ids = {r.doc_id for r in kept.select("doc_id").collect()}
+    assert 400 in ids and 600 not in ids  # a null text stays; "one two" is an item without an id
+    texts = Counter(r.text for r in kept.select("text").where("text is not null").collect())
+    assert max(texts.values()) == 1
+
+
+def test_very_long_texts(spark):
+    """A text of 60,000 words among short ones, end to end: scores add up, ids are whole, classes and repeats are found."""
+    from tarnhelm.llm import lm, neardup, substrings, tokens
+
+    rng = random.Random(31)
+    long = sentence(rng, 60_000)
+    table = [(1, long), (2, long + " end"), (3, sentence(rng, 50)), (4, None), (5, "")]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    scores = {r.doc_id: r for r in lm.score(docs, lm.held_out("doc_id")).collect()}
+    assert scores[1].n_tokens == 60_001 and scores[1].score < 0 and scores[4].n_tokens == scores[5].n_tokens == 1
+    ids = {r.doc_id: r for r in tokens.round_trip(docs).collect()}
+    plain = tokens.Encoder(tokens.VOCABULARY).tokenizer.encode(long, add_special_tokens=False).ids
+    assert np.frombuffer(ids[1].ids, "<u4").tolist() == [*plain, 1]
+    assert {r.doc_id: r.class_id for r in neardup.classes(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    assert {r.doc_id: r.n_removed for r in substrings.dedup(docs).collect()} == {1: 0, 2: 60_000, 3: 0, 4: 0, 5: 0}
+
+
+def test_mixing_takes_per_document_what_the_order_says(spark):
+    """``taken`` of each document against the definition: whole epochs, then documents in the order of their keys until the budget is used."""
+    from pyspark.sql import functions as F
+
+    from tarnhelm.llm import mixing as M
+
+    rng = random.Random(13)
+    table = [(i, sentence(rng, rng.randrange(1, 40)), "en", rng.choice(["a", "b", "c", "d", None]) if i % 7 else "a", 1) for i in range(400)]
+    docs = spark.createDataFrame(table, SCHEMA)
+    keys = {r.doc_id: r.k for r in docs.select("doc_id", F.xxhash64(F.lit(0), F.col("doc_id")).alias("k")).collect()}
+    got = {r.doc_id: r for r in M.allot(docs).collect()}
+    for source in ("a", "b", "c", "d", None):
+        own = sorted((r for r in table if r[3] == source), key=lambda r: (keys[r[0]], r[0]))
+        size = sum(len(r[1].split()) for r in own)
+        budget = round(got[own[0][0]].target)
+        epochs, rest = divmod(budget, size)
+        for r in own:
+            n = len(r[1].split())
+            part = max(0, min(n, rest))
+            rest -= part
+            assert got[r[0]].taken == epochs * n + part and got[r[0]].source_size == size
