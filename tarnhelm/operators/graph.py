@@ -1,29 +1,40 @@
 """Graph operators on edge tables: closures, reachability, roots, dispatch.
 
 A closure is a loop of frontier joins. Each round joins only the last round's new pairs, drops those already found, and
-writes the rest to the checkpoint folder, which ends the lineage and survives lost executors.
+writes the rest to the shared folder, which ends the lineage and survives lost executors. Without seeds, the closure is of all sources:
+its size is what it is, up to all pairs; give seeds where the graph is large.
 """
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in ``spark.checkpoint.dir``, or in a folder of our own where that is unset."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tarnhelm-"))
-    return df.checkpoint(eager=True)
+    return written(df, "round")
 
 
 def closure(edges: DataFrame, seeds: DataFrame | None = None, depth: int | None = None) -> DataFrame:
-    """src, dst, depth: what each source reaches in one step or more, at its least depth. edges: src, dst. A source on a cycle reaches itself. seeds: src."""
+    """src, dst, depth: what each source reaches in one step or more, at its least depth. edges: src, dst. A source on a cycle reaches itself. seeds: src.
+
+    From seeds, a round is one step. For all sources, round k joins the pairs of the last round to all pairs, which finds those at up to 2 ** k steps: a
+    shortest path's first half is among the former, its rest among the latter.
+    """
     edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
-    start = edges if seeds is None else edges.join(seeds.select("src").distinct(), "src", "left_semi")
+    if seeds is None:
+        found = frontier = kept(edges.withColumn("depth", F.lit(1)))
+        reach = 1
+        while (depth is None or reach < depth) and frontier.limit(1).count():
+            reach *= 2
+            first = frontier.select("src", F.col("dst").alias("mid"), F.col("depth").alias("d1"))
+            step = first.join(found.select(F.col("src").alias("mid"), "dst", F.col("depth").alias("d2")), "mid").groupBy("src", "dst").agg(F.min(F.col("d1") + F.col("d2")).alias("depth"))
+            frontier = kept(step.join(found, ["src", "dst"], "left_anti").select("src", "dst", "depth"))
+            found = found.unionByName(frontier)
+        return found if depth is None else found.where(F.col("depth") <= depth)
+    start = edges.join(seeds.select("src").distinct(), "src", "left_semi")
     frontier = kept(start.select("src", "dst", F.lit(1).alias("depth")))
     found, n = frontier, 1
     while (depth is None or n < depth) and frontier.limit(1).count():

@@ -1,7 +1,7 @@
 """Change impact: changed line ranges to entry points, with the evidence for each.
 
-``changes`` has change_id, path, first_line, last_line. It is a diff, so it is small beside the facts, and Spark broadcasts
-it for range conditions; files are matched once per distinct path, and rows then join on the path by equality.
+``changes`` has change_id, path, first_line, last_line. Files are matched once per distinct path, by the path's end first, and rows then
+join on the path by equality.
 Each evidence operator returns change_id, ep (the entry point's id).
 """
 
@@ -13,16 +13,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..scratch import written
 from ..sources.catalog import FactCatalog
 
 STRUCTURAL = ("entrypoint_body", "call_site", "callee_qid", "builtin_sources", "go_interface_dispatch")
 GENERAL, MODULE = 70, 90
 
 
+#: Last characters by which a path and a change meet before they are compared.
+TAIL = 4
+
+
+def matched_paths(files: DataFrame, changes: DataFrame) -> DataFrame:
+    """_file and the columns of each change whose path is a suffix of it. files: _file, distinct.
+
+    Paths meet by their last characters; only changes whose path is shorter, or has a wildcard of LIKE, are compared with every file.
+    """
+    tail = lambda c: F.lower(F.right(P.trimmed(F.col(c)), F.lit(TAIL)))
+    odd = (F.length(P.trimmed(F.col("path"))) < TAIL) | F.col("path").rlike(r"[%_\\]")
+    like = P.suffix(F.col("_file"), F.col("path"))
+    keyed = files.withColumn("_tail", tail("_file")).join(changes.where(~odd).withColumn("_tail", tail("path")), "_tail").where(like)
+    return keyed.select("_file", *changes.columns).unionByName(files.join(changes.where(odd), like).select("_file", *changes.columns))
+
+
 def touched(rows: DataFrame, changes: DataFrame, file: str = "file") -> DataFrame:
     """rows x the changes whose path is a suffix of their file."""
     files = rows.select(F.col(file).alias("_file")).where(F.col("_file").isNotNull()).distinct()
-    matched = files.join(changes, P.suffix(F.col("_file"), F.col("path"))).select("_file", *changes.columns)
+    matched = matched_paths(files, changes)
     return rows.join(matched, rows[file] == matched["_file"]).drop("_file")
 
 
@@ -147,6 +164,18 @@ def decl_use_impact_edges(facts: FactCatalog, changes: DataFrame, least: int = G
     return _out(in_range(rows.select("consumer_ep_id", "changed_file", "changed_start_line", "changed_end_line"), changes, "changed_file", "changed_start_line", "changed_end_line"), "consumer_ep_id")
 
 
+def class_bridge(facts: FactCatalog, changes: DataFrame) -> DataFrame:
+    """change_id, ep, class_name: entry points with a call whose callee, caller or dotted path holds the name of a changed class; weak names link nothing. Distinct names are searched, then rows join by equality."""
+    classes = in_range(facts["symbols"].where((F.col("vtype") == "class") & P.present(F.col("sid"))).select("sid", "file", "start_line", "end_line"), changes, "file", "start_line", "end_line")
+    classes = classes.select("change_id", F.col("sid").alias("class_name")).where(~P.weak_class_name(F.col("class_name"))).distinct()
+    columns = [c for c in ("callee_qid", "caller_qid", "callee_dotted_path") if facts.has("callgraph", c)]
+    if not columns:
+        return changes.sparkSession.createDataFrame([], "change_id int, ep long, class_name string")
+    calls = facts["callgraph"].where("ep_id is not null").select(F.col("ep_id").alias("ep"), F.explode(F.array_distinct(F.array(*columns))).alias("name")).where(P.present(F.col("name"))).distinct()
+    held = calls.select("name").distinct().join(classes.select("class_name").distinct(), F.contains(F.col("name"), F.col("class_name")))
+    return calls.join(held, "name").join(classes, "class_name").select("change_id", "ep", "class_name").distinct()
+
+
 EVIDENCE = {
     f.__name__: f
     for f in (entrypoint_body, call_site, callee_qid, builtin_sources, module_deps, go_interface_dispatch, handler_response_flow, mutating_receiver_alias, decl_use_impact_edges, edges_one_hop)
@@ -242,6 +271,113 @@ def summary_downstream(facts: FactCatalog, seed_eps: DataFrame, hops: int = 2) -
     return ranked.where("level = best and ep != seed").select("seed", "ep", "file").distinct()
 
 
+def qid_matches_file(qid, path):
+    """The id holds the file's folders, its last folder and name, or its name."""
+    q = F.replace(F.replace(qid, F.lit("-"), F.lit("_")), F.lit("/"), F.lit("."))
+    parts = F.filter(F.split(F.replace(F.regexp_replace(P.trimmed(path), r"\.[^.]*$", ""), F.lit("-"), F.lit("_")), "/"), lambda x: F.lit(True))
+    folders = F.array_join(F.filter(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: x != ""), ".")
+    stem, folder = F.element_at(parts, -1), F.try_element_at(parts, F.lit(-2))
+    both = F.when(P.present(folder) & (stem != ""), F.concat(folder, F.lit("."), stem)).otherwise("")
+    held = lambda c: (c != "") & F.contains(q, c)
+    return held(folders) | held(both) | held(stem)
+
+
+#: Kinds of calls that are resolved precisely.
+PRECISE = ("direct_fdef", "type_member")
+
+
+def _same_path(a: DataFrame, b: DataFrame) -> DataFrame:
+    """a x b, rows of distinct _a and _b, of which one ends with the other; both are names of files with an extension."""
+    tail = lambda c: F.right(c, F.lit(TAIL))
+    return a.withColumn("_tail", tail("_a")).join(b.withColumn("_tail", tail("_b")), "_tail").where(P.either_suffix(F.col("_a"), F.col("_b"))).drop("_tail")
+
+
+def _targets(calls: DataFrame, entry: DataFrame, file: str, gap: int | None = None) -> DataFrame:
+    """seed, ep, file of entry points in the callee's range in the file at hand. With ``gap``, and a qid that fits the entry point's file, the nearest where none is in it: within ``gap`` lines after it first."""
+    c = calls.select("seed", "callee_qid", "callee_start_line", "callee_end_line", P.trimmed(F.col(file)).alias("_a")).distinct()
+    pairs = _same_path(c.select("_a").distinct(), entry.select("_b").distinct())
+    hit = c.join(pairs, "_a").join(entry, "_b")
+    over = P.overlaps(F.col("start_line"), F.col("end_line"), F.col("callee_start_line"), F.col("callee_end_line"))
+    if gap is None:
+        return hit.where(over).select("seed", "ep", "file")
+    hit = hit.where(qid_matches_file(F.col("callee_qid"), F.col("file")))
+    after = (F.col("start_line") - F.col("callee_end_line")).between(0, gap)
+    away = F.least(*(F.abs(F.col(x) - F.col(y)) for x in ("callee_start_line", "callee_end_line") for y in ("start_line", "end_line")))
+    rank = F.struct(F.when(over, 0).when(after, 1).otherwise(2).alias("level"), F.when(over, 0).otherwise(away).alias("away"))
+    call = ["seed", "callee_qid", "callee_start_line", "callee_end_line", "_a"]
+    ranked = hit.withColumn("_rank", rank)
+    best = ranked.groupBy(*call).agg(F.min("_rank").alias("_best"))
+    return ranked.join(best, call).where("_rank = _best").select("seed", "ep", "file")
+
+
+def precise_downstream(facts: FactCatalog, seed_eps: DataFrame, gap: int = 10) -> DataFrame:
+    """seed, ep, file: Go entry points that the seeds' precisely resolved calls lead to, in two levels. seed_eps: ep.
+
+    First level: calls on the seed's own lines; entry points in the callee's range in the calling file. A callee's files are those of its id's
+    nodes within its range; they make it a parent. Second level: the entry point's calls on a parent's lines; entry points
+    in the callee's range in the calling file, and in or nearest to it in the callee's files.
+    """
+    calls = facts["callgraph"].where(P.present(F.col("callee_qid")) & (F.col("confidence") >= GENERAL) & F.col("resolution_kind").isin(*PRECISE) & P.present(F.col("call_site_file")) & F.col("callee_start_line").isNotNull() & F.col("callee_end_line").isNotNull())
+    rows = facts["entrypoints"]
+    own = seed_eps.select(F.col("ep").alias("seed")).distinct().join(rows.select(F.col("id").alias("seed"), P.trimmed(F.coalesce("file", F.lit(""))).alias("seed_file"), F.col("start_line").alias("seed_start"), F.col("end_line").alias("seed_end")), "seed")
+    calls = calls.select(F.col("ep_id").alias("seed"), "call_site_file", "call_site_line", "callee_qid", "callee_start_line", "callee_end_line").distinct().join(own, "seed")
+    entry = rows.where(P.present(F.col("file")) & P.is_go(F.col("file"))).select(F.col("id").alias("ep"), "file", F.coalesce("start_line", F.lit(0)).alias("start_line"), F.coalesce("end_line", F.lit(0)).alias("end_line"), P.trimmed(F.col("file")).alias("_b"))
+    line, site = F.coalesce("call_site_line", F.lit(0)), P.trimmed(F.col("call_site_file"))
+    first = calls.where((F.col("seed_file") == "") | (P.either_suffix(F.col("seed_file"), site) & line.between(F.coalesce("seed_start", F.lit(0)), F.coalesce("seed_end", F.lit(0)))))
+    nodes = facts["nodes"].where(P.present(F.col("file")) & P.is_go(F.col("file"))).select(F.col("qid").alias("callee_qid"), F.col("file").alias("callee_file"), F.col("line").alias("_line"))
+    located = lambda c: c.join(nodes, "callee_qid").where(F.col("_line").between(F.col("callee_start_line"), F.col("callee_end_line"))).drop("_line").distinct()
+    parents = located(first.select("seed", "callee_qid", "callee_start_line", "callee_end_line").distinct()).select("seed", P.trimmed(F.col("callee_file")).alias("_parent"), F.col("callee_start_line").alias("_from"), F.col("callee_end_line").alias("_to")).distinct()
+    second = calls.join(parents, "seed").where(P.either_suffix(F.col("_parent"), site) & line.between(F.col("_from"), F.col("_to"))).select(*calls.columns).distinct()
+    parts = [_targets(first, entry, "call_site_file"), _targets(second, entry, "call_site_file"), _targets(located(second), entry, "callee_file", gap)]
+    return reduce(DataFrame.unionByName, parts).where("ep != seed").distinct()
+
+
+def downstream(facts: FactCatalog, seed_eps: DataFrame, changed: DataFrame | None = None) -> DataFrame:
+    """seed, ep, file: where impact goes on from the seeds that are named functions in Go files. seed_eps: ep.
+
+    What precise calls lead to, but for the ``changed`` seeds (ep) not within files of the seed's name, and what summaries lead to. Facts without precise
+    calls fall back, for seeds with neither: a single seed to its neighbour by the fact store's directory expression if that is the only one, where
+    there are summaries; else to the entry points with calls in the files of the callees' ids.
+    """
+    rows = facts["entrypoints"]
+    named = seed_eps.select("ep").distinct().join(rows.select(F.col("id").alias("ep"), F.col("ep_id").alias("_label"), F.col("file").alias("_file"), F.col("func_name").alias("_func")), "ep")
+    named = named.where(P.is_go(F.col("_file")) & (F.coalesce("_func", F.lit("")) != "undefined") & ~F.endswith(F.coalesce("_label", F.lit("")), F.lit(":undefined")))
+    summaries = summary_downstream(facts, named.select("ep")).select("seed", "ep", "file")
+    if facts.has("callgraph", "callee_start_line", "callee_end_line", "resolution_kind", "confidence"):
+        precise = precise_downstream(facts, named.select("ep"))
+        if changed is not None:
+            own = named.join(changed.select("ep").distinct(), "ep", "left_semi").select(F.col("ep").alias("seed"), P.trimmed(F.col("_file")).alias("_own"))
+            precise = precise.join(own, "seed", "left").where(F.col("_own").isNull() | ~F.endswith(P.trimmed(F.col("file")), F.col("_own"))).drop("_own")
+        return precise.unionByName(summaries).distinct()
+    rest = named.join(summaries.select(F.col("seed").alias("ep")).distinct(), "ep", "left_anti")
+    go = rows.where(P.is_go(F.col("file"))).select(F.col("id").alias("to"), "file")
+    if facts.has("callgraph", "caller_func", "callee_fsig", "ep_id") and seed_eps.select("ep").distinct().limit(2).count() == 1:
+        near = rest.join(go, (F.col("ep") != F.col("to")) & P.same_directory_quirk(P.trimmed(F.col("file")), P.trimmed(F.col("_file"))))
+        only = near.groupBy(F.col("ep").alias("seed")).agg(F.count("*").alias("n"), F.first("to").alias("ep"), F.first("file").alias("file")).where("n = 1")
+        return summaries.unionByName(only.drop("n")).distinct()
+    calls = facts["callgraph"].where(P.present(F.col("callee_qid")) & F.col("ep_id").isNotNull())
+    files = rest.join(calls.select(F.col("ep_id").alias("ep"), F.col("callee_qid").alias("qid")).distinct(), "ep").join(facts["nodes"].where(P.present(F.col("file")) & P.is_go(F.col("file"))).select("qid", P.trimmed(F.col("file")).alias("_a")).distinct(), "qid").select(F.col("ep").alias("seed"), "_a").distinct()
+    with_calls = go.join(calls.select(F.col("ep_id").alias("to")).distinct(), "to", "left_semi").withColumn("_b", P.trimmed(F.col("file")))
+    pairs = _same_path(files.select("_a").distinct(), with_calls.select("_b").distinct())
+    found = files.join(pairs, "_a").join(with_calls, "_b").where("seed != to").select("seed", F.col("to").alias("ep"), "file")
+    return summaries.unionByName(found).distinct()
+
+
+def affected_with_downstream(facts: FactCatalog, changes: DataFrame, kinds=tuple(EVIDENCE)) -> DataFrame:
+    """ep, ep_id, file, reasons: ``affected`` and, beside it, where impact goes on from its seeds."""
+    found = written(evidence(facts, changes, kinds), "evidence")
+    starts = downstream_seeds(found)
+    body = found.where("evidence = 'entrypoint_body'").select("ep")
+    more = allowed_downstream(found, downstream(facts, starts.where("expands").select("ep"), body))
+    single = changes.limit(2).count() == 1
+    kept = tightened(found, more) if single else found
+    named = kept.join(changes, "change_id").select("ep", F.concat("evidence", F.lit(": "), P.trimmed(F.col("path")), F.lit(":"), "first_line", F.lit("-"), "last_line").alias("reason"))
+    labels = facts["entrypoints"].select(F.col("id").alias("seed"), F.coalesce("ep_id", F.lit("")).alias("_label"))
+    via = more.join(labels, "seed").select("ep", F.concat(F.lit("downstream_ep_file: "), "_label", F.lit(" -> "), "file").alias("reason"))
+    grouped = named.unionByName(via).groupBy("ep").agg(F.array_join(F.array_sort(F.collect_set("reason")), "; ").alias("reasons"))
+    return grouped.join(facts["entrypoints"].select(F.col("id").alias("ep"), "ep_id", "file"), "ep").select("ep", "ep_id", "file", "reasons")
+
+
 def evidence_counts(found: DataFrame) -> DataFrame:
     """How many entry points each kind of evidence has."""
     return found.groupBy("evidence").agg(F.countDistinct("ep").alias("n_eps"))

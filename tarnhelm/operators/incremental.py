@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import paths as P
+
 
 def parse_diff(lines: DataFrame) -> DataFrame:
     """file, kind (added, deleted), line, seq from a unified diff's lines (n, text). Old and new line numbers are running sums from each hunk's header."""
@@ -151,3 +155,80 @@ def insert_or_ignore(rows: DataFrame, key: list[str], seq: str) -> DataFrame:
     rest = [c for c in rows.columns if c not in key]
     first = rows.where(~some_null).groupBy(*key).agg(F.min_by(F.struct(*rest), seq).alias("_r")).select(*key, *(F.col(f"_r.{c}") for c in rest))
     return first.unionByName(rows.where(some_null).select(*key, *rest))
+
+
+def skipped_by_reason(metrics: DataFrame) -> DataFrame:
+    """reason, n of the rows that have a reason for which they were skipped."""
+    return metrics.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def verdict_ratios(verdicts: DataFrame, key: str) -> DataFrame:
+    """key, precision, recall of verdicts (reported, expected) by the benchmark's own definitions: tp / (tp + tn), tp / (tp + fp). Null where nothing is to divide by."""
+    n = lambda r, e: F.sum(((F.col("reported") == r) & (F.col("expected") == e)).cast("int"))
+    g = verdicts.groupBy(key).agg(n(True, True).alias("tp"), n(True, False).alias("fp"), n(False, False).alias("tn"))
+    ratio = lambda a: F.when(F.col("tp") + F.col(a) > 0, F.col("tp") / (F.col("tp") + F.col(a)))
+    return g.select(key, ratio("tn").alias("precision"), ratio("fp").alias("recall"))
+
+
+def impacted_entrypoints(found: DataFrame, bridge: DataFrame) -> DataFrame:
+    """change_id, ep, reason: what the fact store says of a change. found: evidence, change_id, ep of body, call site and one edge; bridge: change_id, ep, class_name. Reasons are joined by ``+``, direct ones first."""
+    direct = found.select("change_id", "ep", F.lit(0).alias("o"), F.col("evidence").alias("reason"))
+    rows = direct.unionByName(bridge.select("change_id", "ep", F.lit(1).alias("o"), F.concat(F.lit("python_class_callgraph_bridge:"), "class_name").alias("reason"))).distinct()
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("o", "reason"))), lambda x: x["reason"])
+    return rows.groupBy("change_id", "ep").agg(F.array_join(ordered, "+").alias("reason"))
+
+
+def deletion_changes(deleted: DataFrame, old: DataFrame, impacted: DataFrame) -> DataFrame:
+    """change_id, status, ep, rerun, reason for deleted ranges (change_id, path, first_line, last_line).
+
+    Entry points of the base (ep, file, start_line, end_line) in the range are deleted; others that the fact store links to it (impacted: change_id, ep, reason) are
+    modified and run again; a range with neither is one row without impact.
+    """
+    place = F.concat(P.trimmed(F.col("path")), F.lit(":"), "first_line", F.lit("-"), "last_line")
+    places = deleted.select("change_id", place.alias("_place"))
+    gone = old.join(deleted, P.trimmed(F.col("file")) == P.trimmed(F.col("path"))).where(P.overlaps(F.col("start_line"), F.col("end_line"), F.col("first_line"), F.col("last_line"))).select("change_id", "ep").distinct()
+    rest = impacted.join(deleted.select("change_id"), "change_id", "left_semi").join(gone, ["change_id", "ep"], "left_anti").join(places, "change_id")
+    some = gone.select("change_id").union(rest.select("change_id")).distinct()
+    row = lambda df, status, ep, rerun, reason: df.select("change_id", F.lit(status).alias("status"), ep.alias("ep"), F.lit(rerun).alias("rerun"), reason.alias("reason"))
+    parts = [
+        row(gone.join(places, "change_id"), "deleted", F.col("ep"), False, F.concat(F.lit("deleted_base_coordinate: "), "_place")),
+        row(rest, "modified", F.col("ep"), True, F.concat("reason", F.lit(": "), "_place")),
+        row(places.join(some, "change_id", "left_anti"), "no_ep_impact", F.lit(None).cast("long"), False, F.concat(F.lit("db_no_ep_fact: "), "_place")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+class UnsafePlan(ValueError):
+    """An ep-only plan that would miss something."""
+
+
+def final_mode(mode: str, changes: DataFrame, allow: DataFrame, fallbacks: DataFrame, head: DataFrame) -> tuple[DataFrame, bool]:
+    """(allow list, whether the whole head runs). allow: key, reason; fallbacks: reason; changes: status; head: entry points with their key.
+
+    With any fallback, auto and full-on-fallback run every entry point of the head. ep-only takes no risk: it fails on a fallback, on an added
+    or unknown change, and on an empty allow list unless all changes are without impact.
+    """
+    reasons = [r["reason"] for r in fallbacks.select("reason").distinct().orderBy("reason").limit(20).collect()]
+    if reasons and mode in ("auto", "full-on-fallback"):
+        full = head.select("key", F.lit("; ".join(["full_head_fallback", *reasons])).alias("reason"))
+        return allow.select("key", "reason").unionByName(full).distinct(), True
+    if mode == "ep-only":
+        bad = changes.where(F.col("status").isin("added", "unknown")).limit(1).count() > 0
+        quiet = changes.limit(1).count() > 0 and changes.where("status != 'no_ep_impact'").limit(1).count() == 0
+        if reasons or bad or (allow.limit(1).count() == 0 and not quiet):
+            raise UnsafePlan(reasons[0] if reasons else "the allow list is empty or unsafe")
+    missing = head.select("key").join(allow.select("key"), "key", "left_anti").limit(1).count()
+    return allow.select("key", "reason"), head.limit(1).count() > 0 and not missing
+
+
+def remapped_root(uri: Column, base: str, head: str) -> Column:
+    """URIs under the base's source root as URIs under the head's, whatever the case and the slashes; others, and all where the roots are the same, as they are. The scheme's slashes stay."""
+    plain = lambda x: re.sub(r"^/+", "", re.sub(r"^file://", "", x).replace("\\", "/")).rstrip("/")
+    base, head = plain(base), plain(head)
+    if not base or not head or base.lower() == head.lower():
+        return uri
+    raw = F.regexp_replace(F.replace(F.regexp_replace(uri, "^file://", ""), F.lit("\\"), F.lit("/")), "^/+", "")
+    under = (F.lower(raw) == base.lower()) | F.startswith(F.lower(raw), F.lit(base.lower() + "/"))
+    mapped = F.concat(F.lit(head), F.substring(raw, F.lit(len(base) + 1), F.length(raw)))
+    mark = F.when(F.startswith(uri, F.lit("file:///")), "file:///").when(F.startswith(uri, F.lit("file://")), "file://").when(F.startswith(uri, F.lit("/")), "/").otherwise("")
+    return F.when(under, F.concat(mark, mapped)).otherwise(uri)

@@ -1,7 +1,7 @@
 """Taint flow as joins: rules mark sources, edges carry tags within an entry point, sanitizers annotate, sinks make findings.
 
 Tables: nodes (id, ep_id, ...), edges (from_node_id, to_node_id, ep_id, edge_type), calls (call_id, ep_id, callee, callee_type, chain, ret_node),
-call_args (call_id, idx, name, node). Rules are small and broadcast by Spark; every reachability key holds the entry point, so
+call_args (call_id, idx, name, node). Signatures meet calls by equality, regexes are broadcast up to a bound; every reachability key holds the entry point, so
 no tag crosses to another one. Flow is insensitive to order within a function.
 """
 
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import paths as P
+from ..scratch import written
 from . import graph
 
 #: Edges that carry taint only from a tainted end, which is what following them from the seeds does.
@@ -28,19 +30,28 @@ def type_matches(declared: Column, wanted: Column) -> Column:
     return wanted.isNull() | (wanted == "") | (wanted == "*") | (declared == wanted) | F.endswith(declared, F.concat(F.lit("."), wanted))
 
 
-def signature_matches(callee: Column, fsig: Column) -> Column:
-    """The whole callee, or its last segments."""
-    return (callee == fsig) | F.endswith(callee, F.concat(F.lit("."), fsig))
+#: Rules with a regex that are broadcast at most; more are joined as Spark sees fit.
+REGEX_RULES = 10_000
+
+
+def by_signature(calls: DataFrame, rules: DataFrame, fsig: str = "fsig") -> DataFrame:
+    """calls x rules whose signature is the callee or its last segments: the callee's ends, a dozen at most, meet signatures by equality."""
+    parts = F.split("callee", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    r = rules.where(F.col(fsig).isNotNull() & (F.col(fsig) != "")).withColumnRenamed(fsig, "_fsig")
+    return calls.withColumn("_end", F.explode(ends)).join(r, F.col("_end") == F.col("_fsig")).drop("_end", "_fsig")
 
 
 def match_calls(calls: DataFrame, rules: DataFrame) -> DataFrame:
     """calls x rules by signature (fsig) or regex (fregex), callee type and argument number; the rule that comes first stays. Rules: rule_id, rule_order, fsig, fregex, callee_type, arg_num."""
     r = rules.select("rule_id", "rule_order", "fsig", "fregex", F.col("callee_type").alias("wanted_type"), "arg_num", "kind")
-    by_name = F.col("fsig").isNotNull() & (F.col("fsig") != "") & signature_matches(F.col("callee"), F.col("fsig"))
-    by_regex = F.col("fregex").isNotNull() & F.rlike("callee", F.col("fregex"))
-    fit = calls.join(r, (by_name | by_regex) & type_matches(F.col("callee_type"), F.col("wanted_type")) & (F.col("arg_num").isNull() | (F.col("arg_num") == F.col("n_args"))))
-    first = Window.partitionBy("call_id").orderBy("rule_order", "rule_id")
-    return fit.withColumn("r", F.row_number().over(first)).where("r = 1").select(*calls.columns, "rule_id", "kind")
+    regex = r.where("fregex is not null").drop("fsig")
+    few = regex.limit(REGEX_RULES + 1).count() <= REGEX_RULES
+    by_regex = calls.join(F.broadcast(regex) if few else regex, F.rlike("callee", F.col("fregex")))
+    fit = by_signature(calls, r.drop("fregex")).unionByName(by_regex.drop("fregex"))
+    fit = fit.where(type_matches(F.col("callee_type"), F.col("wanted_type")) & (F.col("arg_num").isNull() | (F.col("arg_num") == F.col("n_args"))))
+    first = fit.groupBy("call_id").agg(F.min_by(F.struct(*calls.columns, "rule_id", "kind"), F.struct("rule_order", "rule_id")).alias("m"))
+    return first.select("m.*")
 
 
 def select_args(call_args: DataFrame, selectors: DataFrame) -> DataFrame:
@@ -50,6 +61,76 @@ def select_args(call_args: DataFrame, selectors: DataFrame) -> DataFrame:
     return a.where(hit).select(*call_args.columns).distinct()
 
 
+def select_args_by_type(call_args: DataFrame, arg_types: DataFrame) -> DataFrame:
+    """call_args (rule_id, arg_type, ...) whose definite type is one of their rule's, or ends in it. arg_types: rule_id, wanted. One row an argument."""
+    a = call_args.where(P.present(F.col("arg_type"))).join(arg_types, "rule_id")
+    fits = (F.col("arg_type") == F.col("wanted")) | F.endswith("arg_type", F.concat(F.lit("."), F.col("wanted")))
+    return a.where(fits).select(*call_args.columns).distinct()
+
+
+def package_value_matches(qid: Column, fsig: Column) -> Column:
+    """All parts of the dotted signature stand in the id: the first before a dot, inner ones as calls, the last after a dot."""
+    parts = F.split(fsig, r"\.")
+    last = F.size(parts) - 1
+    mark = lambda x, i: F.when(i == 0, F.concat(x, F.lit("."))).when(i == last, F.concat(F.lit("."), x)).otherwise(F.concat(F.lit("."), x, F.lit("(")))
+    return P.present(qid) & F.forall(F.transform(parts, mark), lambda x: F.contains(qid, x))
+
+
+def invocation_sinks(invocations: DataFrame, sinks: DataFrame, hierarchy: DataFrame) -> DataFrame:
+    """call, sink_id. invocations: call, literal, fsig, callee_type; sinks: sink_id, fsig, callee_type; hierarchy: type, related (its base and sub types).
+
+    Without a type, the written call or the signature is the sink's. With one, the signature is the same and the callee's type or a related one is the
+    sink's or ends in it, or the written call ends in type and signature. Each alternative is an equi-join.
+    """
+    k = sinks.where(P.present(F.col("fsig"))).select("sink_id", F.col("fsig").alias("_fsig"), F.col("callee_type").alias("_type"))
+    plain, typed = k.where(~F.coalesce(P.present(F.col("_type")), F.lit(False))), k.where(P.present(F.col("_type")))
+    out = [invocations.join(plain, F.col(c) == F.col("_fsig")).select("call", "sink_id") for c in ("literal", "fsig")]
+    own = invocations.where(P.present(F.col("callee_type"))).select("call", "fsig", F.col("callee_type").alias("type"))
+    types = own.unionByName(own.join(hierarchy, "type").select("call", "fsig", F.col("related").alias("type"))).distinct()
+    out.append(types.join(typed, F.col("fsig") == F.col("_fsig")).where((F.col("type") == F.col("_type")) | F.endswith("type", F.concat(F.lit("."), F.col("_type")))).select("call", "sink_id"))
+    written_ = typed.select("sink_id", F.concat("_type", F.lit("."), "_fsig").alias("fsig"))
+    out.append(by_signature(invocations.select("call", F.col("literal").alias("callee")).where("callee is not null"), written_).select("call", "sink_id"))
+    return out[0].union(out[1]).union(out[2]).union(out[3]).distinct()
+
+
+def callback_calls(calls: DataFrame, args: DataFrame, models: DataFrame) -> DataFrame:
+    """call, model_id, callback (the argument that is called), args (those after it, numbered anew, if the model passes the tail on).
+
+    calls: call, language, method, receivers (identities); args: call, idx, kind, name, node; models: model_id, model_order, language, method, identities,
+    min_args, callback_index, callback_keyword, mapping. The first model that fits counts.
+    """
+    held = args.groupBy("call").agg(F.array_sort(F.collect_list(F.struct("idx", "kind", "name", "node"))).alias("args"))  # one call's
+    j = calls.join(held, "call").join(models, ["language", "method"])
+    picked = F.filter("args", lambda a: F.when(F.col("callback_index").isNotNull(), a["idx"] == F.col("callback_index")).otherwise((a["kind"] == "keyword") & (a["name"] == F.col("callback_keyword"))))
+    j = j.withColumn("callback", F.try_element_at(picked, F.lit(1))).where((F.size("args") >= F.coalesce("min_args", F.lit(1))) & F.arrays_overlap("receivers", "identities") & F.col("callback").isNotNull())
+    tail = F.transform(F.filter("args", lambda a: a["idx"] > F.col("callback.idx")), lambda a, i: F.struct(i.alias("idx"), a["node"].alias("node")))
+    j = j.withColumn("args", F.when(F.col("mapping") == "tail", tail).otherwise(F.expr("cast(array() as array<struct<idx:int,node:bigint>>)")))
+    best = j.groupBy("call").agg(F.min_by(F.struct("model_id", F.col("callback.node").alias("callback"), "args"), F.struct("model_order", "model_id")).alias("m"))
+    return best.select("call", "m.*")
+
+
+def path_sources(members: DataFrame, scopes: DataFrame, paths: DataFrame) -> DataFrame:
+    """tag, node that the rules' paths lead to from their scopes along members. members: node, name, child; scopes: rule_id, node; paths: rule_id, tag, path.
+
+    A segment is a member's name, ``*`` for any member, or ``**`` for the node itself and all below it, at any depth. Each segment is a join of the nodes
+    reached so far; a final ``**`` a closure.
+    """
+    at = scopes.join(paths, "rule_id").select("tag", "node", F.split("path", r"\.").alias("rest"))
+    done = None
+    longest = at.agg(F.max(F.size("rest"))).first()[0] or 0
+    for _ in range(longest):
+        head = at.withColumn("seg", F.element_at("rest", 1)).withColumn("rest", F.slice("rest", 2, F.size("rest")))
+        below = head.where("seg = '**'").select("tag", "node")
+        all_below = graph.reachable(members.select(F.col("node").alias("src"), F.col("child").alias("dst")), below.distinct()).select("tag", "node")
+        step = head.where("seg != '**'").join(members, "node").where((F.col("seg") == "*") | (F.col("seg") == F.col("name"))).select("tag", F.col("child").alias("node"), "rest")
+        found = step.where("size(rest) = 0").select("tag", "node").unionByName(all_below)
+        done = found if done is None else done.unionByName(found)
+        at = written(step.where("size(rest) > 0").distinct(), "paths")
+        if not at.limit(1).count():
+            break
+    return done.distinct() if done is not None else at.select("tag", "node")
+
+
 def return_sources(calls: DataFrame, rules: DataFrame) -> DataFrame:
     """tag, ep_id, node of calls whose return value a rule marks."""
     return match_calls(calls, rules).select(F.col("kind").alias("tag"), "ep_id", F.col("ret_node").alias("node")).where("node is not null").distinct()
@@ -80,7 +161,7 @@ def library_edges(calls: DataFrame, call_args: DataFrame, models: DataFrame) ->
     A call with a model has that model's edges; any other passes each argument and the receiver on to its return.
     """
     m = models.withColumnRenamed("fsig", "_fsig")
-    modelled = calls.join(m, signature_matches(F.col("callee"), F.col("_fsig")))
+    modelled = by_signature(calls, m, "_fsig")
     args = call_args.select("call_id", "idx", "node")
 
     def end(rows: DataFrame, side: str, out: str) -> DataFrame:
@@ -106,7 +187,7 @@ def sanitizer_scenario(to: Column) -> Column:
 
 def sanitized_nodes(calls: DataFrame, call_args: DataFrame, sanitizers: DataFrame) -> DataFrame:
     """sanitizer_id, ep_id, node (null: the whole entry point)."""
-    hit = calls.join(sanitizers.withColumnRenamed("fsig", "_fsig"), signature_matches(F.col("callee"), F.col("_fsig"))).withColumn("scenario", sanitizer_scenario(F.col("to")))
+    hit = by_signature(calls, sanitizers).withColumn("scenario", sanitizer_scenario(F.col("to")))
     ret = hit.where(F.col("scenario").isin("FILTER", "CONFIG")).select("sanitizer_id", "ep_id", F.col("ret_node").alias("node"))
     args = hit.where("scenario = 'VALIDATE'").join(call_args.select("call_id", "node"), "call_id").select("sanitizer_id", "ep_id", "node")
     whole = hit.where("scenario = 'CALLSTACK'").select("sanitizer_id", "ep_id", F.lit(None).cast("long").alias("node"))

@@ -38,6 +38,10 @@ DEFINITIONS: dict[str, str] = {
         FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS r FROM {events}) e""",
     "stacks": """SELECT DISTINCT t.finding, i.idx, t.file, CAST(25 * i.idx AS INT) AS start_line, CAST(CASE i.idx WHEN 0 THEN 99 WHEN 1 THEN 75 ELSE 60 END AS INT) AS end_line, concat('fn', i.idx) AS func,
         CASE WHEN i.idx > 0 THEN t.file END AS call_file, CAST(25 * i.idx - 20 AS INT) AS call_line FROM {traces} t CROSS JOIN (SELECT CAST(n_nationkey AS INT) AS idx FROM {nation} WHERE n_nationkey < 3) i WHERE i.idx < 2 OR t.finding % 2 = 0""",
+    "deep_nodes": """SELECT id, ep_id, concat(qid, '.', replace(split_part(file, '/', 3), '.go', '')) AS qid, file, line FROM {nodes}""",
+    "deep_calls": """SELECT id, ep_id, qid AS callee_qid, CASE WHEN id % 4 < 2 THEN ef ELSE coalesce(pf, file) END AS call_site_file, CAST(CASE WHEN id % 4 < 2 THEN es + id % 10 ELSE coalesce(pl, line) + 1 END AS INT) AS call_site_line,
+        CAST(greatest(line - 10, 0) AS INT) AS callee_start_line, CAST(line + 10 AS INT) AS callee_end_line, CAST(50 + id % 51 AS INT) AS confidence, CASE id % 7 WHEN 0 THEN 'dynamic' WHEN 1 THEN 'type_member' ELSE 'direct_fdef' END AS resolution_kind
+        FROM (SELECT n.id, n.ep_id, n.qid, n.file, n.line, e.file AS ef, e.start_line AS es, lag(n.file) OVER (PARTITION BY n.ep_id ORDER BY n.id) AS pf, lag(n.line) OVER (PARTITION BY n.ep_id ORDER BY n.id) AS pl FROM {deep_nodes} n JOIN {entrypoints} e ON e.id = n.ep_id) x""",
     "source_files": """SELECT concat(source, '/', doc_id, '.txt') AS file_path, text AS content FROM {documents}""",
     "changes": """SELECT * FROM (VALUES (1, 'm3/h11.go', 1, 60), (2, '/src/m7/h20.go', 100, 240), (3, 'm12/h40.ts', 1, 500), (4, 'M5/H33.GO', 30, 90), (5, 'h50.go', 200, 230), (6, 'src/m0/h0.go', 0, 499),
         (7, 'm9/h77.ts', 241, 250), (8, 'none/such.go', 1, 9)) AS c(change_id, path, first_line, last_line)""",

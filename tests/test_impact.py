@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from tarnhelm.operators import impact
 from tarnhelm.sources.catalog import FactCatalog
@@ -76,3 +77,44 @@ def test_symbol_precision(spark, with_table, ids, eps):
     c = spark.createDataFrame([(1, "src/lib/want.go", 50, 50)], "change_id int, path string, first_line int, last_line int")
     kinds = ("callee_qid",)
     assert sorted(r.ep_id for r in impact.affected(FactCatalog(spark, t), c, kinds).collect()) == eps
+
+
+GRAPH = "id long, ep_id long, callee_qid string, call_site_file string, call_site_line int, callee_start_line int, callee_end_line int, resolution_kind string, confidence int"
+
+
+def test_precise_downstream(spark):
+    """Seed 1 calls lib.a on its own lines; lib.a's lines hold the second call, to lib.b, whose file has an entry point nearby."""
+    entries = [(1, "S", "src/seed.go", "fn", 10, 30), (2, "T", "src/seed.go", "fn", 52, 58), (3, "U", "lib/b.go", "fn", 68, 80), (4, "V", "lib/b.go", "fn", 200, 220), (5, "W", "lib/a.go", "fn", 1, 3), (6, "X", "lib/a.ts", "fn", 40, 60), (7, "Y", "src/named.go", "undefined", 1, 9)]
+    calls = [(1, 1, "lib.a.Run", "src/seed.go", 12, 50, 55, "direct_fdef", 90), (2, 1, "lib.b.Run", "/lib/a.go", 52, 60, 64, "type_member", 70), (3, 1, "lib.c.Run", "lib/a.go", 52, 60, 64, "type_member", 69), (4, 1, "lib.b.Run", "lib/a.go", 99, 60, 64, "direct_fdef", 90)]
+    nodes = [(1, 1, "lib.a.Run", "lib/a.go", 51), (2, 1, "lib.b.Run", "lib/b.go", 61), (3, 1, "lib.b.Run", "lib/b.go", 99)]
+    t = {"entrypoints": spark.createDataFrame(entries, "id long, ep_id string, file string, func_name string, start_line int, end_line int"), "callgraph": spark.createDataFrame(calls, GRAPH), "nodes": spark.createDataFrame(nodes, "id long, ep_id long, qid string, file string, line int")}
+    got = lambda f: {(r.seed, r.ep) for r in f.collect()}
+    seeds = spark.createDataFrame([(1,), (7,)], "ep long")
+    facts = FactCatalog(spark, t)
+    assert got(impact.precise_downstream(facts, seeds)) == {(1, 2), (1, 3)}  # T is in lib.a's range in the calling file; U starts within 10 lines after lib.b's
+    assert got(impact.downstream(facts, seeds)) == {(1, 2), (1, 3)}
+    assert got(impact.downstream(facts, seeds, changed=seeds)) == {(1, 3)}  # not within the seed's own file
+    change = spark.createDataFrame([(1, "src/seed.go", 11, 12)], "change_id int, path string, first_line int, last_line int")
+    whole = {r.ep_id: r.reasons for r in impact.affected_with_downstream(facts, change, ("entrypoint_body", "call_site")).collect()}
+    assert whole == {"S": "call_site: src/seed.go:11-12; entrypoint_body: src/seed.go:11-12", "U": "downstream_ep_file: S -> lib/b.go"}
+
+
+def test_paths_meet_by_their_end_or_by_wildcards(spark):
+    files = spark.createDataFrame([(f,) for f in ("src/data.ts", "/src/A.TS", "x.go", "a_b.go", "axb.go", ".go")], "_file string")
+    changes = spark.createDataFrame([(1, "a.ts", 1, 2), (2, "/a_b.go", 1, 2), (3, "go", 1, 2), (4, "data.ts", 1, 2)], "change_id int, path string, first_line int, last_line int")
+    got = sorted((r.change_id, r._file) for r in impact.matched_paths(files, changes).collect())
+    assert got == [(1, "/src/A.TS"), (1, "src/data.ts"), (2, "a_b.go"), (2, "axb.go"), (3, ".go"), (3, "a_b.go"), (3, "axb.go"), (3, "x.go"), (4, "src/data.ts")]
+
+
+def test_qid_matches_file(spark):
+    df = spark.createDataFrame([("svc.lib.a.Run", "lib/a.go", True), ("x.y", "src/lib/y.go", True), ("svc.my_lib.Run", "src/my-lib/z.go", False), ("src.my_lib.Run", "src/my-lib/z.go", True), ("q", "p.go", False), ("q", "q", True)], "q string, f string, e boolean")
+    assert all(r.e == r.m for r in df.select("e", impact.qid_matches_file(F.col("q"), F.col("f")).alias("m")).collect())
+
+
+def test_class_bridge(spark):
+    t = {
+        "symbols": spark.createDataFrame([("Widget", "class", "lib/w.py", 10, 30), ("get", "class", "lib/w.py", 10, 30), ("Other", "fclos", "lib/w.py", 10, 30)], "sid string, vtype string, file string, start_line int, end_line int"),
+        "callgraph": spark.createDataFrame([(1, "lib.Widget.run", None), (2, "x", "lib.Widget.init"), (3, "get.Other", None), (None, "Widget", None)], "ep_id long, callee_qid string, caller_qid string"),
+    }
+    change = spark.createDataFrame([(7, "w.py", 12, 12)], "change_id int, path string, first_line int, last_line int")
+    assert {tuple(r) for r in impact.class_bridge(FactCatalog(spark, t), change).collect()} == {(7, 1, "Widget"), (7, 2, "Widget")}

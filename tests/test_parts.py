@@ -254,3 +254,73 @@ def test_findings_and_streams(spark, tmp_path):
         stream = spark.readStream.schema("key string, seq int, value string").parquet(f"{tmp_path}/in")
         snapshots.commits(stream, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
     assert {r.key: r.value for r in snapshots.snapshot(spark, f"{tmp_path}/out", "key").collect()} == {"k": "new", "l": "x"}
+
+
+def test_rules_by_type_package_invocation_and_callback(spark):
+    args = spark.createDataFrame([("r", 1, 0, "java.lang.String"), ("r", 1, 1, "XString"), ("r", 1, 2, None), ("q", 1, 0, "String")], "rule_id string, call_id int, idx int, arg_type string")
+    assert sorted((r.rule_id, r.idx) for r in taint.select_args_by_type(args, spark.createDataFrame([("r", "String"), ("q", "String"), ("q", "String")], "rule_id string, wanted string")).collect()) == [("q", 0), ("r", 0)]
+    ids = spark.createDataFrame([("app.db.open(x).exec", "app.open.exec", True), ("app.open.exec", "app.open.exec", False), ("a.exec", "a.exec", True), (None, "a", False), ("aexec", "a.exec", False)], "qid string, fsig string, e boolean")
+    assert all(bool(r.m) == r.e for r in ids.select("e", taint.package_value_matches(F.col("qid"), F.col("fsig")).alias("m")).collect())
+    calls = spark.createDataFrame([(1, "x.run", "run", None), (2, "y.go", "run", "lib.Base"), (3, "z", "run", "lib.Sub"), (4, "a.Type.run", "other", None), (5, "run", "no", None)], "call int, literal string, fsig string, callee_type string")
+    sinks = spark.createDataFrame([("plain", "run", None), ("typed", "run", "Base"), ("written", "run", "Type"), ("none", "", None)], "sink_id string, fsig string, callee_type string")
+    related = spark.createDataFrame([("lib.Sub", "lib.Base")], "type string, related string")
+    assert {(r.call, r.sink_id) for r in taint.invocation_sinks(calls, sinks, related).collect()} == {(1, "plain"), (2, "plain"), (3, "plain"), (5, "plain"), (2, "typed"), (3, "typed"), (4, "written")}
+    calls = spark.createDataFrame([(1, "python", "add_task", ["fastapi.BackgroundTasks"]), (2, "python", "add_task", ["other"]), (3, "python", "add_task", ["fastapi.BackgroundTasks"])], "call int, language string, method string, receivers array<string>")
+    given = spark.createDataFrame([(1, 0, "position", None, 10), (1, 1, "position", None, 11), (1, 2, "keyword", "k", 12), (2, 0, "position", None, 20), (3, 0, "keyword", "func", 30)], "call int, idx int, kind string, name string, node long")
+    models = spark.createDataFrame([("bg", 0, "python", "add_task", ["fastapi.BackgroundTasks"], 2, 0, None, "tail"), ("kw", 1, "python", "add_task", ["fastapi.BackgroundTasks"], None, None, "func", "none")], "model_id string, model_order int, language string, method string, identities array<string>, min_args int, callback_index int, callback_keyword string, mapping string")
+    assert {(r.call, r.model_id, r.callback, tuple(tuple(a) for a in r.args)) for r in taint.callback_calls(calls, given, models).collect()} == {(1, "bg", 10, ((0, 11), (1, 12))), (3, "kw", 30, ())}
+
+
+def test_path_sources(spark):
+    members = spark.createDataFrame([(1, "a", 2), (2, "b", 3), (1, "c", 4), (4, "b", 5), (3, "d", 6)], "node long, name string, child long")
+    scopes = spark.createDataFrame([("x", 1), ("y", 1), ("z", 1), ("w", 2)], "rule_id string, node long")
+    paths = spark.createDataFrame([("x", "X", "a.b"), ("y", "Y", "*.b"), ("z", "Z", "a.**"), ("w", "W", "nothing.b")], "rule_id string, tag string, path string")
+    assert {(r.tag, r.node) for r in taint.path_sources(members, scopes, paths).collect()} == {("X", 3), ("Y", 3), ("Y", 5), ("Z", 2), ("Z", 3), ("Z", 6)}
+
+
+def test_incremental_plans(spark):
+    deleted = spark.createDataFrame([(1, "/a.py", 10, 12), (2, "b.py", 1, 2), (3, "c.py", 5, 5)], "change_id int, path string, first_line int, last_line int")
+    old = spark.createDataFrame([(1, "a.py", 8, 11), (2, "a.py", 20, 30)], "ep long, file string, start_line int, end_line int")
+    found = spark.createDataFrame([("call_site", 1, 1), ("call_site", 2, 2), ("entrypoint_body", 2, 2)], "evidence string, change_id int, ep long")
+    bridge = spark.createDataFrame([(2, 2, "Widget")], "change_id int, ep long, class_name string")
+    impacted = incremental.impacted_entrypoints(found, bridge)
+    got = {tuple(r) for r in incremental.deletion_changes(deleted, old, impacted).collect()}
+    assert got == {(1, "deleted", 1, False, "deleted_base_coordinate: a.py:10-12"), (2, "modified", 2, True, "call_site+entrypoint_body+python_class_callgraph_bridge:Widget: b.py:1-2"), (3, "no_ep_impact", None, False, "db_no_ep_fact: c.py:5-5")}
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    head, none = frame([("h1",), ("h2",)], "key string"), frame([], "reason string")
+    allow = frame([("h1", "body")], "key string, reason string")
+    some = frame([("modified",)], "status string")
+    rows, full = incremental.final_mode("auto", some, allow, frame([("parse",)], "reason string"), head)
+    assert full and {r.key for r in rows.collect()} == {"h1", "h2"}
+    assert not incremental.final_mode("ep-only", some, allow, none, head)[1]
+    assert not incremental.final_mode("ep-only", frame([("no_ep_impact",)], "status string"), allow.limit(0), none, head)[1]
+    for changes, chosen, fallbacks in ((frame([("added",)], "status string"), allow, none), (some, allow.limit(0), none), (some, allow, frame([("x",)], "reason string"))):
+        with pytest.raises(incremental.UnsafePlan):
+            incremental.final_mode("ep-only", changes, chosen, fallbacks, head)
+    uris = {"file:///Base/Src/x.py": "file:///new/x.py", "/base/src": "/new", "base\\src\\y.py": "new/y.py", "base/srcs/z.py": "base/srcs/z.py", "file://base/src/q": "file://new/q"}
+    df = spark.createDataFrame([(u,) for u in uris], "u string").select("u", incremental.remapped_root(F.col("u"), "file:///Base/Src/", "/new").alias("v"))
+    assert {r.u: r.v for r in df.collect()} == uris
+    reasons = incremental.skipped_by_reason(frame([("a",), ("a",), (None,)], "reason string")).collect()
+    assert [(r.reason, r.n) for r in reasons] == [("a", 2)]
+
+
+def test_closure_has_least_depths(spark):
+    edges = [(i, (i * 7 + 3) % 23) for i in range(23)] + [(i, i + 1) for i in range(40, 70)] + [(40, 45), (None, 1), (50, 50)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    after: dict = {}
+    for a, b in edges:
+        if a is not None:
+            after.setdefault(a, set()).add(b)
+    expected = {}
+    for a in after:
+        level, near = 1, set(after[a])
+        while near:
+            for b in near:
+                expected[a, b] = level
+            level += 1
+            near = {c for b in near for c in after.get(b, ())} - {b for x, b in expected if x == a}
+    got = {(r.src, r.dst): r.depth for r in graph.closure(df).collect()}
+    assert got == expected
+    assert {(r.src, r.dst): r.depth for r in graph.closure(df, depth=3).collect()} == {k: d for k, d in expected.items() if d <= 3}
+    seeds = spark.createDataFrame([(40,), (0,)], "src long")
+    assert {(r.src, r.dst): r.depth for r in graph.closure(df, seeds).collect()} == {k: d for k, d in expected.items() if k[0] in (0, 40)}
