@@ -142,7 +142,7 @@ def argument_sources(calls: DataFrame, call_args: DataFrame, rules: DataFrame, s
 
 
 def identifier_sources(nodes: DataFrame, rules: DataFrame) -> DataFrame:
-    """Nodes whose sid, qid or name is a rule's path, in its scope file, function and lines where it names them. Three equi-joins, not one on either key."""
+    """Nodes whose sid, qid or name is a rule's path, in its scope file and function where it names them. Three equi-joins, not one on either key."""
     r = rules.select(F.col("path").alias("_path"), F.col("scope_file").alias("_file"), F.col("scope_func").alias("_func"), F.col("kind").alias("tag"))
     parts = [nodes.join(r, nodes[k] == F.col("_path")) for k in ("sid", "qid", "name")]
     found = parts[0].unionByName(parts[1]).unionByName(parts[2])

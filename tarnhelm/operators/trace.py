@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
 # Tags as they are written, with their spaces.
 SOURCE, SINK, CALL, ARG_PASS, CALL_RETURN, RETURN_VALUE, FIELD = "SOURCE: ", "SINK: ", "CALL: ", "ARG PASS: ", "CALL RETURN:", "Return Value: ", "Field: "
 AT = ("file", "line", "tag")
@@ -190,9 +192,9 @@ def callstack_findings(steps: DataFrame, stack: DataFrame, callee_only: bool = F
     """
     cut = bounded(steps)
     ordered = in_callstack_order(cut, stack, callee_only)
-    bridges = bridged(ordered, stack)
+    bridges = written(bridged(ordered, stack), "bridges")
     shown = first_pass_per_frame(bridges) if callee_only else bridges
-    final = drop_adjacent_repeats(first_source_only(shown))
+    final = written(drop_adjacent_repeats(first_source_only(shown)), "trace")
     checks = [("boundary", valid_findings(cut)), ("segment", segments_in_frame(bridges)), ("boundary after", valid_findings(shown)), ("edges", edge_invariant(shown, stack)), ("boundary at the end", valid_findings(final))]
     found = steps.select("finding").distinct()
     reason = F.lit(None).cast("string")

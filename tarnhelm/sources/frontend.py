@@ -46,7 +46,7 @@ def flatten(file: str, content: str | None) -> list[tuple]:
     while stack:
         node, parent, depth, slot, pos = stack.pop()
         me = len(rows)
-        literal = repr(node.value)[:200] if isinstance(node, ast.Constant) else None
+        literal = repr(node.value) if isinstance(node, ast.Constant) else None
         rows.append((file, me, parent, depth, type(node).__name__, _name(node), slot, pos, getattr(node, "lineno", 0), getattr(node, "end_lineno", 0) or 0, getattr(node, "col_offset", 0), literal))
         below: list[tuple] = []
         for field, value in ast.iter_fields(node):

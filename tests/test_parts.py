@@ -324,3 +324,22 @@ def test_closure_has_least_depths(spark):
     assert {(r.src, r.dst): r.depth for r in graph.closure(df, depth=3).collect()} == {k: d for k, d in expected.items() if d <= 3}
     seeds = spark.createDataFrame([(40,), (0,)], "src long")
     assert {(r.src, r.dst): r.depth for r in graph.closure(df, seeds).collect()} == {k: d for k, d in expected.items() if k[0] in (0, 40)}
+
+
+def test_collectors_of_other_languages(spark):
+    sources = collectors.default_sources(spark)
+    uses = spark.createDataFrame([(1, "go", "*gin.Context", "return", "Query"), (2, "go", "*url.URL", "return", "Query"), (3, "go", "Other", "return", "Query"), (4, "php", "Anything", "return", "getPost"), (5, "php", None, "field", "_GET"), (6, "javascript", "", "field", "ctx.query"), (7, "php", "X", "return", "readline")], "id int, language string, callee_type string, how string, name string")
+    assert sorted(r.id for r in collectors.sourced(uses, sources).collect()) == [1, 2, 4, 5, 6]
+    functions = spark.createDataFrame(
+        [("a.php", "UserController", ["Base"], "show", ["public"], 2), ("a.php", "UserController", ["Base"], "__get", [], 1), ("a.php", "UserController", ["Base"], "none", [], 0), ("a.php", "UserController", ["Base"], "own", ["Private"], 1), ("b.php", "Mid", ["x\\\\BaseController"], "list", None, 1), ("c.php", "Low", ["Mid"], "edit", None, 1), ("d.php", "Controller", [], "run", None, 1), ("e.php", "UserBucket", [], "get", None, 0)],
+        "file string, class_name string, bases array<string>, func_name string, modifiers array<string>, n_params int",
+    ).withColumn("start_line", F.lit(1)).withColumn("end_line", F.lit(2))
+    assert {r.func_name for r in collectors.php_controllers(functions).collect()} == {"show", "list", "edit"}
+    assert {r.func_name for r in collectors.php_buckets(functions).collect()} == {"get"}
+    routes = spark.createDataFrame([("/r/app/router.js", "get", "controller.api.user.show"), ("/r/app/public/router.js", "get", "controller.x.y"), ("/r/app/router.js", "use", "controller.api.user.edit")], "file string, verb string, action string")
+    methods = spark.createDataFrame([("/r/app/controller/api/User.js", "User", "show"), ("/r/app/controller/api/User.js", "User", "edit"), ("/r/app/controller/user.js", "User", "show")], "file string, class_name string, func_name string").withColumn("start_line", F.lit(1)).withColumn("end_line", F.lit(2))
+    assert [(r.file, r.func_name) for r in collectors.egg_routes(routes, methods).collect()] == [("/app/controller/api/User.js", "show")]
+    calls = spark.createDataFrame([("m.go", "pkg.gin.Default()", "GET", ["path", "h.Show"]), ("m.go", "other", "GET", ["h.Edit"])], "file string, receiver string, method string, args array<string>")
+    handlers = spark.createDataFrame([("h.go", None, "Show"), ("h.go", None, "Edit")], "file string, class_name string, func_name string").withColumn("start_line", F.lit(1)).withColumn("end_line", F.lit(2))
+    assert [r.func_name for r in collectors.gin_routes(calls, handlers).collect()] == ["Show"]
+    assert [r.func_name for r in collectors.lifespans(handlers, spark.createDataFrame([("h.go", "x.Edit"), ("h.go", None)], "file string, lifespan string")).collect()] == ["Edit"]
