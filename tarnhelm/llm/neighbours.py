@@ -6,7 +6,7 @@ others leave. Encoding is a beam search: ``BEAM`` sums are kept from codebook to
 byte a codebook, and the squared norm of its sum.
 
 Search. A query's inner products with all words are a table of 256 entries a codebook; a vector's score is the sum of the entries at its
-codes (with Euclidean distance, the stored norm less twice that). Queries go in blocks of ``QUERY_BLOCK``, whose size bounds
+codes (for Euclidean distance, twice that less the stored norm). Queries go in blocks of ``QUERY_BLOCK``, whose size bounds
 the broadcast; each block is scored against all vectors, in steps. The best ``RERANK`` go on to exact scores
 in double precision on the original vectors.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 BOOKS, WORDS, BEAM, SAMPLE, RERANK, QUERY_BLOCK, PIECE = 16, 256, 4, 8192, 400, 4096, 262_144
-ENCODE_ROWS, SWEEPS = 2048, 3
+ENCODE_ROWS, SWEEPS, LEAST_BLOCK = 2048, 3, 256
 
 
 class Codebooks:
@@ -126,7 +126,7 @@ def _encoder(shared, dimension: int):
     return run
 
 
-def _searcher(shared, rerank: int):
+def _searcher(shared, rerank: int, metric: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books, query_ids, queries = shared.value
         m, k, _ = books.books.shape
@@ -136,11 +136,14 @@ def _searcher(shared, rerank: int):
         for batch in batches:
             vids = batch["vid"].to_numpy()
             codes = np.frombuffer(b"".join(batch["codes"].to_pylist()), np.uint8).reshape(-1, m)
+            norms = batch["norm"].to_numpy()
             kept, kept_ids = [], []
             for a in range(0, len(queries), 64):  # bounds the scores held at once
                 score = tables[a : a + 64, 0][:, codes[:, 0]]
                 for i in range(1, m):
                     score += tables[a : a + 64, i][:, codes[:, i]]
+                if metric == "euclidean":
+                    score = 2 * score - norms  # less the query's own norm, which is the same for all
                 score = np.hstack([best[a : a + 64], score])
                 every = np.hstack([ids[a : a + 64], np.broadcast_to(vids, (len(score), len(vids)))])
                 if score.shape[1] > rerank:
@@ -183,8 +186,8 @@ def _least_ids(k: int):
     return run
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, rerank: int = RERANK) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest of each row for which ``is_query`` (a column over vec_id) holds."""
+def search(vectors: DataFrame, is_query, k: int = 20, rerank: int = RERANK, metric: str = "inner") -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest of each row for which ``is_query`` (a column over vec_id) holds. score is the inner product, or with ``metric`` euclidean the negative squared distance."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     valid = written(_valid(vectors), "vectors")
@@ -201,24 +204,27 @@ def search(vectors: DataFrame, is_query, k: int = 20, rerank: int = RERANK) -> D
     sample = entries.select("vid", "vector").orderBy(F.xxhash64("vid"), "vid").limit(SAMPLE).toArrow()["vector"].combine_chunks()
     books = train(_matrix(sample, dimension))
     shared = spark.sparkContext.broadcast(books)
-    index = written(entries.select("vid", "vector").mapInArrow(_encoder(shared, dimension), "vid long, codes binary, norm float"), "index").select("vid", "codes")
+    index = written(entries.select("vid", "vector").mapInArrow(_encoder(shared, dimension), "vid long, codes binary, norm float"), "index")
     pieces = max(1, math.ceil(total / PIECE))
     queries = valid.where(is_query)
-    n_blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK * 1.2))
+    asked = queries.count()
+    # A block bounds what is broadcast; fewer queries are dealt into smaller ones, so that all cores have some.
+    n_blocks = max(1, math.ceil(asked / QUERY_BLOCK * 1.2), min(spark.sparkContext.defaultParallelism, math.ceil(asked / LEAST_BLOCK)))
     found = None
     for b in range(n_blocks):
         block = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == b).toArrow()  # about QUERY_BLOCK rows
         if not block.num_rows:
             continue
         sent = spark.sparkContext.broadcast((books, block["vec_id"].to_numpy(), _matrix(block["vector"].combine_chunks(), dimension)))
-        near = index.coalesce(pieces).mapInArrow(_searcher(sent, rerank), "query_id long, vid long, near float")
+        near = index.coalesce(pieces).mapInArrow(_searcher(sent, rerank, metric), "query_id long, vid long, near float")
         found = near if found is None else found.unionByName(near)
     if found is None:
         return spark.createDataFrame([], schema)
     first = Window.partitionBy("query_id").orderBy(F.desc("near"), "vid")
     chosen = found.withColumn("r", F.row_number().over(first)).where(F.col("r") <= rerank).select("query_id", "vid")
     both = chosen.join(entries, "vid").join(queries.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("q")), "query_id")
-    exact = F.aggregate(F.zip_with("q", "vector", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    term = (lambda x, y: -(x - y) * (x - y)) if metric == "euclidean" else (lambda x, y: x * y)
+    exact = F.aggregate(F.zip_with("q", "vector", term), F.lit(0.0), lambda s, x: s + x)
     scored = both.select("query_id", exact.alias("score"), F.explode("ids").alias("vec_id")).where("vec_id != query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 import pyarrow as pa
 
 from .conftest import SCHEMA, rows, sentence
@@ -445,3 +446,25 @@ def test_mixing_takes_per_document_what_the_order_says(spark):
             part = max(0, min(n, rest))
             rest -= part
             assert got[r[0]].taken == epochs * n + part and got[r[0]].source_size == size
+
+
+@pytest.mark.parametrize("metric", ["inner", "euclidean"])
+def test_recall_where_few_candidates_are_scored_exactly(spark, metric):
+    """6,000 vectors of 64 dimensions, clustered and unequally long; 120 candidates, 2 in 100, go on to exact scores. The norms decide for Euclidean distance."""
+    from pyspark.sql import functions as F
+
+    from tarnhelm.llm import neighbours as N
+
+    rng = np.random.default_rng(8)
+    x = (rng.normal(size=(60, 64))[rng.integers(0, 60, 6000)] + 0.6 * rng.normal(size=(6000, 64))) * rng.uniform(0.7, 1.3, 6000)[:, None]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in N.search(vectors, F.col("vec_id") % 100 == 0, rerank=120, metric=metric).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    hits = 0
+    for q, found in got.items():
+        s = x @ x[q] if metric == "inner" else -((x - x[q]) ** 2).sum(axis=1)
+        s[q] = -np.inf
+        assert len(found) == 20 and all(abs(s[v] - score) < 1e-9 for v, score in found.items())
+        hits += len(set(np.argsort(-s)[:20].tolist()) & set(found))
+    assert len(got) == 60 and hits >= 0.9 * 20 * 60, hits / (20 * 60)
