@@ -42,6 +42,9 @@ DEFINITIONS: dict[str, str] = {
     "deep_calls": """SELECT id, ep_id, qid AS callee_qid, CASE WHEN id % 4 < 2 THEN ef ELSE coalesce(pf, file) END AS call_site_file, CAST(CASE WHEN id % 4 < 2 THEN es + id % 10 ELSE coalesce(pl, line) + 1 END AS INT) AS call_site_line,
         CAST(greatest(line - 10, 0) AS INT) AS callee_start_line, CAST(line + 10 AS INT) AS callee_end_line, CAST(50 + id % 51 AS INT) AS confidence, CASE id % 7 WHEN 0 THEN 'dynamic' WHEN 1 THEN 'type_member' ELSE 'direct_fdef' END AS resolution_kind
         FROM (SELECT n.id, n.ep_id, n.qid, n.file, n.line, e.file AS ef, e.start_line AS es, lag(n.file) OVER (PARTITION BY n.ep_id ORDER BY n.id) AS pf, lag(n.line) OVER (PARTITION BY n.ep_id ORDER BY n.id) AS pl FROM {deep_nodes} n JOIN {entrypoints} e ON e.id = n.ep_id) x""",
+    "calls": """SELECT id AS call_id, ep_id, callee_qid AS callee, resolution_kind AS callee_type, CAST(2 AS INT) AS n_args, id * 10 AS ret_node FROM {callgraph}""",
+    "call_args": """SELECT call_id, CAST(-1 AS INT) AS idx, CAST(NULL AS STRING) AS name, call_id * 10 + 1 AS node FROM {calls} UNION ALL SELECT call_id, CAST(0 AS INT), NULL, call_id * 10 + 2 FROM {calls}
+        UNION ALL SELECT call_id, CAST(1 AS INT), CASE WHEN call_id % 2 = 0 THEN 'data' END, call_id * 10 + 3 FROM {calls} WHERE call_id % 5 > 0""",
     "source_files": """SELECT concat(source, '/', doc_id, '.txt') AS file_path, text AS content FROM {documents}""",
     "changes": """SELECT * FROM (VALUES (1, 'm3/h11.go', 1, 60), (2, '/src/m7/h20.go', 100, 240), (3, 'm12/h40.ts', 1, 500), (4, 'M5/H33.GO', 30, 90), (5, 'h50.go', 200, 230), (6, 'src/m0/h0.go', 0, 499),
         (7, 'm9/h77.ts', 241, 250), (8, 'none/such.go', 1, 9)) AS c(change_id, path, first_line, last_line)""",

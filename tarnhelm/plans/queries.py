@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import patterns, sqlguard
-from ..operators import graph, impact, incremental, taint, trace, types
+from ..operators import collectors, graph, impact, incremental, taint, trace, types
 from ..scratch import written
 from ..sources.catalog import FactCatalog
 from . import facts
@@ -747,3 +747,141 @@ def t22_callstack_findings(load):
 @query("SELECT f.finding, e >= 1 AND coalesce(n, 1) >= e + 1 AS valid FROM (SELECT finding, count(DISTINCT CASE WHEN tag = 'ARG PASS: ' AND frame >= 1 THEN frame END) + sum(CASE WHEN tag = 'SINK: ' THEN 1 ELSE 0 END) AS e FROM (" + _IN_FRAME + ") f GROUP BY finding) f LEFT JOIN (SELECT finding, count(DISTINCT idx) + 1 AS n FROM {stacks} k GROUP BY finding) k ON k.finding = f.finding")
 def w08_edge_invariant(load):
     return trace.edge_invariant(trace.frames(load("traces"), load("stacks")), load("stacks"))
+
+
+def _frame(load, rows: list[tuple], schema: str) -> DataFrame:
+    return load("calls").sparkSession.createDataFrame(rows, schema)
+
+
+_RULE_ROWS = [("sig", 0, "p33", None, None, None, "D"), ("svc", 1, None, r"\.p7", None, None, "A"), ("two", 2, "p17", None, None, None, "B")]
+_RULE = "rule_id string, rule_order int, fsig string, fregex string, callee_type string, arg_num int, kind string"
+_HIT = "SELECT call_id, ep_id, ret_node, CASE WHEN ends_with(callee, '.p33') THEN 'sig' WHEN contains(callee, '.p7') THEN 'svc' ELSE 'two' END AS rule_id, CASE WHEN ends_with(callee, '.p33') THEN 'D' WHEN contains(callee, '.p7') THEN 'A' ELSE 'B' END AS tag FROM {calls} WHERE ends_with(callee, '.p33') OR contains(callee, '.p7') OR ends_with(callee, '.p17')"
+_SELECTED = "SELECT h.*, a.idx, a.node FROM (" + _HIT + ") h JOIN {call_args} a ON a.call_id = h.call_id WHERE (h.rule_id = 'sig' AND a.idx = 0) OR (h.rule_id = 'svc' AND a.idx >= 0) OR (h.rule_id = 'two' AND (a.name = 'data' OR a.idx = -1))"
+_SELECTOR_ROWS = [("sig", "position", 0, None), ("svc", "all", None, None), ("two", "keyword", None, "data"), ("two", "receiver", -1, None)]
+_SELECTOR = "rule_id string, sel_type string, sel_index int, sel_name string"
+
+
+@query("SELECT DISTINCT tag, ep_id, ret_node AS node FROM (" + _HIT + ") h")
+def t02_return_sources(load):
+    return taint.return_sources(load("calls"), _frame(load, _RULE_ROWS, _RULE))
+
+
+@query("SELECT DISTINCT tag, ep_id, node FROM (" + _SELECTED + ") s")
+def t03_argument_sources(load):
+    return taint.argument_sources(load("calls"), load("call_args"), _frame(load, _RULE_ROWS, _RULE), _frame(load, _SELECTOR_ROWS, _SELECTOR))
+
+
+@query(
+    "SELECT DISTINCT * FROM (SELECT a.node AS from_node_id, c.ret_node AS to_node_id, c.ep_id, 'lib_model' AS edge_type FROM {calls} c JOIN {call_args} a ON a.call_id = c.call_id AND a.idx = 0 WHERE ends_with(c.callee, '.p33') "
+    "UNION ALL SELECT a.node, b.node, c.ep_id, 'lib_model' FROM {calls} c JOIN {call_args} a ON a.call_id = c.call_id AND a.idx = -1 JOIN {call_args} b ON b.call_id = c.call_id AND b.idx = 1 WHERE ends_with(c.callee, '.p17') "
+    "UNION ALL SELECT a.node, c.ret_node, c.ep_id, 'lib_arg_to_ret' FROM {calls} c JOIN {call_args} a ON a.call_id = c.call_id WHERE NOT ends_with(c.callee, '.p33') AND NOT ends_with(c.callee, '.p17')) e"
+)
+def t10_library_edges(load):
+    models = _frame(load, [("p33", "ARG", 0, "RET", None), ("p17", "THIS", None, "ARG", 1)], "fsig string, from_kind string, from_index int, to_kind string, to_index int")
+    return taint.library_edges(load("calls"), load("call_args"), models)
+
+
+_SANITIZED = "SELECT DISTINCT * FROM (SELECT 'ret' AS sanitizer_id, ep_id, ret_node AS node FROM {calls} WHERE ends_with(callee, '.p33') UNION ALL SELECT 'arg', c.ep_id, a.node FROM {calls} c JOIN {call_args} a ON a.call_id = c.call_id WHERE ends_with(c.callee, '.p7') UNION ALL SELECT 'all', ep_id, NULL FROM {calls} WHERE ends_with(callee, '.p50')) s"
+
+
+def _sanitizers(load):
+    return _frame(load, [("ret", "p33", "RET"), ("arg", "p7", "ARG0"), ("all", "p50", "CALL")], "sanitizer_id string, fsig string, to string")
+
+
+@query(_SANITIZED)
+def t13_sanitized_nodes(load):
+    return taint.sanitized_nodes(load("calls"), load("call_args"), _sanitizers(load))
+
+
+@query(
+    "SELECT f.rule_id, f.tag, f.ep_id, f.call_id, f.node, coalesce(string_agg(DISTINCT z.sanitizer_id, ',' ORDER BY z.sanitizer_id), '') AS sanitizers FROM (SELECT DISTINCT rule_id, 'T' AS tag, ep_id, call_id, node FROM (" + _SELECTED + ") s WHERE node % 20 IN (2, 3, 11)) f "
+    "LEFT JOIN (" + _SANITIZED + ") z ON z.ep_id = f.ep_id AND (z.node IS NULL OR z.node = f.node) GROUP BY f.rule_id, f.tag, f.ep_id, f.call_id, f.node"
+)
+def t16_findings(load):
+    """Arguments of sinks that are tainted, with the sanitizers that act on them or on their entry point."""
+    tainted = load("call_args").join(load("calls").select("call_id", "ep_id"), "call_id").where("node % 20 in (2, 3, 11)").select(F.lit("T").alias("tag"), "ep_id", "node")
+    found = taint.findings(tainted, load("calls"), load("call_args"), _frame(load, _RULE_ROWS, _RULE), _frame(load, _SELECTOR_ROWS, _SELECTOR), taint.sanitized_nodes(load("calls"), load("call_args"), _sanitizers(load)))
+    return found.withColumn("sanitizers", F.array_join("sanitizers", ","))
+
+
+@query("SELECT DISTINCT p_partkey AS call_id FROM {part} WHERE p_type = 'COPPER' OR ends_with(concat('x.', p_type), '.COPPER') OR p_brand = 'Brand#11'")
+def r05_args_by_type(load):
+    args = load("part").select(F.col("p_partkey").alias("call_id"), F.lit("r").alias("rule_id"), F.explode(F.array(F.concat(F.lit("x."), "p_type"), F.col("p_brand"))).alias("arg_type"))
+    return taint.select_args_by_type(args, load("calls").sparkSession.createDataFrame([("r", "COPPER"), ("r", "Brand#11")], "rule_id string, wanted string")).select("call_id").distinct()
+
+
+@query("SELECT DISTINCT qid, contains(qid, 'svc.') AND contains(qid, '.p7') AS two, contains(qid, 'svc.') AND contains(qid, '.s1(') AND contains(qid, '.p7') AS three FROM (SELECT qid FROM {nodes} UNION ALL SELECT replace(qid, '.p', '(x).p') FROM {nodes}) n")
+def r06_package_values(load):
+    q = F.col("qid")
+    ids = load("nodes").select("qid").union(load("nodes").select(F.replace("qid", F.lit(".p"), F.lit("(x).p"))))
+    return ids.distinct().select("qid", taint.package_value_matches(q, F.lit("svc.p7")).alias("two"), taint.package_value_matches(q, F.lit("svc.s1.p7")).alias("three"))
+
+
+@query("SELECT DISTINCT call_id AS call, 'plain' AS sink_id FROM {calls} WHERE callee = 'svc.s1.p7' OR ends_with(callee, '.p33') UNION SELECT call_id, 'typed' FROM {calls} WHERE ends_with(callee, '.p7') AND (callee LIKE '%.s2.p7' OR callee LIKE '%.s3.p7')")
+def r08_invocation_sinks(load):
+    parts = F.split("callee", r"\.")
+    calls = load("calls").select(F.col("call_id").alias("call"), F.col("callee").alias("literal"), F.element_at(parts, 3).alias("fsig"), F.concat(F.lit("pkg."), F.element_at(parts, 2)).alias("callee_type"))
+    sinks = _frame(load, [("plain", "p33", None), ("plain", "svc.s1.p7", None), ("typed", "p7", "s2")], "sink_id string, fsig string, callee_type string")
+    return taint.invocation_sinks(calls, sinks, _frame(load, [("pkg.s3", "pkg.s2")], "type string, related string"))
+
+
+@query("SELECT DISTINCT c.change_id, g.ep_id AS ep, concat('s', c.change_id * 10, '.p') AS class_name FROM {changes} c JOIN {callgraph} g ON contains(g.callee_qid, concat('s', c.change_id * 10, '.p'))")
+def x04_class_bridge(load):
+    """A class a change, named by the beginning of some callees."""
+    made = catalog(load)
+    symbols = load("changes").select(F.concat(F.lit("s"), F.col("change_id") * 10, F.lit(".p")).alias("sid"), F.lit("class").alias("vtype"), F.col("path").alias("file"), F.col("first_line").alias("start_line"), F.col("last_line").alias("end_line"))
+    return impact.class_bridge(FactCatalog(made.spark, made.tables | {"symbols": symbols}), load("changes")).select("change_id", "ep", "class_name")
+
+
+@query(
+    "WITH d AS (SELECT c_custkey AS change_id, concat('src/m', c_custkey % 40, '/h', c_custkey % 97, '.go') AS path, c_custkey % 400 + 1 AS first_line, c_custkey % 400 + 30 AS last_line FROM {customer}), g AS (SELECT DISTINCT d.change_id, e.id AS ep FROM d JOIN {entrypoints} e ON e.file = d.path AND e.start_line <= d.last_line AND e.end_line >= d.first_line), "
+    "i AS (SELECT DISTINCT o_custkey AS change_id, o_orderkey AS ep FROM {orders} WHERE o_orderstatus = 'P'), m AS (SELECT i.* FROM i ANTI JOIN g ON g.change_id = i.change_id AND g.ep = i.ep) "
+    "SELECT g.change_id, 'deleted' AS status, g.ep, false AS rerun FROM g UNION ALL SELECT m.change_id, 'modified', m.ep, true FROM m UNION ALL SELECT d.change_id, 'no_ep_impact', NULL, false FROM d WHERE change_id NOT IN (SELECT change_id FROM g) AND change_id NOT IN (SELECT change_id FROM m)"
+)
+def x05_deletions(load):
+    k = F.col("c_custkey")
+    deleted = load("customer").select(k.alias("change_id"), F.concat(F.lit("src/m"), k % 40, F.lit("/h"), k % 97, F.lit(".go")).alias("path"), (k % 400 + 1).alias("first_line"), (k % 400 + 30).alias("last_line"))
+    old = load("entrypoints").select(F.col("id").alias("ep"), "file", "start_line", "end_line")
+    impacted = load("orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("change_id"), F.col("o_orderkey").alias("ep"), F.lit("call_site").alias("reason"))
+    return incremental.deletion_changes(deleted, old, impacted).select("change_id", "status", "ep", "rerun")
+
+
+@query("SELECT url, CASE WHEN starts_with(lower(url), 'http://m.') THEN concat('mobile/', substr(url, 11)) ELSE url END AS moved FROM (SELECT replace(url, 'http://m.', 'http://m./') AS url FROM {pages}) p")
+def x14_roots(load):
+    u = F.replace("url", F.lit("http://m."), F.lit("http://m./"))
+    return load("pages").select(u.alias("url")).select("url", incremental.remapped_root(F.col("url"), "http://m.", "mobile").alias("moved"))
+
+
+@query(
+    "WITH c AS (SELECT super AS node, sub AS child, sub AS name FROM {class_edges}) SELECT 'one' AS tag, b.child AS node FROM c a JOIN c b ON b.node = a.child WHERE a.node = 'R1' AND a.name = 'N2' UNION SELECT 'any', b.child FROM c a JOIN c b ON b.node = a.child WHERE a.node = 'R0' AND b.name LIKE 'C%7' AND b.name = 'C7' UNION SELECT 'all', x FROM (SELECT a.child AS x FROM c a WHERE a.node = 'R2' AND a.name <> '' UNION SELECT b.child FROM c a JOIN c b ON b.node = a.child WHERE a.node = 'R2' UNION SELECT 'R2') z"
+)
+def t06_path_sources(load):
+    """Paths along the class tree: a nation of a region and any of its customers, a customer of any nation, a region and all below."""
+    e = load("class_edges").select(F.col("super").alias("node"), F.col("sub").alias("name"), F.col("sub").alias("child"))
+    return taint.path_sources(e, _frame(load, [("a", "R1"), ("b", "R0"), ("c", "R2")], "rule_id string, node string"), _frame(load, [("a", "one", "N2.*"), ("b", "any", "*.C7"), ("c", "all", "**")], "rule_id string, tag string, path string"))
+
+
+@query("SELECT DISTINCT p_partkey AS id, 'GO_INPUT' AS kind FROM (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '*gin.Context' WHEN 1 THEN '*url.URL' WHEN 2 THEN '*http.Request' ELSE 'other' END AS t, CASE p_partkey % 3 WHEN 0 THEN 'Query' WHEN 1 THEN 'FormValue' ELSE 'URL' END AS n FROM {part}) x WHERE (t = '*gin.Context' AND n = 'Query') OR (t = '*url.URL' AND n = 'Query') OR (t = '*http.Request' AND n = 'FormValue')")
+def e10_default_sources(load):
+    """Calls of Go methods that are sources by default."""
+    k, z = F.col("p_partkey"), F.col("p_size") % 4
+    uses = load("part").select(k.alias("id"), F.lit("go").alias("language"), F.when(z == 0, "*gin.Context").when(z == 1, "*url.URL").when(z == 2, "*http.Request").otherwise("other").alias("callee_type"), F.lit("return").alias("how"), F.when(k % 3 == 0, "Query").when(k % 3 == 1, "FormValue").otherwise("URL").alias("name"))
+    return collectors.sourced(uses, collectors.default_sources(load("part").sparkSession)).select("id", "kind")
+
+
+@query("SELECT DISTINCT concat('src/', c_nationkey, '.php') AS file, concat('act', c_custkey) AS func_name FROM {customer} WHERE c_custkey % 3 = 0 AND c_custkey % 5 > 0 AND c_custkey % 4 < 3")
+def e16_php_controllers(load):
+    """A third of the classes are controllers by name; private methods and those without a parameter are none."""
+    k = F.col("c_custkey")
+    f = load("customer").select(F.concat(F.lit("src/"), "c_nationkey", F.lit(".php")).alias("file"), F.concat(F.lit("K"), k, F.when(k % 3 == 0, "Controller").otherwise("Helper")).alias("class_name"), F.array(F.lit("Base")).alias("bases"), F.concat(F.lit("act"), k).alias("func_name"), F.array(F.when(k % 4 == 3, "private").otherwise("public")).alias("modifiers"), (k % 5).cast("int").alias("n_params"), F.lit(1).alias("start_line"), F.lit(9).alias("end_line"))
+    return collectors.php_controllers(f).select("file", "func_name")
+
+
+@query("SELECT DISTINCT concat('src/', c_nationkey, '.py') AS file, concat('fn', c_custkey) AS func_name FROM {customer} WHERE c_custkey % 4 < 2 AND c_nationkey % 2 = 0")
+def e01_fastapi(load):
+    """Functions decorated by a verb of a router that their file makes; every second file makes one."""
+    k = F.col("c_custkey")
+    mark = F.struct(F.when(k % 4 == 0, "app.get").when(k % 4 == 1, "app.post").when(k % 4 == 2, "app.trace").otherwise("other.get").alias("name"), F.lit(True).alias("call"), F.lit(None).cast("string").alias("first"))
+    f = load("customer").select(F.concat(F.lit("src/"), "c_nationkey", F.lit(".py")).alias("file"), F.lit(None).cast("string").alias("class_name"), F.concat(F.lit("fn"), k).alias("func_name"), F.array(mark).alias("decorators"), F.lit(1).alias("start_line"), F.lit(9).alias("end_line"))
+    made = load("nation").select(F.concat(F.lit("src/"), "n_nationkey", F.lit(".py")).alias("file"), F.lit("app").alias("var"), F.when(F.col("n_nationkey") % 2 == 0, "fastapi.FastAPI").otherwise("flask.Flask").alias("callee"))
+    return collectors.fastapi(f, made).select("file", "func_name")
