@@ -144,6 +144,16 @@ def without_blocks(qid: Column) -> Column:
     return F.when(F.greatest(*(F.instr(qid, m) for m in BLOCK_MARKS)) > 0, F.array_join(kept, ".")).otherwise(qid)
 
 
+def unmarked_qid(qid: Column) -> Column:
+    """A qualified id without marks but with its path: blocks, instances, copies, global prefixes, the prefix of unresolved imports, clones."""
+    qid = _let(qid, without_blocks)
+    for mark in ("instance_", "copied"):
+        qid = F.regexp_replace(qid, f"<{mark}[^.]*?_endtag>", "")
+    for mark in GLOBAL_MARKS:
+        qid = _first_replaced(qid, mark, "")
+    return F.regexp_replace(F.regexp_replace(qid, "^" + re.escape(LIBRARY_PREFIX), ""), "<cloned[^.]*?_endtag>", "")
+
+
 def unified_qid(qid: Column) -> Column:
     """A qualified id without what differs between equal symbols, in this order: path separators, framework aliases, parentheses, blocks, instances, copies, global prefixes, clones, the prefix of unresolved imports."""
     qid = F.replace(F.regexp_replace(qid, "^/", ""), F.lit("/"), F.lit("."))

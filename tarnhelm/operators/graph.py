@@ -7,9 +7,10 @@ its size is what it is, up to all pairs; give seeds where the graph is large.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import patterns
 from ..scratch import written
 
 
@@ -115,7 +116,7 @@ def dispatch(calls: DataFrame, hierarchy: DataFrame, methods: DataFrame) -> Data
 
 def keyword_files(files: DataFrame, keywords: list[str]) -> DataFrame:
     """keyword, file_path of files whose content holds it."""
-    spark: SparkSession = files.sparkSession
+    spark = files.sparkSession
     words = spark.createDataFrame([(k,) for k in keywords], "keyword string")
     return files.select("file_path", "content").join(F.broadcast(words), F.instr(F.col("content"), F.col("keyword")) > 0).select("keyword", "file_path")
 
@@ -125,3 +126,54 @@ def dot(edges: DataFrame) -> DataFrame:
     quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('\\"')), F.lit('"'))
     body = edges.select(F.concat(F.lit("  "), quoted(F.col("src")), F.lit(" -> "), quoted(F.col("dst")), F.lit(";")).alias("line")).distinct()
     return body
+
+
+#: The pseudo node from which entry points are called.
+ENTRY = "entry_point"
+
+
+def node_id(qid: Column, root: str = "") -> Column:
+    """The id of a graph's node: a name for what has none, no marks, and paths under ``root`` relative to it."""
+    named = F.when(qid.isNull(), "undefined").when(qid == "hasOwnProperty", "[hasOwnProperty]").otherwise(patterns.unmarked_qid(qid))
+    relative = F.replace(named, F.lit(root.rstrip("/") + "/"), F.lit("")) if root else named
+    return F.when(F.startswith(relative, F.lit("//")) | (F.length(relative) < 2), relative).otherwise(F.regexp_replace(relative, "^/", ""))
+
+
+def dumped(edges: DataFrame) -> DataFrame:
+    """Edges (src, dst, ...) whose ends are no entry pseudo nodes."""
+    return edges.where(~F.contains(F.col("src"), F.lit(ENTRY)) & ~F.contains(F.col("dst"), F.lit(ENTRY)))
+
+
+def nodes_at(locations: DataFrame, nodes: DataFrame) -> DataFrame:
+    """loc, node: the innermost function around a location. locations: loc, file, first_line, last_line; nodes: node, file, start_line, end_line."""
+    l = locations.where("file is not null and first_line > 0 and last_line > 0")  # noqa: E741
+    held = l.join(nodes, "file").where((F.col("first_line") >= F.col("start_line")) & (F.col("last_line") <= F.col("end_line")))
+    return held.groupBy("loc").agg(F.max_by("node", F.struct("start_line", -F.col("end_line"), "node")).alias("node"))
+
+
+def nodes_with(keyword: str, nodes: DataFrame) -> DataFrame:
+    """Functions (node, content) whose text holds the keyword; an empty one is in none."""
+    return nodes.where(F.contains(F.col("content"), F.lit(keyword))).select("node") if keyword else nodes.limit(0).select("node")
+
+
+def entrypoints_at(locations: DataFrame, nodes: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
+    """loc, node, file, attribute: the functions without callers from which a location's function is reached; where no function is around it, its file. files: file."""
+    found = nodes_at(locations, nodes)
+    tops = reverse_roots(edges, found.select("node").distinct())
+    by_function = found.join(tops, found["node"] == tops["target"]).select("loc", F.col("root").alias("node"), F.lit(None).cast("string").alias("file"), F.lit("FuncEntryPointByLoc").alias("attribute"))
+    rest = locations.where("file is not null and first_line > 0 and last_line > 0").join(found, "loc", "left_anti").join(files.select("file").distinct(), "file", "left_semi")
+    by_file = rest.select("loc", F.lit(None).cast(found.schema["node"].dataType).alias("node"), "file", F.lit("FileEntryPointByLoc").alias("attribute"))
+    return by_function.unionByName(by_file).distinct()
+
+
+def flattened(members: DataFrame, roots_: DataFrame, kinds: DataFrame, known: tuple[str, ...]) -> DataFrame:
+    """root, value: what unions hold at any depth that is no union itself. members: union, value; kinds: value, kind. A kind that isn't ``known`` is an error."""
+    reach = closure(members.select(F.col("union").alias("src"), F.col("value").alias("dst")), roots_.select(F.col("root").alias("src"))).select(F.col("src").alias("root"), F.col("dst").alias("value"))
+    found = reach.join(kinds, "value").where("kind != 'union'")
+    checked = F.when(F.col("kind").isin(*known), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("unknown kind of value: "), F.col("kind"))))
+    return found.select("root", checked.alias("value"))
+
+
+def holding(members: DataFrame, tagged: DataFrame) -> DataFrame:
+    """tag, node: values that are tagged or hold a tagged one at any depth. members: node, child; tagged: tag, node."""
+    return reachable(members.select(F.col("child").alias("src"), F.col("node").alias("dst")), tagged.select("tag", "node"))

@@ -239,3 +239,38 @@ def implementers_within(implementations: DataFrame, most: int = 8) -> DataFrame:
     """interface, impl of the interfaces that have at most ``most``; larger groups are no evidence and go whole."""
     few = implementations.groupBy("interface").agg(F.countDistinct("impl").alias("n")).where(F.col("n") <= most).select("interface")
     return implementations.select("interface", "impl").distinct().join(few, "interface", "left_semi")
+
+
+#: Elements of a range that a bounded iteration looks at.
+UNROLLED = 30
+
+
+def unrolled(values: Column, most: int = UNROLLED) -> Column:
+    """The first values of an array, in order."""
+    return F.slice(values, 1, most)
+
+
+def appended(values: DataFrame) -> DataFrame:
+    """union, pos, value: a union's values in order, each once by kind and content, or by location if it is a symbol; a union is no value of its own. values: union, pos, value, kind, content, loc."""
+    key = F.when((F.col("kind") == "symbol") & F.col("loc").isNotNull(), F.concat(F.lit("loc|"), "loc")).otherwise(F.concat(F.lit("is|"), F.coalesce("kind", F.lit("")), F.lit("|"), F.coalesce("content", F.lit(""))))
+    own = values.where(F.col("union") != F.col("value"))
+    return own.withColumn("_key", key).groupBy("union", "_key").agg(F.min_by(F.struct("pos", "value"), F.struct("pos", "value")).alias("v")).select("union", "v.pos", "v.value")
+
+
+def merged_buffers(held: DataFrame, buffered: DataFrame, keyed: tuple[str, ...]) -> DataFrame:
+    """strategy, key, seq: findings held and those of a buffer. Of the strategies in ``keyed``, which have a key for equal findings, only new ones come in, the first of each; others all."""
+    has = F.col("strategy").isin(*keyed)
+    fresh = buffered.where(has).join(held.select("strategy", "key").distinct(), ["strategy", "key"], "left_anti").groupBy("strategy", "key").agg(F.min("seq").alias("seq"))
+    return held.select("strategy", "key", "seq").unionByName(fresh).unionByName(buffered.where(~has).select("strategy", "key", "seq"))
+
+
+def with_source_kinds(rules: DataFrame, kind: str) -> DataFrame:
+    """Rules whose kinds (array) hold ``kind`` once, whatever they were."""
+    none = F.expr("cast(array() as array<string>)")
+    return rules.withColumn("kinds", F.array_union(F.coalesce("kinds", none), F.array(F.lit(kind))))
+
+
+def flow_locations(config: DataFrame, files: DataFrame) -> DataFrame:
+    """file, role, line: configured places (role, place as path:line) in the files that end with their path."""
+    c = config.select("role", F.substring_index("place", ":", 1).alias("_path"), F.try_element_at(F.split("place", ":"), F.lit(2)).cast("int").alias("line"))
+    return files.select("file").distinct().join(c, F.endswith("file", F.col("_path"))).select("file", "role", "line")

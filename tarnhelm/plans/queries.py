@@ -11,7 +11,7 @@ from ..functions import paths as P
 from ..functions import patterns, sqlguard
 from ..operators import collectors, graph, impact, incremental, taint, trace, types
 from ..scratch import written
-from ..sources.catalog import FactCatalog
+from ..sources.catalog import FactCatalog, changed_files, digests
 from . import facts
 
 Load = Callable[[str], DataFrame]
@@ -885,3 +885,102 @@ def e01_fastapi(load):
     f = load("customer").select(F.concat(F.lit("src/"), "c_nationkey", F.lit(".py")).alias("file"), F.lit(None).cast("string").alias("class_name"), F.concat(F.lit("fn"), k).alias("func_name"), F.array(mark).alias("decorators"), F.lit(1).alias("start_line"), F.lit(9).alias("end_line"))
     made = load("nation").select(F.concat(F.lit("src/"), "n_nationkey", F.lit(".py")).alias("file"), F.lit("app").alias("var"), F.when(F.col("n_nationkey") % 2 == 0, "fastapi.FastAPI").otherwise("flask.Flask").alias("callee"))
     return collectors.fastapi(f, made).select("file", "func_name")
+
+
+_FUNCS = "SELECT id AS node, file, start_line, end_line FROM {entrypoints} UNION ALL SELECT id + 100000000, file, start_line + 2, end_line - 2 FROM {entrypoints} WHERE id % 3 = 0"
+_PLACES = "SELECT id AS loc, file, line AS first_line, line + 1 AS last_line FROM {nodes} WHERE line > 0"
+
+
+def _functions(load):
+    e = load("entrypoints").select(F.col("id").alias("node"), "file", "start_line", "end_line")
+    return e.unionByName(load("entrypoints").where("id % 3 = 0").select((F.col("id") + 100000000).alias("node"), "file", (F.col("start_line") + 2).alias("start_line"), (F.col("end_line") - 2).alias("end_line")))
+
+
+def _places(load):
+    return load("nodes").where("line > 0").select(F.col("id").alias("loc"), "file", F.col("line").alias("first_line"), (F.col("line") + 1).alias("last_line"))
+
+
+_AT = "SELECT loc, max_by(node, struct_pack(a := start_line, b := -end_line, c := node)) AS node FROM (" + _PLACES + ") p JOIN (" + _FUNCS + ") f ON f.file = p.file AND p.first_line >= f.start_line AND p.last_line <= f.end_line GROUP BY loc"
+
+
+@query(_AT)
+def g13_nodes_at(load):
+    return graph.nodes_at(_places(load), _functions(load))
+
+
+@query(
+    "WITH hit AS (" + _AT + "), p AS (" + _PLACES + ") SELECT loc, CASE WHEN node >= 100000000 THEN node - 100000000 ELSE node END AS node, NULL AS file, 'FuncEntryPointByLoc' AS attribute FROM hit UNION ALL SELECT loc, NULL, file, 'FileEntryPointByLoc' FROM p WHERE loc NOT IN (SELECT loc FROM hit) AND file IN (SELECT file FROM {entrypoints})"
+)
+def g14_entrypoints_at(load):
+    """Inner functions are called by the outer ones."""
+    edges = load("entrypoints").where("id % 3 = 0").select(F.col("id").alias("src"), (F.col("id") + 100000000).alias("dst"))
+    return graph.entrypoints_at(_places(load), _functions(load), edges, load("entrypoints").select("file"))
+
+
+@query("SELECT caller_func AS src, callee_qid AS dst FROM {callgraph} WHERE caller_func NOT LIKE '%entry_point%' AND id % 9 > 0")
+def g03_dump(load):
+    """Every ninth edge comes from the pseudo node."""
+    e = load("callgraph").select(F.when(F.col("id") % 9 == 0, "entry_point").otherwise(F.col("caller_func")).alias("src"), F.col("callee_qid").alias("dst"))
+    return graph.dumped(e)
+
+
+@query("SELECT DISTINCT CASE WHEN line % 4 = 0 THEN 'undefined' WHEN line % 4 = 1 THEN '[hasOwnProperty]' ELSE concat('m/', qid) END AS id FROM {nodes}")
+def g01_node_ids(load):
+    marked = F.when(F.col("line") % 4 == 1, "hasOwnProperty").when(F.col("line") % 4 > 1, F.concat(F.lit("/src/m/<global>."), "qid", F.lit("<copied_1_endtag>")))
+    return load("nodes").select(graph.node_id(marked, "/src").alias("id")).distinct()
+
+
+@query("SELECT DISTINCT 'T' AS tag, super AS node FROM {class_edges} WHERE sub LIKE 'C%7' UNION SELECT 'T', e.super FROM {class_edges} e JOIN {class_edges} c ON c.super = e.sub WHERE c.sub LIKE 'C%7' UNION SELECT 'T', sub FROM {class_edges} WHERE sub LIKE 'C%7'")
+def g22_holding(load):
+    e = load("class_edges").select(F.col("super").alias("node"), F.col("sub").alias("child"))
+    return graph.holding(e, load("class_edges").where("sub like 'C%7'").select(F.lit("T").alias("tag"), F.col("sub").alias("node")))
+
+
+@query("SELECT n.super AS root, c.sub AS value FROM {class_edges} n JOIN {class_edges} c ON c.super = n.sub WHERE n.super LIKE 'R%'")
+def g21_flattened(load):
+    e = load("class_edges").select(F.col("super").alias("union"), F.col("sub").alias("value"))
+    kinds = load("class_edges").select(F.col("sub").alias("value"), F.when(F.startswith("sub", F.lit("N")), "union").otherwise("symbol").alias("kind")).distinct()
+    return graph.flattened(e, load("class_edges").where("super like 'R%'").select(F.col("super").alias("root")).distinct(), kinds, ("symbol",))
+
+
+@query("SELECT o_custkey AS k, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS first FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM {orders}) x WHERE r <= 5 GROUP BY o_custkey")
+def l03_unrolled(load):
+    rows = load("orders").groupBy(F.col("o_custkey").alias("k")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("v"))
+    return rows.select("k", F.array_join(taint.unrolled(F.col("v"), 5), ",").alias("first"))
+
+
+@query("SELECT u AS \"union\", min(id) AS value FROM (SELECT ep_id AS u, id, CASE WHEN id % 2 = 0 THEN concat('loc|', line) ELSE concat('is|object|', qid) END AS k FROM {nodes} WHERE id <> ep_id) x GROUP BY u, k")
+def s17_appended(load):
+    n = load("nodes")
+    even = F.col("id") % 2 == 0
+    rows = n.select(F.col("ep_id").alias("union"), F.col("id").alias("pos"), F.col("id").alias("value"), F.when(even, "symbol").otherwise("object").alias("kind"), F.col("qid").alias("content"), F.when(even, F.col("line").cast("string")).alias("loc"))
+    return taint.appended(rows).select("union", "value")
+
+
+@query(
+    "WITH f AS (SELECT event_id AS seq, CASE event_id % 2 WHEN 0 THEN 'taint' ELSE 'chain' END AS strategy, concat(user_id, '|', event_type) AS key, event_id % 3 = 0 AS held FROM {events}) SELECT strategy, key, seq FROM f WHERE held UNION ALL SELECT strategy, key, min(seq) FROM f WHERE NOT held AND strategy = 'taint' AND (strategy, key) NOT IN (SELECT (strategy, key) FROM f WHERE held) GROUP BY strategy, key UNION ALL SELECT strategy, key, seq FROM f WHERE NOT held AND strategy = 'chain'"
+)
+def s19_merged_buffers(load):
+    f = load("events").select(F.col("event_id").alias("seq"), F.when(F.col("event_id") % 2 == 0, "taint").otherwise("chain").alias("strategy"), F.concat("user_id", F.lit("|"), "event_type").alias("key"))
+    return taint.merged_buffers(f.where("seq % 3 = 0"), f.where("seq % 3 != 0"), ("taint",))
+
+
+@query("SELECT o_orderkey AS rule, CASE WHEN o_orderstatus = 'F' THEN 'F' WHEN o_orderstatus IS NULL THEN 'F' ELSE concat(o_orderstatus, ',F') END AS kinds FROM {orders}")
+def t25_source_kinds(load):
+    rules = load("orders").select(F.col("o_orderkey").alias("rule"), F.array("o_orderstatus").alias("kinds"))
+    return taint.with_source_kinds(rules, "F").select("rule", F.array_join("kinds", ",").alias("kinds"))
+
+
+@query("SELECT e.file, c.role, c.line FROM (SELECT DISTINCT file FROM {entrypoints}) e JOIN (SELECT 'source' AS role, ltrim(replace(path, 'src/', ''), '/') AS p, first_line AS line FROM {changes} UNION ALL SELECT 'sink', path, last_line FROM {changes}) c ON ends_with(e.file, c.p)")
+def p19_flow_locations(load):
+    c = load("changes")
+    rows = c.select(F.lit("source").alias("role"), F.concat(P.trimmed(F.replace("path", F.lit("src/"), F.lit(""))), F.lit(":"), "first_line").alias("place")).union(c.select(F.lit("sink"), F.concat("path", F.lit(":"), "last_line")))
+    return taint.flow_locations(rows, load("entrypoints").select("file"))
+
+
+@query("SELECT file_path FROM (SELECT concat(source, '/', doc_id, '.txt') AS file_path, doc_id, text FROM {documents}) d WHERE doc_id % 4 = 0 OR doc_id % 7 = 0")
+def src04_changed_files(load):
+    """A cache that has three of four files, one in seven of them with another content."""
+    files = load("documents").select(F.concat("source", F.lit("/"), "doc_id", F.lit(".txt")).alias("file_path"), F.coalesce("text", F.lit("")).alias("content"), "doc_id")
+    old = files.where("doc_id % 4 != 0").withColumn("content", F.when(F.col("doc_id") % 7 == 0, F.concat("content", F.lit("x"))).otherwise(F.col("content")))
+    return changed_files(files.drop("doc_id"), digests(old)).select("file_path")

@@ -28,6 +28,22 @@ SCHEMAS: dict[str, str] = {
 }
 
 
+#: What rows are looked up by.
+LOOKUPS: dict[str, tuple[str, ...]] = {
+    "entrypoints": ("file", "start_line"), "nodes": ("file", "line"), "edges": ("from_node_id",), "callgraph": ("call_site_file", "call_site_line"), "builtin_sources": ("file", "line"), "symbols": ("file", "start_line"), "module_deps": ("imported_file",),
+    "call_args": ("call_node_id",), "node_tags": ("node_id",), "source_files": ("file_path",), "go_interface_bindings": ("impl_method_file",), "decl_use_impact_edges": ("changed_file",),
+}
+
+
+def changed_files(files: DataFrame, cache: DataFrame) -> DataFrame:
+    """file_path, content of files whose content is not the cached one. cache: file_path, digest (sha-256 of the content), as ``digests`` gives it."""
+    return files.withColumn("digest", F.sha2("content", 256)).join(cache.select("file_path", "digest"), ["file_path", "digest"], "left_anti").select("file_path", "content")
+
+
+def digests(files: DataFrame) -> DataFrame:
+    return files.select("file_path", F.sha2("content", 256).alias("digest"))
+
+
 class FactCatalog:
     """Tables of one analysis run. A missing table is empty and a missing column is null, and ``has`` still tells which were there."""
 
@@ -48,9 +64,11 @@ class FactCatalog:
         df = self.tables[table]
         return df.withColumns({c: F.lit(None).cast(kind) for c, kind in wanted if c not in df.columns})
 
-    def write(self, folder: str, mode: str = "errorifexists") -> None:
-        """Each table as Parquet; Spark's committer moves finished files into place."""
+    def write(self, folder: str, mode: str = "errorifexists", ordered: bool = False) -> None:
+        """Each table as Parquet; Spark's committer moves finished files into place. ``ordered``: rows are range-partitioned and sorted by the column that lookups use, so that file statistics skip what they don't need."""
         for name, df in self.tables.items():
+            by = [c for c in LOOKUPS.get(name, ()) if c in df.columns]
+            df = df.repartitionByRange(*by).sortWithinPartitions(*by) if ordered and by else df
             df.write.mode(mode).parquet(f"{folder}/{name}.parquet")
 
     def views(self) -> None:
