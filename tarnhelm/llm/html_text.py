@@ -20,6 +20,7 @@ whole layout, is read without them. Repeated rows return equal rows. An empty ta
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import defaultdict
@@ -58,6 +59,15 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 #: A paragraph that is open outside of these is not closed by a block inside.
 SCOPE = REGION | LISTS | {"td", "th", "caption", "button"}
 
+
+@functools.cache
+def _implied(tag: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """The open elements that a start tag ends, as HTML lets end tags out - a block ends a paragraph, an item the item before it - and those beyond which it ends none."""
+    closes = CLOSES.get(tag, set())
+    ends = closes | ({"p"} if tag in BLOCK else set())
+    return tuple(sorted(ends)), tuple(sorted(SCOPE - closes))
+
+
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
@@ -116,9 +126,8 @@ class Lines(HTMLParser):
             self.text.append(" ")
         if tag in VOID:
             return
-        # HTML lets end tags out: a block ends an open paragraph, an item the item before it.
-        ends = {"p"} if tag in BLOCK else set()
-        if (i := self.last(ends | CLOSES.get(tag, set()))) > self.last(SCOPE - CLOSES.get(tag, set())):
+        ends, scope = _implied(tag)
+        if ends and (i := self.last(ends)) >= 0 and i > self.last(scope):
             self.shut(i)
         _, hidden, container = self.top()
         hidden = hidden or self.never(tag, attrs)
@@ -132,6 +141,8 @@ class Lines(HTMLParser):
     def never(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in NEVER:
             return True
+        if not attrs and tag != "header":
+            return False
         inside = self.last(("article", "main")) >= 0
         if tag == "header" and not inside:
             return True
