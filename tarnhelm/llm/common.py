@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one step of an Arrow function handles at once; a longer text is a step of its own.
 CHUNK_BYTES = 4 << 20
+#: The same for functions that hold many numbers a word.
+STEP_BYTES = 2 << 20
 
 _made: list[tuple[SparkSession, str, str | None]] = []
 

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import CHUNK_BYTES, dropped, kept_as, pieces, written
+from .common import STEP_BYTES, dropped, kept_as, pieces, written
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
 #: Texts of a bucket that are compared in one task (rows, bytes), and of a block in the second phase; leaders of a large bucket.
@@ -92,7 +92,7 @@ def _sketch(bands: int, rows: int, k: int):
     """size: the text's bytes; bands: a hash of each band's components, empty for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", STEP_BYTES):
             text, h, weight = shingles(batch["text"], k)
             n = batch.num_rows
             made = signatures(text, h, weight, n, bands * rows)
@@ -246,7 +246,7 @@ def _compare(names: list[str], threshold: float, k: int):
     """Rows in groups by ``names`` with key, text, and in the second phase label and two parts. Gives links (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, start in _groups(batches, names, CHUNK_BYTES):
+        for rows, start in _groups(batches, names, STEP_BYTES):
             sets = Sets.of(rows["text"].combine_chunks(), k)
             labelled = "label" in rows.column_names
             if labelled:

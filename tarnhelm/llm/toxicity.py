@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import pieces
+from .common import STEP_BYTES, pieces
 
 BITS, PREFIXES = 20, (4, 5, 6)
 SAMPLE, FOLDS, STEPS, RATE, PENALTY, CHI_SQUARE = 6000, 3, 150, 0.1, 1e-4, 20.0
@@ -51,7 +51,7 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "text"):
+    for batch in pieces(batches, "text", STEP_BYTES):
         text, feature, value = features(batch["text"])
         offsets = pa.array(np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32))
         kept = [c for c in batch.schema.names if c != "text"]
@@ -165,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int
 def _scorer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain: Chain = shared.value
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", STEP_BYTES):
             row, feature, value = features(batch["text"])
             p = chain.probabilities(row, feature, value, batch.num_rows)
             some = np.bincount(row, minlength=batch.num_rows) > 0
