@@ -22,8 +22,7 @@ DEFINITIONS: dict[str, str] = {
     "callgraph": """SELECT i.ok * 8 + i.ln AS id, i.ok AS ep_id, concat('fn', i.ok % 31) AS caller_func, concat('svc.s', i.sk, '.p', i.pk % 100) AS callee_qid,
         concat('src/m', i.sk % 40, '/h', i.pk % 97, '.go') AS call_site_file, CAST(i.pk % 500 AS INT) AS call_site_line, CAST((p.p_size * 7) % 500 AS INT) AS callee_start_line,
         CAST((p.p_size * 7) % 500 + 20 AS INT) AS callee_end_line, CAST(50 + p.p_size AS INT) AS confidence, p.p_type AS resolution_kind FROM {items} i JOIN {part} p ON p.p_partkey = i.pk""",
-    "builtin_sources": """SELECT l_orderkey * 8 + l_linenumber AS id, concat('ep-', l_orderkey) AS ep_id, concat('src/m', min(l_suppkey) % 40, '/h', min(l_partkey) % 97, '.go') AS file,
-        CAST(min(l_partkey) % 500 AS INT) AS line FROM {lineitem} GROUP BY l_orderkey, l_linenumber""",
+    "builtin_sources": """SELECT ok * 8 + ln AS id, concat('ep-', ok) AS ep_id, concat('src/m', sk % 40, '/h', pk % 97, '.go') AS file, CAST(pk % 500 AS INT) AS line FROM {items}""",
     "module_deps": """SELECT c_custkey AS id, c_custkey AS consumer_ep_id, concat('src/m', c_custkey % 40, '/h', c_nationkey, '.go') AS imported_file, CAST(50 + c_custkey % 51 AS INT) AS confidence,
         CASE c_custkey % 2 WHEN 0 THEN 'go_import_package' ELSE 'ts_import' END AS dep_kind FROM {customer}""",
     "class_edges": """SELECT concat('C', c_custkey) AS sub, concat('N', c_nationkey) AS super FROM {customer} UNION ALL SELECT concat('S', s_suppkey), concat('N', s_nationkey) FROM {supplier}

@@ -25,7 +25,11 @@ def query(sql: str | None = None):
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             made: dict[str, DataFrame] = {}
-            load = lambda name: facts.frame(spark, sf_dir, name, made)
+
+            def load(name: str) -> DataFrame:
+                return facts.frame(spark, sf_dir, name, made)
+
+            load.made = made
             return f(load)
 
         run.__doc__ = f.__doc__
@@ -52,9 +56,10 @@ def catalog(load: Load) -> FactCatalog:
 
 
 def stored(load: Load) -> FactCatalog:
-    """The catalog of a fact store: tables that are derived by a shuffle are written once, before many kinds of evidence read them."""
-    made = catalog(load)
-    return FactCatalog(made.spark, {n: df if n in ("entrypoints", "module_deps") else written(df, n) for n, df in made.tables.items()})
+    """The catalog of a fact store: what is derived by a shuffle is written once, before many kinds of evidence read it."""
+    for name in ("items", "edges"):  # the others are projections of them
+        load.made[name] = written(load(name), name)
+    return catalog(load)
 
 
 # Conditions that several statements share.
