@@ -54,10 +54,11 @@ def targets(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP, share: float =
     return open_.select("source", "source_size", F.coalesce("target", F.col("weight") * F.lit(last or 0.0)).alias("target"))
 
 
-def _placed(docs: DataFrame, carry: Column, weights, cap: float, share: float, seed: int) -> DataFrame:
-    """_row (``carry``), size, target, source_size, before (words of the source before this document)."""
+def _placed(docs: DataFrame, carry: Column, weights, cap: float, share: float, seed: int, once: bool) -> DataFrame:
+    """_row (``carry``), size, target, source_size, before (words of the source before this document). once: words are counted once and written, which is worth it for rows without texts."""
     id_ = F.col("doc_id").cast("long")
     rows = docs.select(carry.alias("_row"), id_.alias("id"), F.col("source"), word_count("text").alias("size"), F.xxhash64(F.lit(seed), id_).alias("key"), F.xxhash64("text").alias("tie"))
+    rows = written(rows, "sizes") if once else rows
     counted = docs.count()
     buckets = max(1, math.ceil(counted / BUCKET_ROWS))
     # The key's upper 32 bits as a number from 0, times buckets, divided by 2 ** 32: ranges of the key, in its order.
@@ -86,7 +87,7 @@ def _budgets(placed: DataFrame) -> DataFrame:
 
 def allot(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, share: float = 1.0, seed: int = 0) -> DataFrame:
     """doc_id, size, source_size, target, taken (words), epochs (whole ones), part (words of the last epoch)."""
-    got = _budgets(_placed(docs, F.struct("doc_id"), weights, cap, share, seed))  # no text is shuffled
+    got = _budgets(_placed(docs, F.struct("doc_id"), weights, cap, share, seed, True))  # no text is shuffled
     taken = F.col("epochs") * F.col("size") + F.col("part")
     return got.select(F.col("_row.doc_id").alias("doc_id"), "size", "source_size", "target", taken.alias("taken"), "epochs", "part")
 
@@ -97,6 +98,6 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, share: float = 1.0,
     Documents are whole, so a source is off its budget by half a document at most. A document without words comes as
     often as its source has whole epochs.
     """
-    got = _budgets(_placed(docs, F.struct("*"), weights, cap, share, seed))
+    got = _budgets(_placed(docs, F.struct("*"), weights, cap, share, seed, False))
     times = F.col("epochs") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
     return got.withColumn("times", times.cast("int")).where("times > 0").select("_row", F.explode(F.sequence(F.lit(1), "times"))).select("_row.*")
