@@ -44,6 +44,12 @@ DEFINITIONS: dict[str, str] = {
     "calls": """SELECT id AS call_id, ep_id, callee_qid AS callee, resolution_kind AS callee_type, CAST(2 AS INT) AS n_args, id * 10 AS ret_node FROM {callgraph}""",
     "call_args": """SELECT call_id, CAST(-1 AS INT) AS idx, CAST(NULL AS STRING) AS name, call_id * 10 + 1 AS node FROM {calls} UNION ALL SELECT call_id, CAST(0 AS INT), NULL, call_id * 10 + 2 FROM {calls}
         UNION ALL SELECT call_id, CAST(1 AS INT), CASE WHEN call_id % 2 = 0 THEN 'data' END, call_id * 10 + 3 FROM {calls} WHERE call_id % 5 > 0""",
+    "go_interface_bindings": """SELECT c_custkey AS id, c_custkey * 3 AS consumer_ep_id, concat('src/m', c_custkey % 40, '/h', c_custkey % 97, '.go') AS impl_method_file, CAST(c_custkey % 300 + 1 AS INT) AS impl_method_start_line, CAST(c_custkey % 300 + 40 AS INT) AS impl_method_end_line,
+        CASE c_custkey % 5 WHEN 0 THEN 'full_callgraph_fallback' ELSE 'go_interface_dispatch' END AS dispatch_kind, CAST(50 + c_custkey % 51 AS INT) AS dispatch_confidence FROM {customer}""",
+    "handler_response_flow_facts": """SELECT c_custkey AS id, c_custkey * 3 AS consumer_ep_id, c_custkey * 8 + 1 AS producer_call_node_id, c_custkey * 8 + 2 AS producer_return_node_id, CAST(NULL AS BIGINT) AS receiver_node_id, c_custkey * 16 + 1 AS payload_node_id,
+        CASE c_custkey % 4 WHEN 0 THEN 'unordered' ELSE 'producer_before_receiver_before_payload' END AS ordering_kind, CAST(50 + c_custkey % 51 AS INT) AS confidence FROM {customer}""",
+    "mutating_receiver_alias": """SELECT s_suppkey AS id, s_suppkey * 7 AS consumer_ep_id, concat('src/m', s_suppkey % 13, '/h', s_suppkey % 21, '.go') AS call_site_file, CAST(s_suppkey * 3 % 300 AS INT) AS call_site_line, CAST(50 + s_suppkey % 51 AS INT) AS confidence FROM {supplier}""",
+    "decl_use_impact_edges": """SELECT p_partkey AS id, p_partkey * 2 AS consumer_ep_id, concat('src/m', p_partkey % 40, '/h', p_partkey % 97, '.go') AS changed_file, CAST(p_partkey % 400 AS INT) AS changed_start_line, CAST(p_partkey % 400 + 30 AS INT) AS changed_end_line, CAST(50 + p_partkey % 51 AS INT) AS confidence FROM {part}""",
     "source_files": """SELECT concat(source, '/', doc_id, '.txt') AS file_path, text AS content FROM {documents}""",
     "changes": """SELECT * FROM (VALUES (1, 'm3/h11.go', 1, 60), (2, '/src/m7/h20.go', 100, 240), (3, 'm12/h40.ts', 1, 500), (4, 'M5/H33.GO', 30, 90), (5, 'h50.go', 200, 230), (6, 'src/m0/h0.go', 0, 499),
         (7, 'm9/h77.ts', 241, 250), (8, 'none/such.go', 1, 9)) AS c(change_id, path, first_line, last_line)""",

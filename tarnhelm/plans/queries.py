@@ -989,3 +989,70 @@ def src04_changed_files(load):
     files = load("documents").select(F.concat("source", F.lit("/"), "doc_id", F.lit(".txt")).alias("file_path"), F.coalesce("text", F.lit("")).alias("content"), "doc_id")
     old = files.where("doc_id % 4 != 0").withColumn("content", F.when(F.col("doc_id") % 7 == 0, F.concat("content", F.lit("x"))).otherwise(F.col("content")))
     return changed_files(files.drop("doc_id"), digests(old)).select("file_path")
+
+
+def _more(load, *names: str) -> FactCatalog:
+    made = catalog(load)
+    return FactCatalog(made.spark, made.tables | {n: load(n) for n in names})
+
+
+_FACT = "SELECT DISTINCT c.change_id, f.consumer_ep_id AS ep FROM {fact} f JOIN {changes} c ON "
+
+
+@query(_FACT.replace("{fact}", "{go_interface_bindings}") + _SUFFIX.replace("{f}", "f.impl_method_file") + " AND f.impl_method_start_line <= c.last_line AND f.impl_method_end_line >= c.first_line WHERE f.dispatch_kind = 'go_interface_dispatch' AND f.dispatch_confidence >= 70")
+def s06_interface_dispatch(load):
+    return impact.go_interface_dispatch(_more(load, "go_interface_bindings"), load("changes"))
+
+
+@query("SELECT DISTINCT n.change_id, f.consumer_ep_id AS ep FROM {handler_response_flow_facts} f JOIN (" + _NODES + ") n ON n.id IN (f.producer_call_node_id, f.producer_return_node_id, f.payload_node_id) WHERE f.confidence >= 70 AND f.ordering_kind <> 'unordered'")
+def s06_handler_response(load):
+    return impact.handler_response_flow(_more(load, "handler_response_flow_facts"), load("changes"))
+
+
+@query(_FACT.replace("{fact}", "{mutating_receiver_alias}") + _SUFFIX.replace("{f}", "f.call_site_file") + " AND f.call_site_line BETWEEN c.first_line AND c.last_line WHERE f.confidence >= 70")
+def s06_receiver_alias(load):
+    return impact.mutating_receiver_alias(_more(load, "mutating_receiver_alias"), load("changes"))
+
+
+@query(_FACT.replace("{fact}", "{decl_use_impact_edges}") + _SUFFIX.replace("{f}", "f.changed_file") + " AND f.changed_start_line <= c.last_line AND f.changed_end_line >= c.first_line WHERE f.confidence >= 70")
+def s06_declaration_uses(load):
+    return impact.decl_use_impact_edges(_more(load, "decl_use_impact_edges"), load("changes"))
+
+
+@query("SELECT DISTINCT concat(f.file, ':', e.file) AS pair, contains(replace(replace(f.qual, '-', '_'), '/', '.'), replace(e.file, '.go', '')) AS same FROM (SELECT DISTINCT file, replace(replace(file, '/', '.'), '.go', '') AS qual FROM {nodes} WHERE line < 6) f JOIN (SELECT DISTINCT file FROM {nodes} WHERE line < 6) e ON right(e.file, 6) = right(f.file, 6) WHERE contains(f.qual, replace(replace(e.file, '/', '.'), '.go', '')) OR contains(f.qual, replace(regexp_replace(e.file, '/[^/]*$', ''), '/', '.'))")
+def r12_qualifier_files(load):
+    """Files whose module or package path is in a qualifier."""
+    f = load("nodes").where("line < 6").select("file").distinct()
+    q = f.select(F.col("file").alias("q_file"), F.regexp_replace(F.replace("file", F.lit("/"), F.lit(".")), r"\.go$", "").alias("qual"), F.right("file", F.lit(6)).alias("t"))
+    j = f.withColumn("t", F.right("file", F.lit(6))).join(q, "t").where(impact.qualifier_matches_file(F.col("qual"), F.col("file")))
+    return j.select(F.concat("q_file", F.lit(":"), "file").alias("pair"), F.contains("qual", F.replace("file", F.lit(".go"), F.lit(""))).alias("same")).distinct()
+
+
+_SUMMARY_TEXT = "SELECT DISTINCT concat('pkg.', qid, '\\n[', split_part(file, '/', 3), ' : ', line, '_', line + 9, ']') AS text, concat('pkg.', qid) AS qual, split_part(file, '/', 3) AS file, line AS start_line, line + 9 AS end_line FROM {nodes} WHERE line < 100"
+
+
+@query("SELECT qual, file, start_line, CAST(end_line AS INT) AS end_line FROM (" + _SUMMARY_TEXT + ") t")
+def r11_summary_functions(load):
+    n = load("nodes").where("line < 100")
+    text = F.concat(F.lit("pkg."), "qid", F.lit("\\n["), F.element_at(F.split("file", "/"), 3), F.lit(" : "), "line", F.lit("_"), F.col("line") + 9, F.lit("]"))
+    return n.select(text.alias("text")).distinct().select(*(v.alias(k) for k, v in patterns.summary_function(F.col("text")).items()))
+
+
+@query("SELECT file, kind, min(line) AS first_line, max(line) AS last_line FROM (SELECT *, line - row_number() OVER (PARTITION BY file, kind ORDER BY line) AS g FROM (SELECT DISTINCT file, line, CASE WHEN line % 50 < 25 THEN 'added' ELSE 'deleted' END AS kind FROM {nodes}) d) x GROUP BY file, kind, g")
+def x03_coalesced_ranges(load):
+    """Neighbouring lines of one kind; the order is that of the lines."""
+    lines = load("nodes").select("file", "line", F.when(F.col("line") % 50 < 25, "added").otherwise("deleted").alias("kind")).distinct()
+    return incremental.coalesce_ranges(lines.withColumn("n", F.col("line"))).select("file", "kind", "first_line", "last_line")
+
+
+@query("SELECT id, concat(file, '|', coalesce(func_name, ''), '|', ep_type, '|||', coalesce(attribute, '')) AS key FROM {entrypoints} WHERE id % 2 = 0 UNION ALL SELECT id, concat(file, '|', func_name) FROM {entrypoints} WHERE id % 2 = 1")
+def x11_canonical_keys(load):
+    whole = incremental.entrypoint_key(*incremental.KEY)
+    key = F.when(F.col("id") % 2 == 0, whole).otherwise(F.concat("file", F.lit("|"), "func_name"))
+    return load("entrypoints").select("id", incremental.canonical_key(key).alias("key"))
+
+
+@query("SELECT id, start_line FROM {entrypoints} WHERE concat_ws('|', file, func_name, ep_type, start_line, end_line, attribute) IN (SELECT concat_ws('|', file, func_name, ep_type, start_line, end_line, attribute) FROM {entrypoints} WHERE framework = '5-LOW')")
+def x08_allowed(load):
+    keys = load("entrypoints").where("framework = '5-LOW'").select(incremental.entrypoint_key(*incremental.KEY).alias("key"))
+    return incremental.allowed(load("entrypoints"), keys).select("id", "start_line")
