@@ -191,7 +191,7 @@ def callstack_findings(steps: DataFrame, stack: DataFrame, callee_only: bool = F
     frame; boundary; edges against frames; one source; no repeats; boundary. The first check that fails is the reason.
     """
     cut = bounded(steps)
-    ordered = in_callstack_order(cut, stack, callee_only)
+    ordered = written(in_callstack_order(cut, stack, callee_only), "ordered")
     bridges = written(bridged(ordered, stack), "bridges")
     shown = first_pass_per_frame(bridges) if callee_only else bridges
     final = written(drop_adjacent_repeats(first_source_only(shown)), "trace")

@@ -51,6 +51,7 @@ DEFINITIONS: dict[str, str] = {
     "mutating_receiver_alias": """SELECT s_suppkey AS id, s_suppkey * 7 AS consumer_ep_id, concat('src/m', s_suppkey % 13, '/h', s_suppkey % 21, '.go') AS call_site_file, CAST(s_suppkey * 3 % 300 AS INT) AS call_site_line, CAST(50 + s_suppkey % 51 AS INT) AS confidence FROM {supplier}""",
     "decl_use_impact_edges": """SELECT p_partkey AS id, p_partkey * 2 AS consumer_ep_id, concat('src/m', p_partkey % 40, '/h', p_partkey % 97, '.go') AS changed_file, CAST(p_partkey % 400 AS INT) AS changed_start_line, CAST(p_partkey % 400 + 30 AS INT) AS changed_end_line, CAST(50 + p_partkey % 51 AS INT) AS confidence FROM {part}""",
     "source_files": """SELECT concat(source, '/', doc_id, '.txt') AS file_path, text AS content FROM {documents}""",
+    "wide_changes": """SELECT CAST(n_nationkey + 100 AS INT) AS change_id, concat('/h', n_nationkey, '.go') AS path, CAST(1 AS INT) AS first_line, CAST(250 AS INT) AS last_line FROM {nation}""",
     "changes": """SELECT * FROM (VALUES (1, 'm3/h11.go', 1, 60), (2, '/src/m7/h20.go', 100, 240), (3, 'm12/h40.ts', 1, 500), (4, 'M5/H33.GO', 30, 90), (5, 'h50.go', 200, 230), (6, 'src/m0/h0.go', 0, 499),
         (7, 'm9/h77.ts', 241, 250), (8, 'none/such.go', 1, 9)) AS c(change_id, path, first_line, last_line)""",
 }

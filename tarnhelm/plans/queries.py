@@ -107,9 +107,9 @@ def s05_edges_one_hop(load):
     return impact.edges_one_hop(catalog(load), load("changes"))
 
 
-@query(_DEPS)
+@query(_DEPS.replace("{changes}", "{wide_changes}"))
 def s06_module_deps(load):
-    return impact.module_deps(catalog(load), load("changes"))
+    return impact.module_deps(catalog(load), load("wide_changes"))
 
 
 @query(_RANGES)
@@ -996,27 +996,27 @@ def _more(load, *names: str) -> FactCatalog:
     return FactCatalog(made.spark, made.tables | {n: load(n) for n in names})
 
 
-_FACT = "SELECT DISTINCT c.change_id, f.consumer_ep_id AS ep FROM {fact} f JOIN {changes} c ON "
+_FACT = "SELECT DISTINCT c.change_id, f.consumer_ep_id AS ep FROM {fact} f JOIN {wide_changes} c ON "
 
 
 @query(_FACT.replace("{fact}", "{go_interface_bindings}") + _SUFFIX.replace("{f}", "f.impl_method_file") + " AND f.impl_method_start_line <= c.last_line AND f.impl_method_end_line >= c.first_line WHERE f.dispatch_kind = 'go_interface_dispatch' AND f.dispatch_confidence >= 70")
 def s06_interface_dispatch(load):
-    return impact.go_interface_dispatch(_more(load, "go_interface_bindings"), load("changes"))
+    return impact.go_interface_dispatch(_more(load, "go_interface_bindings"), load("wide_changes"))
 
 
-@query("SELECT DISTINCT n.change_id, f.consumer_ep_id AS ep FROM {handler_response_flow_facts} f JOIN (" + _NODES + ") n ON n.id IN (f.producer_call_node_id, f.producer_return_node_id, f.payload_node_id) WHERE f.confidence >= 70 AND f.ordering_kind <> 'unordered'")
+@query("SELECT DISTINCT n.change_id, f.consumer_ep_id AS ep FROM {handler_response_flow_facts} f JOIN (" + _NODES.replace("{changes}", "{wide_changes}") + ") n ON n.id IN (f.producer_call_node_id, f.producer_return_node_id, f.payload_node_id) WHERE f.confidence >= 70 AND f.ordering_kind <> 'unordered'")
 def s06_handler_response(load):
-    return impact.handler_response_flow(_more(load, "handler_response_flow_facts"), load("changes"))
+    return impact.handler_response_flow(_more(load, "handler_response_flow_facts"), load("wide_changes"))
 
 
 @query(_FACT.replace("{fact}", "{mutating_receiver_alias}") + _SUFFIX.replace("{f}", "f.call_site_file") + " AND f.call_site_line BETWEEN c.first_line AND c.last_line WHERE f.confidence >= 70")
 def s06_receiver_alias(load):
-    return impact.mutating_receiver_alias(_more(load, "mutating_receiver_alias"), load("changes"))
+    return impact.mutating_receiver_alias(_more(load, "mutating_receiver_alias"), load("wide_changes"))
 
 
 @query(_FACT.replace("{fact}", "{decl_use_impact_edges}") + _SUFFIX.replace("{f}", "f.changed_file") + " AND f.changed_start_line <= c.last_line AND f.changed_end_line >= c.first_line WHERE f.confidence >= 70")
 def s06_declaration_uses(load):
-    return impact.decl_use_impact_edges(_more(load, "decl_use_impact_edges"), load("changes"))
+    return impact.decl_use_impact_edges(_more(load, "decl_use_impact_edges"), load("wide_changes"))
 
 
 @query("SELECT DISTINCT concat(f.file, ':', e.file) AS pair, contains(replace(replace(f.qual, '-', '_'), '/', '.'), replace(e.file, '.go', '')) AS same FROM (SELECT DISTINCT file, replace(replace(file, '/', '.'), '.go', '') AS qual FROM {nodes} WHERE line < 6) f JOIN (SELECT DISTINCT file FROM {nodes} WHERE line < 6) e ON right(e.file, 6) = right(f.file, 6) WHERE contains(f.qual, replace(replace(e.file, '/', '.'), '.go', '')) OR contains(f.qual, replace(regexp_replace(e.file, '/[^/]*$', ''), '/', '.'))")
