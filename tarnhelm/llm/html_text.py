@@ -48,7 +48,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NEVER = frozenset("head title script style noscript template nav footer aside form button select textarea iframe object svg math menu dialog input label".split())
 ROLES = frozenset("navigation contentinfo complementary search form menu menubar alert dialog alertdialog".split())
 HINTS = frozenset(
-    "ad ads advert adverts advertisement advertising adbox sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside comment comments disqus cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login".split()
+    "ad ads advert adverts advertisement advertising adbox adslot adunit adsbygoogle sponsor sponsored promo promotion nav navbar topnav sidenav navigation menu breadcrumb breadcrumbs sidebar aside comment comments commentlist disqus cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login".split()
 )
 #: What is left out around an article, but is its text inside one.
 OUTSIDE = frozenset("banner header masthead footer widget related recommended share sharing social reply replies alert subscription search pagination pager toolbar copyright".split())
