@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-BOOKS, WORDS, BEAM, SAMPLE, RERANK, QUERY_BLOCK, PIECE = 16, 256, 4, 8192, 400, 4096, 262_144
+BOOKS, WORDS, BEAM, SAMPLE, RERANK, QUERY_BLOCK, PIECE = 16, 256, 4, 8192, 800, 4096, 262_144
 ENCODE_ROWS, SWEEPS, LEAST_BLOCK = 2048, 3, 256
 
 
