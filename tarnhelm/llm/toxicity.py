@@ -59,6 +59,11 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*lists, *(batch[c] for c in kept)], ["features", "values", *kept])
 
 
+def _slices(n: int, size: int = 1 << 19) -> Iterator[slice]:
+    """Parts of n entries, so that what is computed from them is small beside them: training is the driver's."""
+    return (slice(a, a + size) for a in range(0, n, size))
+
+
 class Linear:
     """Logistic regression over sparse features and a few dense ones."""
 
@@ -66,15 +71,20 @@ class Linear:
         self.weights, self.dense, self.bias = weights, dense, bias
 
     def probability(self, row: np.ndarray, feature: np.ndarray, value: np.ndarray, extra: np.ndarray) -> np.ndarray:
-        sums = np.bincount(row, self.weights[feature] * value, minlength=len(extra))
+        sums = np.zeros(len(extra))
+        for part in _slices(len(row)):
+            sums += np.bincount(row[part], self.weights[feature[part]] * value[part], minlength=len(extra))
         return 1 / (1 + np.exp(-np.clip(sums + extra @ self.dense + self.bias, -30, 30)))
 
 
 def dependent(row: np.ndarray, feature: np.ndarray, y: np.ndarray, use: np.ndarray) -> np.ndarray:
     """For each feature, whether its chi-square with ``y`` over the rows of ``use`` is large enough."""
-    here = use[row]
-    with_positive = np.bincount(feature[here], y[row[here]], minlength=1 << BITS)
-    with_any = np.bincount(feature[here], minlength=1 << BITS).astype(float)
+    with_positive, with_any = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for part in _slices(len(row)):
+        here = use[row[part]]
+        used, label = feature[part][here], y[row[part][here]]
+        with_positive += np.bincount(used, label, minlength=1 << BITS)
+        with_any += np.bincount(used, minlength=1 << BITS)
     n, positive = float(use.sum()), float(y[use].sum())
     expected = n * with_positive - with_any * positive
     below = with_any * (n - with_any) * max(positive * (n - positive), 1.0)
@@ -155,11 +165,16 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text is not null").join(F.broadcast(chosen), "id")
     texts = texts.groupBy("id").agg(F.min("text").alias("text"), *(F.first(y).alias(y) for y in ys))  # a document each, however often its id is repeated
     got = texts.mapInArrow(_featured, "features array<int>, values array<float>, id long, " + ", ".join(f"{y} int" for y in ys)).toArrow()
-    got = got.take(pc.sort_indices(got, [("id", "ascending"), *((y, "ascending") for y in ys)])).combine_chunks()
-    lists = got["features"].combine_chunks()
-    n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    value = pc.list_flatten(got["values"].combine_chunks()).to_numpy().astype(float)
-    return fit_chain(names, np.repeat(np.arange(len(n)), n), pc.list_flatten(lists).to_numpy().astype(np.int64), value, np.stack([got[y].to_numpy() for y in ys], axis=1))
+    order = np.argsort(got["id"].to_numpy(), kind="stable")
+    labels = np.stack([got[y].to_numpy()[order] for y in ys], axis=1)
+    n = pc.list_value_length(got["features"]).to_numpy().astype(np.int64)
+    start = (np.cumsum(n) - n)[order]
+    n = n[order]
+    at = (np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))).astype(np.int32)
+    feature, value = (pc.list_flatten(got[c]).to_numpy()[at] for c in ("features", "values"))
+    del got, at
+    pa.default_memory_pool().release_unused()
+    return fit_chain(names, np.repeat(np.arange(len(n), dtype=np.int32), n), feature, value, labels)
 
 
 def _scorer(shared):
