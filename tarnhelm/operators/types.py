@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
 
 def same_type(arg: Column, param: Column) -> Column:
     """An empty argument type is any; array marks don't count; the last segments of a qualified name do."""
@@ -28,15 +30,32 @@ def resolve(calls: DataFrame, methods: DataFrame, hierarchy: DataFrame) -> DataF
     """call, owner, method, pos, resolved: for each owner that the call may have, the first overload whose types match, else the last of its arity, else the first; one unresolved row for a call without any.
 
     hierarchy: super, sub (closed, without the type itself). Calls through ``super.`` (via_super) aren't expanded to subtypes.
+
+    Overloads are chosen once for each distinct owner, method and types, among the subtypes that have the method; calls meet the choices last. Only calls
+    of several rows have to be ranked again, over their rows.
     """
-    own = calls.select("call", "owner", "method", "arg_types")
-    subs = calls.where("not via_super").select("call", "owner", "method", "arg_types").join(hierarchy.select(F.col("super").alias("owner"), "sub").distinct(), "owner").select("call", F.col("sub").alias("owner"), "method", "arg_types")
-    cases = own.unionByName(subs).distinct().join(methods, ["owner", "method"])
-    level = F.when(accepts(F.col("arg_types"), F.col("param_types"), F.col("varargs")), 0).when((F.size("arg_types") == F.size("param_types")) | F.col("varargs"), 1).otherwise(2)
-    order = Window.partitionBy("call", "owner").orderBy("level", F.when(F.col("level") == 1, -F.col("pos")).otherwise(F.col("pos")))
-    best = cases.withColumn("level", level).withColumn("r", F.row_number().over(order)).where("r = 1").select("call", "owner", "method", "pos", F.lit(True).alias("resolved"))
-    none = calls.join(best.select("call").distinct(), "call", "left_anti").select("call", "owner", "method", F.lit(None).cast("int").alias("pos"), F.lit(False).alias("resolved"))
-    return best.unionByName(none)
+    kind = ["_declared", "_method", "_args", "_super"]
+    keyed = calls.select("call", F.col("owner").alias("_declared"), F.col("method").alias("_method"), F.col("arg_types").alias("_args"), F.coalesce("via_super", F.lit(True)).alias("_super"))
+    kinds = keyed.select(*kind).where("_declared is not null and _method is not null").distinct()
+    pairs = hierarchy.select(F.col("super").alias("_declared"), F.col("sub").alias("owner")).where("_declared != owner").distinct()
+    having = pairs.join(methods.select("owner", F.col("method").alias("_method")).distinct(), "owner")
+    own = kinds.select(*kind, F.col("_declared").alias("owner"))
+    subs = kinds.where("not _super").join(having, ["_declared", "_method"]).select(*kind, "owner")
+    cases = own.unionByName(subs).join(methods.withColumnRenamed("method", "_method"), ["owner", "_method"])
+    level = F.when(accepts(F.col("_args"), F.col("param_types"), F.col("varargs")), 0).when((F.size("_args") == F.size("param_types")) | F.col("varargs"), 1).otherwise(2)
+    rank = F.struct("level", F.when(F.col("level") == 1, -F.col("pos")).otherwise(F.col("pos")).alias("at"))
+    order = Window.partitionBy(*kind, "owner").orderBy("_rank")
+    best = cases.withColumn("level", level).withColumn("_rank", rank).withColumn("r", F.row_number().over(order)).where("r = 1").select(*(F.col(c).alias(c + "_") for c in kind), "owner", F.col("_method").alias("method"), "pos", "_rank")
+    best = written(best, "overloads")
+    same = (F.col("_declared") == F.col("_declared_")) & (F.col("_method") == F.col("_method_")) & F.col("_args").eqNullSafe(F.col("_args_")) & (F.col("_super") == F.col("_super_"))
+    parts = int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = keyed.join(keyed.groupBy("call").agg((F.count("*") > 1).alias("_many")), "call").repartition(parts, "call")  # a call becomes many rows
+    found = rows.join(best, same).select("call", "owner", "method", "pos", "_rank", "_many")
+    many = found.where("_many").groupBy("call", "owner").agg(F.min_by(F.struct("method", "pos"), "_rank").alias("m")).select("call", "owner", "m.*")
+    found = found.where("not _many").select("call", "owner", "method", "pos").unionByName(many).withColumn("resolved", F.lit(True))
+    some = keyed.join(best.select(*(c + "_" for c in kind)).distinct(), same, "left_semi").select("call").distinct()
+    none = calls.join(some, "call", "left_anti").select("call", "owner", "method", F.lit(None).cast("int").alias("pos"), F.lit(False).alias("resolved"))
+    return found.unionByName(none)
 
 
 def argument_types(candidates: DataFrame) -> DataFrame:

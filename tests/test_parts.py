@@ -369,3 +369,20 @@ def test_closure_of_sources_without_callers(spark):
         expected += [(a, x, d) for x, d in seen.items()]
     assert got == sorted(expected)
     assert max(df.count() for df in joined[1:]) <= 15  # the ring's, and those of 100, which 200 leads to
+
+
+def test_overloads_by_kind_of_call(spark, monkeypatch):
+    """Subtypes without the method make no rows; a call of several rows has one row an owner; no types at all take the first overload."""
+    from tarnhelm.operators import types
+    from tarnhelm.scratch import written
+
+    calls = spark.createDataFrame([(1, "A", "run", ["int"], False), (2, "A", "run", ["int"], True), (3, "A", "run", None, False), (4, "A", "run", ["int"], False), (4, "B", "run", ["int"], False), (4, "B", "run", ["x", "y"], False), (5, "Z", "run", ["int"], False), (6, None, "run", ["int"], False)], "call int, owner string, method string, arg_types array<string>, via_super boolean")
+    methods = spark.createDataFrame([("A", "run", 0, ["x"], False), ("A", "run", 1, ["int"], False), ("B", "run", 0, ["x", "y"], False), ("B", "run", 1, ["lang.int"], False), ("C0", "go", 0, ["int"], False)], "owner string, method string, pos int, param_types array<string>, varargs boolean")
+    subs = spark.createDataFrame([("A", "B"), ("A", "A"), *(("A", f"C{i}") for i in range(50))], "super string, sub string")
+    got = sorted((r.call, r.owner or "", r.pos, r.resolved) for r in types.resolve(calls, methods, subs).collect())
+    assert got == [(1, "A", 1, True), (1, "B", 1, True), (2, "A", 1, True), (3, "A", 0, True), (3, "B", 0, True), (4, "A", 1, True), (4, "B", 0, True), (5, "Z", None, False), (6, "", None, False)]
+    made = []
+    monkeypatch.setattr(types, "written", lambda df, name: made.append(written(df, name)) or made[-1])
+    many = spark.range(200).selectExpr("cast(id as int) as call", "'A' as owner", "'run' as method", "array('int') as arg_types", "false as via_super")
+    assert types.resolve(many, methods, subs).where("resolved").count() == 400
+    assert made[0].count() == 2
