@@ -293,21 +293,34 @@ def _same_path(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def _targets(calls: DataFrame, entry: DataFrame, file: str, gap: int | None = None) -> DataFrame:
-    """seed, ep, file of entry points in the callee's range in the file at hand. With ``gap``, and a qid that fits the entry point's file, the nearest where none is in it: within ``gap`` lines after it first."""
-    c = calls.select("seed", "callee_qid", "callee_start_line", "callee_end_line", P.trimmed(F.col(file)).alias("_a")).distinct()
-    pairs = _same_path(c.select("_a").distinct(), entry.select("_b").distinct())
-    hit = c.join(pairs, "_a").join(entry, "_b")
+    """seed, file, start_line, end_line: ranges of entry points (distinct _b, file, start_line, end_line) in the callee's range in the file at hand. With ``gap``, and a qid that fits the entry point's file, the nearest where none is in it: within ``gap`` lines after it first.
+
+    Distinct ranges of calls meet distinct ranges of entry points; seeds and entry points, of which many share a range, are no part of it.
+    """
+    call = [*(["callee_qid"] if gap is not None else []), "callee_start_line", "callee_end_line", "_a"]
+    c = calls.withColumn("_a", P.trimmed(F.col(file))).select("seed", *call).distinct()
+    kinds = c.select(*call).distinct()
+    pairs = _same_path(kinds.select("_a").distinct(), entry.select("_b").distinct())
     over = P.overlaps(F.col("start_line"), F.col("end_line"), F.col("callee_start_line"), F.col("callee_end_line"))
     if gap is None:
-        return hit.where(over).select("seed", "ep", "file")
-    hit = hit.where(qid_matches_file(F.col("callee_qid"), F.col("file")))
-    after = (F.col("start_line") - F.col("callee_end_line")).between(0, gap)
-    away = F.least(*(F.abs(F.col(x) - F.col(y)) for x in ("callee_start_line", "callee_end_line") for y in ("start_line", "end_line")))
-    rank = F.struct(F.when(over, 0).when(after, 1).otherwise(2).alias("level"), F.when(over, 0).otherwise(away).alias("away"))
-    call = ["seed", "callee_qid", "callee_start_line", "callee_end_line", "_a"]
-    ranked = hit.withColumn("_rank", rank)
-    best = ranked.groupBy(*call).agg(F.min("_rank").alias("_best"))
-    return ranked.join(best, call).where("_rank = _best").select("seed", "ep", "file")
+        best = kinds.join(pairs, "_a").join(entry, "_b").where(over)
+    else:
+        away = F.least(*(F.abs(F.col(x) - F.col(y)) for x in ("callee_start_line", "callee_end_line") for y in ("start_line", "end_line")))
+        after = (F.col("start_line") - F.col("callee_end_line")).between(0, gap)
+        rank = F.when(over, F.lit(0).cast("long")).otherwise(F.when(after, F.lit(1 << 40)).otherwise(F.lit(2 << 40)) + away)
+        place, least = ["_b", "callee_start_line", "callee_end_line", "file"], lambda keys: F.min("_rank").over(Window.partitionBy(*keys))
+        spans = kinds.select("_a", "callee_start_line", "callee_end_line").distinct().join(pairs, "_a").drop("_a").distinct()
+        near = spans.join(entry, "_b").withColumn("_rank", rank).withColumn("_least", least(place)).where("_rank = _least").drop("_least")
+        fits = kinds.select("callee_qid", "_a").distinct().join(pairs, "_a").join(entry.select("_b", "file").distinct(), "_b").where(qid_matches_file(F.col("callee_qid"), F.col("file")))
+        best = kinds.join(fits, ["callee_qid", "_a"]).join(near, place).withColumn("_least", least(call)).where("_rank = _least")
+    return c.join(best.select(*call, "file", "start_line", "end_line").distinct(), call).select("seed", "file", "start_line", "end_line")
+
+
+def _in_ranges(found: DataFrame, entry: DataFrame) -> DataFrame:
+    """seed, ep, file of the entry points that have the ranges found (seed, file, start_line, end_line). One with a single row is met once by a seed; only others are made distinct."""
+    rows = entry.join(entry.groupBy("ep").agg((F.count("*") > 1).alias("_many")), "ep")
+    hit = found.distinct().join(rows, ["file", "start_line", "end_line"]).where("ep != seed")
+    return hit.where("not _many").select("seed", "ep", "file").unionByName(hit.where("_many").select("seed", "ep", "file").distinct())
 
 
 def precise_downstream(facts: FactCatalog, seed_eps: DataFrame, gap: int = 10) -> DataFrame:
@@ -321,6 +334,7 @@ def precise_downstream(facts: FactCatalog, seed_eps: DataFrame, gap: int = 10) -
     rows = facts["entrypoints"]
     own = seed_eps.select(F.col("ep").alias("seed")).distinct().join(rows.select(F.col("id").alias("seed"), P.trimmed(F.coalesce("file", F.lit(""))).alias("seed_file"), F.col("start_line").alias("seed_start"), F.col("end_line").alias("seed_end")), "seed")
     calls = calls.select(F.col("ep_id").alias("seed"), "call_site_file", "call_site_line", "callee_qid", "callee_start_line", "callee_end_line").distinct().join(own, "seed")
+    calls = written(calls, "calls")
     entry = rows.where(P.present(F.col("file")) & P.is_go(F.col("file"))).select(F.col("id").alias("ep"), "file", F.coalesce("start_line", F.lit(0)).alias("start_line"), F.coalesce("end_line", F.lit(0)).alias("end_line"), P.trimmed(F.col("file")).alias("_b"))
     line, site = F.coalesce("call_site_line", F.lit(0)), P.trimmed(F.col("call_site_file"))
     first = calls.where((F.col("seed_file") == "") | (P.either_suffix(F.col("seed_file"), site) & line.between(F.coalesce("seed_start", F.lit(0)), F.coalesce("seed_end", F.lit(0)))))
@@ -328,8 +342,11 @@ def precise_downstream(facts: FactCatalog, seed_eps: DataFrame, gap: int = 10) -
     located = lambda c: c.join(nodes, "callee_qid").where(F.col("_line").between(F.col("callee_start_line"), F.col("callee_end_line"))).drop("_line").distinct()
     parents = located(first.select("seed", "callee_qid", "callee_start_line", "callee_end_line").distinct()).select("seed", P.trimmed(F.col("callee_file")).alias("_parent"), F.col("callee_start_line").alias("_from"), F.col("callee_end_line").alias("_to")).distinct()
     second = calls.join(parents, "seed").where(P.either_suffix(F.col("_parent"), site) & line.between(F.col("_from"), F.col("_to"))).select(*calls.columns).distinct()
-    parts = [_targets(first, entry, "call_site_file"), _targets(second, entry, "call_site_file"), _targets(located(second), entry, "callee_file", gap)]
-    return reduce(DataFrame.unionByName, parts).where("ep != seed").distinct()
+    second = written(second, "second")
+    ranges = entry.select("_b", "file", "start_line", "end_line").distinct()
+    own_file = ["seed", "call_site_file", "callee_start_line", "callee_end_line"]
+    parts = [_targets(first.select(*own_file).unionByName(second.select(*own_file)), ranges, "call_site_file"), _targets(located(second), ranges, "callee_file", gap)]
+    return _in_ranges(reduce(DataFrame.unionByName, parts), entry.drop("_b"))
 
 
 def downstream(facts: FactCatalog, seed_eps: DataFrame, changed: DataFrame | None = None) -> DataFrame:

@@ -55,9 +55,9 @@ def catalog(load: Load) -> FactCatalog:
     return FactCatalog(next(iter(made.values())).sparkSession, made)
 
 
-def stored(load: Load) -> FactCatalog:
-    """The catalog of a fact store: what is derived by a shuffle is written once, before many kinds of evidence read it."""
-    for name in ("items", "edges"):  # the others are projections of them
+def stored(load: Load, names: tuple[str, ...] = ("items", "edges")) -> FactCatalog:
+    """The catalog of a fact store: what is derived by a shuffle is written once, before many kinds of evidence read it. names: in the order in which they build on each other; others are projections."""
+    for name in names:
         load.made[name] = written(load(name), name)
     return catalog(load)
 
@@ -667,6 +667,7 @@ _PRECISE = "SELECT DISTINCT g.ep_id AS seed, g.call_site_file AS f, g.call_site_
 )
 def g17_precise_downstream(load):
     """From every entry point; ids end in their file's name, so that each fits its file."""
+    stored(load, ("items", "deep_calls"))
     return impact.precise_downstream(FactCatalog(load("deep_calls").sparkSession, {"entrypoints": load("entrypoints"), "nodes": load("deep_nodes"), "callgraph": load("deep_calls")}), load("entrypoints").select(F.col("id").alias("ep")))
 
 

@@ -386,3 +386,22 @@ def test_overloads_by_kind_of_call(spark, monkeypatch):
     many = spark.range(200).selectExpr("cast(id as int) as call", "'A' as owner", "'run' as method", "array('int') as arg_types", "false as via_super")
     assert types.resolve(many, methods, subs).where("resolved").count() == 400
     assert made[0].count() == 2
+
+
+def test_downstream_targets_by_ranges(spark):
+    """Calls and entry points that share their ranges meet as ranges, once however many they are; the nearest where none is hit, ties all."""
+    from tarnhelm.operators import impact
+
+    calls = spark.range(100).selectExpr("id as seed", "'m.h' as callee_qid", "'/m/h.go' as f", "10 as callee_start_line", "20 as callee_end_line")
+    entry = spark.createDataFrame([(1000 + i, "m/h.go", 15, 18, "m/h.go") for i in range(50)] + [(1, "m/h.go", 40, 50, "m/h.go"), (2, "m/h.go", 15, 18, "m/h.go"), (3, "m/h.go", 12, 13, "m/h.go"), (3, "m/h.go", 15, 18, "m/h.go")], "ep long, file string, start_line int, end_line int, _b string")
+    ranges = entry.select("_b", "file", "start_line", "end_line").distinct()
+    for gap in (None, 10):
+        found = impact._targets(calls, ranges, "f", gap)
+        assert found.count() == 200
+        got = [(r.seed, r.ep) for r in impact._in_ranges(found, entry.drop("_b")).collect()]
+        eps = [2, 3, *range(1000, 1050)]
+        assert sorted(got) == [(s, e) for s in range(100) for e in eps if s != e]
+    far = calls.selectExpr("seed", "callee_qid", "f", "callee_start_line + 12 as callee_start_line", "callee_end_line + 12 as callee_end_line").where("seed = 7")
+    assert sorted((r.start_line, r.end_line) for r in impact._targets(far, ranges, "f", 10).collect()) == [(40, 50)]
+    tie = far.selectExpr("seed", "callee_qid", "f", "cast(28 as int) as callee_start_line", "cast(30 as int) as callee_end_line")
+    assert sorted((r.start_line, r.end_line) for r in impact._targets(tie, ranges, "f", 9).collect()) == [(15, 18), (40, 50)]
