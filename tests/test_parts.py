@@ -405,3 +405,18 @@ def test_downstream_targets_by_ranges(spark):
     assert sorted((r.start_line, r.end_line) for r in impact._targets(far, ranges, "f", 10).collect()) == [(40, 50)]
     tie = far.selectExpr("seed", "callee_qid", "f", "cast(28 as int) as callee_start_line", "cast(30 as int) as callee_end_line")
     assert sorted((r.start_line, r.end_line) for r in impact._targets(tie, ranges, "f", 9).collect()) == [(15, 18), (40, 50)]
+
+
+def test_degenerate_by_sets(spark, monkeypatch):
+    """Equal traces are compared once: of 300, two sets; a repeated place makes a longer trace of the same set."""
+    from tarnhelm.operators import trace
+    from tarnhelm.scratch import written
+
+    made = {}
+    monkeypatch.setattr(trace, "written", lambda df, name: made.setdefault(name, written(df, name)))
+    walk = lambda f, lines: [(f, i, t, "a", n) for i, (t, n) in enumerate(zip(["SOURCE: ", *["CALL: "] * (len(lines) - 2), "SINK: "], lines))]
+    rows = [x for f in range(100) for x in walk(f, [1, 9])] + [x for f in range(100, 200) for x in walk(f, [1, 5, 9])] + [x for f in range(200, 300) for x in walk(f, [1, 6, 5, 9])]
+    rows += walk(300, [1, 7, 9]) + walk(301, [1, 7, 7, 9]) + walk(302, [1, 8, 9]) + walk(303, [2, 5, 9])
+    got = sorted(r.finding for r in trace.degenerate(spark.createDataFrame(rows, "finding long, pos int, tag string, file string, line int")).collect())
+    assert got == [*range(200), 300]
+    assert made["sets"].count() == 6
