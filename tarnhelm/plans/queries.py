@@ -774,6 +774,7 @@ def t02_return_sources(load):
 
 @query("SELECT DISTINCT tag, ep_id, node FROM (" + _SELECTED + ") s")
 def t03_argument_sources(load):
+    stored(load, ("items", "calls"))
     return taint.argument_sources(load("calls"), load("call_args"), _frame(load, _RULE_ROWS, _RULE), _frame(load, _SELECTOR_ROWS, _SELECTOR))
 
 

@@ -433,3 +433,12 @@ def test_nodes_at_by_ranges(spark, monkeypatch):
     places = spark.createDataFrame([(i, "a", 20, 21) for i in range(100)] + [(200, "a", 2, 3), (200, "a", 12, 13), (201, "b", 5, 6), (202, "b", 5, 7), (203, "a", 55, 61), (204, None, 1, 2)], "loc int, file string, first_line int, last_line int")
     assert {r.loc: r.node for r in graph.nodes_at(places, nodes).collect()} == {**{i: 3 for i in range(100)}, 200: 3, 201: 4, 203: 1}
     assert made["placed"].where("_in != _out").count() == 1
+
+
+@pytest.mark.parametrize("name", ["t03_argument_sources"])
+def test_facts_are_derived_once(spark, name):
+    """What the query returns reads written facts, not the tables that they are aggregated or joined from."""
+    from tarnhelm.plans import queries
+
+    files = " ".join(queries.queries()[name](spark, "/root/testdata/sf0.001").inputFiles())
+    assert not [t for t in ("lineitem", "part.parquet", "events") if f"sf0.001/{t}" in files]
