@@ -140,7 +140,7 @@ def bridged(framed: DataFrame, stack: DataFrame) -> DataFrame:
     made = made.select("finding", "pos", "_own", "_rank", F.col("x.o").alias("_o"), F.col("x.tag").alias("tag"), F.col("x.file").alias("file"), F.col("x.line").alias("line"))
     own = framed.select("finding", "pos", F.lit(1).alias("_own"), F.lit(0).alias("_rank"), F.lit(0).alias("_o"), "tag", "file", "line")
     order = Window.partitionBy("finding").orderBy("pos", "_own", "_rank", "_o")
-    both = frames(own.unionByName(made).withColumn("pos", F.row_number().over(order).cast("int")).drop("_own", "_rank", "_o"), stack)
+    both = written(frames(own.unionByName(made).withColumn("pos", F.row_number().over(order).cast("int")).drop("_own", "_rank", "_o"), stack), "both")
     sites = stack.where(site).select(F.col("finding").alias("_f"), F.col("idx").alias("_idx"), "call_file", "call_line")
     alone = both.withColumn("_before", F.lag("tag").over(_order())).where((F.col("tag") == ARG_PASS) & F.col("frame").isNotNull() & (F.coalesce("_before", F.lit("")) != CALL))
     calls = alone.join(sites, (F.col("finding") == F.col("_f")) & (F.col("frame") == F.col("_idx"))).where((F.col("call_file") != F.col("file")) | (F.col("call_line") != F.col("line")))

@@ -741,7 +741,8 @@ def w06_callstack_order(load):
 
 @query()
 def w09_bridges(load):
-    return trace.bridged(trace.in_callstack_order(trace.bounded(load("traces")), load("stacks")), load("stacks")).select("finding", "pos", "tag", "file", "line")
+    stored(load, ("traces", "stacks"))
+    return trace.bridged(written(trace.in_callstack_order(trace.bounded(load("traces")), load("stacks")), "ordered"), load("stacks")).select("finding", "pos", "tag", "file", "line")
 
 
 @query()
