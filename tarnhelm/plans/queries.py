@@ -55,8 +55,8 @@ def catalog(load: Load) -> FactCatalog:
     return FactCatalog(next(iter(made.values())).sparkSession, made)
 
 
-def stored(load: Load, names: tuple[str, ...] = ("items", "edges")) -> FactCatalog:
-    """The catalog of a fact store: what is derived by a shuffle is written once, before many kinds of evidence read it. names: in the order in which they build on each other; others are projections."""
+def stored(load: Load, names: tuple[str, ...] = ("items", "edges", "callgraph")) -> FactCatalog:
+    """The catalog of a fact store: what is derived by a shuffle is written once, before many steps read it. names: in the order in which they build on each other; others are projections."""
     for name in names:
         load.made[name] = written(load(name), name)
     return catalog(load)
@@ -630,7 +630,7 @@ _ONE_KINDS = {k: v.replace("{changes}", _ONE) for k, v in _KINDS.items()}
 
 @query("WITH v AS (" + " UNION ALL ".join(f"SELECT '{k}' AS evidence, ep FROM ({v}) x_{k}" for k, v in _ONE_KINDS.items()) + ") SELECT DISTINCT ep FROM v WHERE (SELECT count(DISTINCT ep) FROM v WHERE evidence = 'entrypoint_body') <> 1 OR ep IN (SELECT ep FROM v WHERE evidence = 'entrypoint_body')")
 def s13_single_change(load):
-    return impact.affected(catalog(load), load("changes").where("change_id = 6"), tuple(_KINDS)).select("ep")
+    return impact.affected(stored(load), load("changes").where("change_id = 6"), tuple(_KINDS)).select("ep")
 
 
 @query("SELECT reason, count(*) AS n FROM (SELECT CASE WHEN confidence < 60 THEN 'low' WHEN confidence < 80 THEN 'middle' END AS reason FROM {callgraph}) x WHERE reason IS NOT NULL GROUP BY reason")
