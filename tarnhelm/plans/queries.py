@@ -674,7 +674,7 @@ def g17_precise_downstream(load):
 @query()
 def g18_affected_downstream(load):
     """Affected entry points with those that impact goes on to."""
-    made = stored(load)
+    made = stored(load, ("items", "edges", "deep_calls"))
     return impact.affected_with_downstream(FactCatalog(made.spark, made.tables | {"callgraph": load("deep_calls"), "nodes": load("deep_nodes")}), load("changes"), ("entrypoint_body", "call_site", "builtin_sources", "edges_one_hop"))
 
 

@@ -435,7 +435,7 @@ def test_nodes_at_by_ranges(spark, monkeypatch):
     assert made["placed"].where("_in != _out").count() == 1
 
 
-@pytest.mark.parametrize("name", ["s13_single_change", "t03_argument_sources", "t10_library_edges", "t13_sanitized_nodes", "t16_findings", "w09_bridges", "t22_callstack_findings", "a04_evidence_counts"])
+@pytest.mark.parametrize("name", ["s13_single_change", "g18_affected_downstream", "t03_argument_sources", "t10_library_edges", "t13_sanitized_nodes", "t16_findings", "w09_bridges", "t22_callstack_findings", "a04_evidence_counts"])
 def test_facts_are_derived_once(spark, name):
     """What the query returns reads written facts, not the tables that they are aggregated or joined from."""
     from tarnhelm.plans import queries
