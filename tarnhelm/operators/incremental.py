@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..scratch import written
 
 
 def parse_diff(lines: DataFrame) -> DataFrame:
@@ -178,20 +179,42 @@ def impacted_entrypoints(found: DataFrame, bridge: DataFrame) -> DataFrame:
     return rows.groupBy("change_id", "ep").agg(F.array_join(ordered, "+").alias("reason"))
 
 
+def _numbered(ranges: DataFrame, number: str) -> DataFrame:
+    """The distinct ranges with a number each. Written, so a number stays."""
+    return written(ranges.dropna().distinct().withColumn(number, F.monotonically_increasing_id()), "ranges")
+
+
+def _alike(rows: DataFrame, ranges: DataFrame, met: DataFrame, key: str, number: str, name: str) -> DataFrame:
+    """key, name: the numbers of the key's ranges that meet any of the other side. Keys with equal numbers meet the same."""
+    some = ranges.join(met.select(number).distinct(), number, "left_semi")
+    found = rows.join(some, [c for c in ranges.columns if c != number])
+    return written(found.groupBy(key).agg(F.array_sort(F.collect_set(number)).alias(name)), "alike")
+
+
 def deletion_changes(deleted: DataFrame, old: DataFrame, impacted: DataFrame) -> DataFrame:
     """change_id, status, ep, rerun, reason for deleted ranges (change_id, path, first_line, last_line).
 
     Entry points of the base (ep, file, start_line, end_line) in the range are deleted; others that the fact store links to it (impacted: change_id, ep, reason) are
-    modified and run again; a range with neither is one row without impact.
+    modified and run again; a range with neither is one row without impact. Distinct ranges meet distinct ranges; changes and entry points are paired by the sets of
+    ranges that they have, so each pair comes once.
     """
     place = F.concat(P.trimmed(F.col("path")), F.lit(":"), "first_line", F.lit("-"), "last_line")
     places = deleted.select("change_id", place.alias("_place"))
-    gone = old.join(deleted, P.trimmed(F.col("file")) == P.trimmed(F.col("path"))).where(P.overlaps(F.col("start_line"), F.col("end_line"), F.col("first_line"), F.col("last_line"))).select("change_id", "ep").distinct()
-    rest = impacted.join(deleted.select("change_id"), "change_id", "left_semi").join(gone, ["change_id", "ep"], "left_anti").join(places, "change_id")
-    some = gone.select("change_id").union(rest.select("change_id")).distinct()
+    changed = deleted.select("change_id", P.trimmed(F.col("path")).alias("_file"), "first_line", "last_line")
+    points = old.select("ep", P.trimmed(F.col("file")).alias("_file"), "start_line", "end_line")
+    lines, bodies = _numbered(changed.drop("change_id"), "_lines"), _numbered(points.drop("ep"), "_body")
+    meet = P.overlaps(F.col("start_line"), F.col("end_line"), F.col("first_line"), F.col("last_line"))
+    met = written(lines.join(bodies, "_file").where(meet).select("_lines", "_body"), "met")
+    changes, eps = _alike(changed, lines, met, "change_id", "_lines", "_changes"), _alike(points, bodies, met, "ep", "_body", "_eps")
+    sets = lambda of, one, many: of.select(many).distinct().select(many, F.explode(many).alias(one))
+    pairs = written(met.join(sets(changes, "_lines", "_changes"), "_lines").join(sets(eps, "_body", "_eps"), "_body").select("_changes", "_eps").distinct(), "pairs")
+    # Only the rows of the result are as many as changes times entry points: no step after them sorts, sends or compares them.
+    gone = pairs.join(changes.join(places, "change_id"), "_changes").join(eps, "_eps")
+    rest = impacted.join(places, "change_id").join(changes, "change_id", "left").join(eps, "ep", "left").join(pairs, ["_changes", "_eps"], "left_anti")
+    some = changes.select("change_id").union(rest.select("change_id")).distinct()
     row = lambda df, status, ep, rerun, reason: df.select("change_id", F.lit(status).alias("status"), ep.alias("ep"), F.lit(rerun).alias("rerun"), reason.alias("reason"))
     parts = [
-        row(gone.join(places, "change_id"), "deleted", F.col("ep"), False, F.concat(F.lit("deleted_base_coordinate: "), "_place")),
+        row(gone, "deleted", F.col("ep"), False, F.concat(F.lit("deleted_base_coordinate: "), "_place")),
         row(rest, "modified", F.col("ep"), True, F.concat("reason", F.lit(": "), "_place")),
         row(places.join(some, "change_id", "left_anti"), "no_ep_impact", F.lit(None).cast("long"), False, F.concat(F.lit("db_no_ep_fact: "), "_place")),
     ]

@@ -442,3 +442,27 @@ def test_facts_are_derived_once(spark, name):
 
     files = " ".join(queries.queries()[name](spark, "/root/testdata/sf0.001").inputFiles())
     assert not [t for t in ("lineitem", "part.parquet", "events") if f"sf0.001/{t}" in files]
+
+
+def test_deletions_by_sets_of_ranges(spark, monkeypatch):
+    """50 changes and 60 entry points of one place are 3,000 rows, but one pair of sets; the rows are neither sorted nor compared."""
+    from tarnhelm.scratch import written
+
+    made = {}
+    monkeypatch.setattr(incremental, "written", lambda df, name: made.setdefault((name, len(made)), written(df, name)))
+    deleted = [(i, "/a", 10, 20) for i in range(50)] + [(100, "a", 1, 5), (100, "b", 1, 5), (100, "a", 10, 20), (100, "a", 10, 20), (101, None, 1, 9), (102, "c", 1, 9), (None, "a", 10, 20), (103, "a", 90, None)]
+    old = [(i, "a", 15, 30) for i in range(60)] + [(200, "a", 3, 12), (200, "b", 5, 6), (201, "d", 1, 2), (None, "b", 1, 1), (202, "a", None, 30), (200, "a", 3, 12)]
+    impacted = [(100, 200, "r"), (100, 201, "r"), (100, 201, "r"), (102, 0, "r"), (104, 0, "r"), (0, None, "r"), (None, 201, "r")]
+    schemas = ("change_id int, path string, first_line int, last_line int", "ep long, file string, start_line int, end_line int", "change_id int, ep long, reason string")
+    got = incremental.deletion_changes(*(spark.createDataFrame(*x) for x in zip((deleted, old, impacted), schemas, strict=True)))
+    place = lambda d: None if d[1] is None or d[3] is None else f"{d[1].strip('/')}:{d[2]}-{d[3]}"
+    gone = {(d[0], e[0]) for d in deleted for e in old if None not in (d[0], *d[1:], *e[1:]) and d[1].strip("/") == e[1] and e[2] <= d[3] and e[3] >= d[2]}
+    text = lambda mark, d: place(d) and mark + place(d)
+    want = [(c, "deleted", e, False, text("deleted_base_coordinate: ", d)) for c, e in gone for d in deleted if d[0] == c]
+    rest = [(c, e, r, d) for c, e, r in impacted for d in deleted if c is not None and d[0] == c and (e is None or (c, e) not in gone)]
+    want += [(c, "modified", e, True, text(f"{r}: ", d)) for c, e, r, d in rest]
+    some = {c for c, _ in gone} | {x[0] for x in rest}
+    want += [(d[0], "no_ep_impact", None, False, text("db_no_ep_fact: ", d)) for d in deleted if d[0] not in some]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert len(gone) > 3000 and max(df.count() for df in made.values()) < 100
+    assert "Aggregate" not in got.where("status = 'deleted'")._jdf.queryExecution().optimizedPlan().toString()
