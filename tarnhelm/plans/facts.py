@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..scratch import spread
+
 #: The definitions, in the order in which they build on each other. ``{x}`` is a table or an earlier definition.
 DEFINITIONS: dict[str, str] = {
     "entrypoints": """SELECT o_orderkey AS id, concat('ep-', o_orderkey) AS ep_id,
@@ -68,7 +70,10 @@ def frame(spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame
     made = {} if made is None else made
     if name not in made:
         if name in DEFINITIONS:
-            made[name] = spark.sql(DEFINITIONS[name], **{x: frame(spark, sf_dir, x, made) for x in _needs(DEFINITIONS[name])})
+            needs = {x: frame(spark, sf_dir, x, made) for x in _needs(DEFINITIONS[name])}
+            if name == "items":  # lines are hardly ever repeated: combining them before the shuffle takes memory by the split and saves nothing
+                needs["lineitem"] = spread(needs["lineitem"], needs["lineitem"].count(), "l_orderkey")
+            made[name] = spark.sql(DEFINITIONS[name], **needs)
         else:
             made[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return made[name]

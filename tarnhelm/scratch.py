@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import math
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a table that one task groups.
+TASK_ROWS = 1_200_000
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -31,6 +35,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` in as many partitions as its rows need. Adaptive plans cut by compressed bytes, of which narrow rows have few, and a task's memory goes by rows."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / TASK_ROWS)), *keys)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:

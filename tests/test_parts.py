@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -466,3 +468,15 @@ def test_deletions_by_sets_of_ranges(spark, monkeypatch):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
     assert len(gone) > 3000 and max(df.count() for df in made.values()) < 100
     assert "Aggregate" not in got.where("status = 'deleted'")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_are_spread_by_rows(spark, monkeypatch):
+    """A task's share of the lines is a number of rows, whatever their bytes."""
+    from tarnhelm import scratch
+    from tarnhelm.plans import facts
+
+    monkeypatch.setattr(scratch, "TASK_ROWS", 500)
+    at = "/root/testdata/sf0.001"
+    parts = -(-spark.read.parquet(f"{at}/lineitem.parquet").count() // 500)
+    items = facts.frame(spark, at, "items")
+    assert parts > 10 and items.rdd.getNumPartitions() == parts
