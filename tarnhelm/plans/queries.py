@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions import patterns, sqlguard
 from ..operators import collectors, graph, impact, incremental, taint, trace, types
-from ..scratch import written
+from ..scratch import spread, written
 from ..sources.catalog import FactCatalog, changed_files, digests
 from . import facts
 
@@ -266,7 +266,8 @@ def a10_metrics(load):
 
 @query("SELECT callee_qid, count(*) AS calls, count(DISTINCT caller_func) AS callers FROM {callgraph} GROUP BY callee_qid HAVING count(*) > 1")
 def a12_incoming(load):
-    return load("callgraph").groupBy("callee_qid").agg(F.count("*").alias("calls"), F.countDistinct("caller_func").alias("callers")).where("calls > 1")
+    calls = spread(load("callgraph").select("callee_qid", "caller_func"), load("lineitem").count(), "callee_qid", "caller_func")
+    return calls.groupBy("callee_qid").agg(F.count("*").alias("calls"), F.countDistinct("caller_func").alias("callers")).where("calls > 1")
 
 
 @query("SELECT sum(CASE WHEN toxic = 1 AND quality = 1 THEN 1 ELSE 0 END)::BIGINT AS tp, sum(CASE WHEN toxic = 1 AND quality = 0 THEN 1 ELSE 0 END)::BIGINT AS fp, sum(CASE WHEN toxic = 0 AND quality = 0 THEN 1 ELSE 0 END)::BIGINT AS tn, sum(CASE WHEN toxic = 0 AND quality = 1 THEN 1 ELSE 0 END)::BIGINT AS fn FROM {labels}")

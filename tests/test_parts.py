@@ -471,12 +471,14 @@ def test_deletions_by_sets_of_ranges(spark, monkeypatch):
 
 
 def test_lines_are_spread_by_rows(spark, monkeypatch):
-    """A task's share of the lines is a number of rows, whatever their bytes."""
+    """A task's share of the lines is a number of rows, whatever their bytes; so it is for the pairs that incoming calls are counted from."""
     from tarnhelm import scratch
-    from tarnhelm.plans import facts
+    from tarnhelm.plans import facts, queries
 
     monkeypatch.setattr(scratch, "TASK_ROWS", 500)
     at = "/root/testdata/sf0.001"
     parts = -(-spark.read.parquet(f"{at}/lineitem.parquet").count() // 500)
     items = facts.frame(spark, at, "items")
     assert parts > 10 and items.rdd.getNumPartitions() == parts
+    plan = queries.queries()["a12_incoming"](spark, at)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(rf"RepartitionByExpression \[callee_qid#\d+, caller_func#\d+\], {parts}", plan)
