@@ -14,7 +14,8 @@ The automaton is in no place as a whole: the sums behind failure weights are exc
 block that has it, and a block builds the part of the automaton that its own texts walk.
 
 Scoring. One left-to-right traversal carries the state: while it has no arc for the word, take the failure arc and add
-its weight; then take the arc. Long texts are traversed in pieces side by side; a piece begins two tokens early
+its weight; then take the arc. A block knows the pair and the triple that end at each token, so an arc is found by place, not
+searched. Long texts are traversed in pieces side by side; a piece begins two tokens early
 without adding, which brings it to the state of the whole traversal, since a state holds two words at most.
 
 Defined cases: a null text is an empty one, which is the end token alone. A null doc_id is hashed as an empty string,
@@ -52,6 +53,19 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def numbered(x: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in order, and which of them each is. x: from 0, less than ``below``. A number and its place are sorted as one where both fit in 63 bits."""
+    place = len(x).bit_length()
+    if (below - 1).bit_length() + place > 63 or not len(x):
+        return np.unique(x, return_inverse=True)
+    both = np.sort(x << place | np.arange(len(x)))
+    value = both >> place
+    new = np.concatenate([[True], value[1:] != value[:-1]])
+    which = np.empty(len(x), np.int64)
+    which[both & ((1 << place) - 1)] = np.cumsum(new) - 1
+    return value[new], which
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     task, n = TaskContext.get().partitionId(), 0
     for batch in pieces(batches, "text", BLOCK_BYTES):
@@ -94,7 +108,7 @@ def blocks_of(docs: DataFrame) -> DataFrame:
 
 
 class Model:
-    """The automaton: words and arcs as sorted arrays, failure targets and weights by state."""
+    """The automaton: words and arcs as arrays, failure targets and weights by state. As a whole it has its arcs sorted by state and word; a part has them in the order given."""
 
     def __init__(self, tokens: int, distinct: int, words: dict[int, int], starts: int, pairs: dict[tuple[int, int], int], triples: dict[tuple[int, int, int], int], discount: float):
         """words: of the states, without BEGIN. pairs and triples: by the words' numbers, BEGIN is 1."""
@@ -134,7 +148,7 @@ class Model:
 
     @classmethod
     def part(cls, words: np.ndarray, pairs: np.ndarray, pair_logs: np.ndarray, contexts: np.ndarray, weights: np.ndarray, triples: np.ndarray, triple_logs: np.ndarray) -> Model:
-        """What a text needs of the automaton. words: failure weights by number; pairs (a, b) of words and triples (pair, pair) by place; contexts: places of pairs, with their ``weights``."""
+        """What a text needs of the automaton. words: failure weights by number; pairs (a, b) of words and triples (pair, pair) by place; contexts: places of pairs, with their ``weights``. The arcs are those of pairs that have a log, then those of triples."""
         model = cls.__new__(cls)
         model.size = len(words)
         state = np.full(len(pairs), -1, np.int64)
@@ -143,15 +157,21 @@ class Model:
         model.fail = np.concatenate([np.zeros(model.size, np.int64), pairs[contexts, 1]])
         model.weight = np.concatenate([words, weights])
         has = np.flatnonzero(~np.isnan(pair_logs))
-        keys = np.concatenate([pairs[has, 0] * model.size + pairs[has, 1], state[triples[:, 0]] * model.size + pairs[triples[:, 1], 1]])
-        order = np.argsort(keys)
-        model.keys = keys[order]
-        model.to = np.concatenate([after[has], after[triples[:, 1]]])[order]
-        model.log = np.concatenate([pair_logs[has], triple_logs])[order]
+        model.to = np.concatenate([after[has], after[triples[:, 1]]])
+        model.log = np.concatenate([pair_logs[has], triple_logs])
         return model
 
-    def traverse(self, w: np.ndarray, base: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """log10 probability of each token. w: the words' numbers; base: their log10 probability at the empty context."""
+    def _arcs(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The state's arc for the word, or -1, by search."""
+        if not len(self.keys):
+            return np.full(len(state), -1)
+        key = state * self.size + word
+        k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[k] == key) & (word > 0), k, -1)
+
+    def traverse(self, w: np.ndarray, base: np.ndarray, bounds: np.ndarray, near: np.ndarray | None = None, far: np.ndarray | None = None) -> np.ndarray:
+        """log10 probability of each token. w: the words' numbers; base: their log10 probability at the empty context. near, far: for each token the arc that leads to it
+        from the word before it and from the two before, -1 if there is none; without them arcs are searched."""
         length = np.diff(bounds)
         n_pieces = -(-length // PIECE)
         text = np.repeat(np.arange(len(length)), n_pieces)
@@ -167,15 +187,11 @@ class Model:
             going = np.arange(len(at))
             while len(going):
                 s = state[going]
-                if len(self.keys):
-                    key = s * self.size + word[going]
-                    k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                    found = (self.keys[k] == key) & (word[going] > 0)
-                    hit, arc = going[found], k[found]
-                    gain[hit] += self.log[arc]
-                    state[hit] = self.to[arc]
-                else:
-                    found = np.zeros(len(going), bool)
+                arc = self._arcs(s, word[going]) if near is None else np.where(s < self.size, np.where(s > 0, near[at[going]], -1), far[at[going]])
+                found = arc >= 0
+                hit, arc = going[found], arc[found]
+                gain[hit] += self.log[arc]
+                state[hit] = self.to[arc]
                 root = ~found & (s == 0)
                 hit = going[root]
                 gain[hit] += base[at[hit]]
@@ -286,7 +302,7 @@ class _Block:
         size = len(self.hashes)
         often = self.count >= facts.least
         inside = np.flatnonzero((text[:-1] == text[1:]) & often[both[:-1]] & often[both[1:]])
-        found, which = np.unique(both[inside] * size + both[inside + 1], return_inverse=True)
+        found, which = numbered(both[inside] * size + both[inside + 1], size * size)
         self.pairs = np.stack([found // size, found % size], axis=1)
         self.pair_train = np.bincount(which[self.train[inside]], minlength=len(found))
         self.pair_keys = W.mix(W.mix(self.hashes[self.pairs[:, 0]] ^ W.U(0xA0761D6478BD642F)) + self.hashes[self.pairs[:, 1]])
@@ -310,8 +326,10 @@ class _Block:
         first, second = self.pair_at[:-1], self.pair_at[1:]
         inside = np.flatnonzero(kept[first] & kept[second] & (self.text[:-1] == self.text[1:]))
         n = max(len(self.pairs), 1)
-        found, which = np.unique(first[inside] * n + second[inside], return_inverse=True)
+        found, which = numbered(first[inside] * n + second[inside], n * n)
         self.triples = np.stack([found // n, found % n], axis=1)
+        self.triple_at = np.full(len(self.text), -1, np.int64)
+        self.triple_at[inside] = which
         self.triple_train = np.bincount(which[self.train[inside]], minlength=len(found))
         self.triple_keys = W.mix(W.mix(self.pair_keys[self.triples[:, 0]] ^ W.U(0xE7037ED1A0B428DB)) + self.hashes[self.pairs[self.triples[:, 1], 1]])
 
@@ -335,6 +353,18 @@ class _Block:
         pairs = sums(self.triples[b, 0], self.pair_contexts, self.triple_count[b], self.pair_count[self.triples[b, 1]])
         return np.concatenate([words, pairs], axis=1).astype(W.U)
 
+    def token_arcs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each token, the model's arcs to it from the word before it and from the two before, -1 if there is none: the block knows the pair and the triple at each place."""
+
+        def at(place: np.ndarray, kept: np.ndarray, grams: np.ndarray, begin: int) -> np.ndarray:
+            arc = np.full(len(grams) + 1, -1, np.int32)
+            arc[kept] = begin + np.arange(len(kept), dtype=np.int32)
+            return arc[place]
+
+        # With BEGIN before each text, a token's pair begins one place before it and its triple two.
+        place = np.arange(len(self.tokens)) + np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
+        return at(self.pair_at[place], self.arcs, self.pairs, 0), at(self.triple_at[place - 1], self.long_arcs, self.triples, len(self.arcs))
+
     def model(self) -> Model:
         """The part of the automaton that the block's texts walk. A failure weight is what is left of the context's mass, over what its arcs leave at the shorter context."""
         facts = self.facts
@@ -401,7 +431,7 @@ def _scorer(facts: Facts):
         b.read_triples()
         at, model = b.at, b.model()
         base = np.log10((b.count + 1) / facts.total)[b.tokens]
-        logs = model.traverse(b.tokens, base, at)
+        logs = model.traverse(b.tokens, base, at, *b.token_arcs())
         add = lambda x: np.add.reduceat(x, at[:-1]) if len(at) > 1 else np.zeros(0, x.dtype)  # noqa: E731  every text has its end token
         return _table(SCORES, b.row["doc_ids"][0].values, b.row["held"][0].values, np.diff(at), add((b.count > 0)[b.tokens].astype(np.int64)), facts.tokens, add(base), add(logs))
 

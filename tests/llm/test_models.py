@@ -73,6 +73,33 @@ def test_automaton_is_a_distribution_and_equals_a_plain_walk():
             before = (*before[-1:], x)
 
 
+def test_arcs_by_place_equal_searched_arcs():
+    from tarnhelm.llm import lm
+
+    rng = random.Random(3)
+    model = lm.Model(120, 6, {100: 50, 200: 30, 300: 20}, 10, {(2, 3): 20, (2, 2): 10, (3, 4): 9, (1, 2): 5}, {(2, 3, 4): 8, (2, 2, 3): 4}, 0.5)
+    pair = {(2, 2): model.size, (2, 3): model.size + 1}  # the states of two words
+    texts = [[rng.choice([2, 3, 4]) for _ in range(n)] for n in (1, 2, 255, 256, 257, 1300)]
+    w = np.array([x for t in texts for x in t])
+    before = [([1, 1, *t][i], [1, 1, *t][i + 1]) for t in texts for i in range(len(t))]
+    near = model._arcs(np.array([b for _, b in before]), w)
+    far = np.where([p in pair for p in before], model._arcs(np.array([pair.get(p, 0) for p in before]), w), -1)
+    bounds, base = np.cumsum([0, *map(len, texts)]), np.log10(np.array([0, 0, 51, 31, 21])[w] / 127)
+    searched = model.traverse(w, base, bounds)
+    del model.keys  # nothing is searched now
+    assert (near >= 0).any() and (far >= 0).any() and np.array_equal(model.traverse(w, base, bounds, near, far), searched)
+
+
+@pytest.mark.parametrize("below", [50, 1 << 40, 1 << 62])
+def test_numbered_equals_unique(below):
+    from tarnhelm.llm import lm
+
+    x = np.random.default_rng(4).integers(0, below, 3000)
+    for x in (x, np.concatenate([x, x[::-1], [0, below - 1]]), x[:1], x[:0]):
+        for got, want in zip(lm.numbered(x, below), np.unique(x, return_inverse=True), strict=True):
+            assert np.array_equal(got, want)
+
+
 def exact_classes(table):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     sets = [set(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := word.findall((t or "").lower())) else set() for _, t, *_ in table]
