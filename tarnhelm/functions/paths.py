@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def trimmed(path: Column) -> Column:
     """Without leading slashes."""
-    return F.regexp_replace(path, "^/+", "")
+    return F.ltrim(path, F.lit("/"))
 
 
 def slashed(path: Column) -> Column:

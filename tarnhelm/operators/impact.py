@@ -7,13 +7,14 @@ Each evidence operator returns change_id, ep (the entry point's id).
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from ..scratch import written
+from ..scratch import TASK_ROWS, written
 from ..sources.catalog import FactCatalog
 
 STRUCTURAL = ("entrypoint_body", "call_site", "callee_qid", "builtin_sources", "go_interface_dispatch")
@@ -271,15 +272,24 @@ def summary_downstream(facts: FactCatalog, seed_eps: DataFrame, hops: int = 2) -
     return ranked.where("level = best and ep != seed").select("seed", "ep", "file").distinct()
 
 
-def qid_matches_file(qid, path):
-    """The id holds the file's folders, its last folder and name, or its name."""
-    q = F.replace(F.replace(qid, F.lit("-"), F.lit("_")), F.lit("/"), F.lit("."))
+def file_names(path):
+    """The file's folders, its last folder and name, and its name, dotted as in ids; empty where there is none."""
     parts = F.filter(F.split(F.replace(F.regexp_replace(P.trimmed(path), r"\.[^.]*$", ""), F.lit("-"), F.lit("_")), "/"), lambda x: F.lit(True))
     folders = F.array_join(F.filter(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: x != ""), ".")
     stem, folder = F.element_at(parts, -1), F.try_element_at(parts, F.lit(-2))
     both = F.when(P.present(folder) & (stem != ""), F.concat(folder, F.lit("."), stem)).otherwise("")
-    held = lambda c: (c != "") & F.contains(q, c)
-    return held(folders) | held(both) | held(stem)
+    return folders, both, stem
+
+
+def qid_holds(qid, names):
+    """The id holds one of a file's names."""
+    q = F.replace(F.replace(qid, F.lit("-"), F.lit("_")), F.lit("/"), F.lit("."))
+    return reduce(lambda x, y: x | y, [(c != "") & F.contains(q, c) for c in names])
+
+
+def qid_matches_file(qid, path):
+    """The id holds the file's folders, its last folder and name, or its name."""
+    return qid_holds(qid, file_names(path))
 
 
 #: Kinds of calls that are resolved precisely.
@@ -293,34 +303,72 @@ def _same_path(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def _targets(calls: DataFrame, entry: DataFrame, file: str, gap: int | None = None) -> DataFrame:
-    """seed, file, start_line, end_line: ranges of entry points (distinct _b, file, start_line, end_line) in the callee's range in the file at hand. With ``gap``, and a qid that fits the entry point's file, the nearest where none is in it: within ``gap`` lines after it first.
+    """seed, file, start_line, end_line: ranges of entry points (distinct _b, file, start_line, end_line, and what else there is to keep) in the callee's range in the file at hand. With ``gap``, and a qid that fits the entry point's file, the nearest where none is in it: within ``gap`` lines after it first.
 
-    Distinct ranges of calls meet distinct ranges of entry points; seeds and entry points, of which many share a range, are no part of it.
+    Distinct ranges of calls meet distinct ranges of entry points; seeds and entry points, of which many share a range, are no part of it. Only ranges that
+    hit nothing are ranked, and calls only where their file is the end of several.
     """
-    call = [*(["callee_qid"] if gap is not None else []), "callee_start_line", "callee_end_line", "_a"]
-    c = calls.withColumn("_a", P.trimmed(F.col(file))).select("seed", *call).distinct()
-    kinds = c.select(*call).distinct()
-    pairs = _same_path(kinds.select("_a").distinct(), entry.select("_b").distinct())
-    over = P.overlaps(F.col("start_line"), F.col("end_line"), F.col("callee_start_line"), F.col("callee_end_line"))
+    span, kept = ["callee_start_line", "callee_end_line"], [x for x in entry.columns if x != "_b"]
+    place, call = [*span, "file"], ["callee_qid", *span, "_a"]
+    c = calls.select("seed", *(call[:1] if gap is not None else []), *span, P.trimmed(F.col(file)).alias("_a"))
+    files = _same_path(c.select("_a").distinct(), entry.select("_b").distinct()).join(entry.select("_b", "file").distinct(), "_b")
+    names = [n.alias(f"_name{i}") for i, n in enumerate(file_names(F.col("file")))]
+    files = written(files.select("_a", "file", (F.count("*").over(Window.partitionBy("_a")) > 1).alias("_many"), *names), "files")
+    ranges, c = entry.select(*kept), c.join(files, "_a")
+    spans = c.select(*place).distinct()
+    over = spans.join(ranges, "file").where(P.overlaps(F.col("start_line"), F.col("end_line"), F.col("callee_start_line"), F.col("callee_end_line")))
     if gap is None:
-        best = kinds.join(pairs, "_a").join(entry, "_b").where(over)
-    else:
-        away = F.least(*(F.abs(F.col(x) - F.col(y)) for x in ("callee_start_line", "callee_end_line") for y in ("start_line", "end_line")))
-        after = (F.col("start_line") - F.col("callee_end_line")).between(0, gap)
-        rank = F.when(over, F.lit(0).cast("long")).otherwise(F.when(after, F.lit(1 << 40)).otherwise(F.lit(2 << 40)) + away)
-        place, least = ["_b", "callee_start_line", "callee_end_line", "file"], lambda keys: F.min("_rank").over(Window.partitionBy(*keys))
-        spans = kinds.select("_a", "callee_start_line", "callee_end_line").distinct().join(pairs, "_a").drop("_a").distinct()
-        near = spans.join(entry, "_b").withColumn("_rank", rank).withColumn("_least", least(place)).where("_rank = _least").drop("_least")
-        fits = kinds.select("callee_qid", "_a").distinct().join(pairs, "_a").join(entry.select("_b", "file").distinct(), "_b").where(qid_matches_file(F.col("callee_qid"), F.col("file")))
-        best = kinds.join(fits, ["callee_qid", "_a"]).join(near, place).withColumn("_least", least(call)).where("_rank = _least")
-    return c.join(best.select(*call, "file", "start_line", "end_line").distinct(), call).select("seed", "file", "start_line", "end_line")
-
-
-def _in_ranges(found: DataFrame, entry: DataFrame) -> DataFrame:
-    """seed, ep, file of the entry points that have the ranges found (seed, file, start_line, end_line). One with a single row is met once by a seed; only others are made distinct."""
-    rows = entry.join(entry.groupBy("ep").agg((F.count("*") > 1).alias("_many")), "ep")
-    hit = found.distinct().join(rows, ["file", "start_line", "end_line"]).where("ep != seed")
-    return hit.where("not _many").select("seed", "ep", "file").unionByName(hit.where("_many").select("seed", "ep", "file").distinct())
+        return c.join(over, place).select("seed", *kept)
+    away = F.least(*(F.abs(F.col(x) - F.col(y)) for x in span for y in ("start_line", "end_line")))
+    after = (F.col("start_line") - F.col("callee_end_line")).between(0, gap)
+    rank = F.when(after, F.lit(1 << 40)).otherwise(F.lit(2 << 40)) + away
+    least = lambda keys: F.min("_rank").over(Window.partitionBy(*keys))
+    rest = spans.join(over.select(*place).distinct(), place, "left_anti").join(ranges, "file").withColumn("_rank", rank).withColumn("_least", least(place)).where("_rank = _least").drop("_least")
+    near = over.withColumn("_rank", F.lit(0).cast("long")).unionByName(rest)
+    c = c.where(qid_holds(F.col("callee_qid"), [F.col(f"_name{i}") for i in range(3)])).select("seed", *call, "file", "_many")
+    one, many = c.where("not _many"), c.where("_many")
+    best = many.select(*call, "file").distinct().join(near, place).withColumn("_least", least(call)).where("_rank = _least")
+    return one.join(near, place).select("seed", *kept).unionByName(many.join(best, [*call, "file"]).select("seed", *kept))
+
+
+#: Pairs that one task makes, and at most those of one cell, which a task takes whole. A cell's entry points are held at once.
+TASK_PAIRS, CELL_PAIRS = 100_000_000, 25_000_000
+
+
+def _numbered(ranges: DataFrame) -> DataFrame:
+    return written(ranges.withColumn("_range", F.monotonically_increasing_id()), "ranges")
+
+
+def _in_ranges(found: DataFrame, entry: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
+    """seed, ep, file of the entry points that have the ranges found (seed, file, start_line, end_line). Seeds meet entry points by the number of a range: found has it (_range) where ``ranges`` is given, which are numbered and those of all entry points.
+
+    The seeds of a range times its entry points are dealt in cells, these to tasks of a number of pairs, so that neither the input's size nor a range that many
+    share decides on a task's work. An entry point with a single row is met once by a seed; only others are made distinct.
+    """
+    key = ["file", "start_line", "end_line"]
+    if ranges is None:
+        ranges = _numbered(entry.select(*key).distinct())
+        found = found.join(ranges, key)
+    met = written(found.select("seed", "_range").distinct(), "met")
+    rows = entry.join(ranges.select(*key, "_range"), key).select("_range", "ep", "file")
+    sizes = met.groupBy("_range").agg(F.count("*").alias("_n")).join(rows.groupBy("_range").agg(F.count("*").alias("_m")), "_range")
+    cells = sizes.select("_range", F.col("_n") * F.col("_m"), F.ceil(F.col("_m") / TASK_ROWS)).toDF("_range", "_pairs", "_parts")  # of entry points
+    cells = written(cells.withColumn("_blocks", F.ceil(F.col("_pairs") / F.col("_parts") / CELL_PAIRS)), "cells")  # of seeds
+    pairs = cells.agg(F.sum("_pairs")).first()[0] or 0
+    several = written(entry.groupBy("ep").count().where("count > 1").select("ep"), "several")
+    deal = lambda c, n: F.pmod(F.xxhash64(c), n)
+    cell, each = ["_range", "_block", "_part"], lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    tasks, parallel = math.ceil(pairs / TASK_PAIRS), met.sparkSession.sparkContext.defaultParallelism
+    dealt = lambda df: df.repartition(tasks, *cell) if tasks > parallel else df
+    left = met.join(cells, "_range").select("seed", "_range", deal("seed", F.col("_blocks")).alias("_block"), each("_parts").alias("_part"))
+
+    def hit(own: DataFrame) -> DataFrame:
+        right = own.join(cells, "_range").select("ep", "file", "_range", each("_blocks").alias("_block"), deal("ep", F.col("_parts")).alias("_part"))
+        return dealt(left).join(dealt(right), cell).where("ep != seed").select("seed", "ep", "file")
+
+    if not several.limit(1).count():
+        return hit(rows)
+    return hit(rows.join(several, "ep", "left_anti")).unionByName(hit(rows.join(several, "ep", "left_semi")).distinct())
 
 
 def precise_downstream(facts: FactCatalog, seed_eps: DataFrame, gap: int = 10) -> DataFrame:
@@ -329,24 +377,27 @@ def precise_downstream(facts: FactCatalog, seed_eps: DataFrame, gap: int = 10) -
     First level: calls on the seed's own lines; entry points in the callee's range in the calling file. A callee's files are those of its id's
     nodes within its range; they make it a parent. Second level: the entry point's calls on a parent's lines; entry points
     in the callee's range in the calling file, and in or nearest to it in the callee's files.
+
+    Calls meet the nodes once, for both levels, and are written with their callees' files.
     """
-    calls = facts["callgraph"].where(P.present(F.col("callee_qid")) & (F.col("confidence") >= GENERAL) & F.col("resolution_kind").isin(*PRECISE) & P.present(F.col("call_site_file")) & F.col("callee_start_line").isNotNull() & F.col("callee_end_line").isNotNull())
     rows = facts["entrypoints"]
-    own = seed_eps.select(F.col("ep").alias("seed")).distinct().join(rows.select(F.col("id").alias("seed"), P.trimmed(F.coalesce("file", F.lit(""))).alias("seed_file"), F.col("start_line").alias("seed_start"), F.col("end_line").alias("seed_end")), "seed")
-    calls = calls.select(F.col("ep_id").alias("seed"), "call_site_file", "call_site_line", "callee_qid", "callee_start_line", "callee_end_line").distinct().join(own, "seed")
-    calls = written(calls, "calls")
+    calls = facts["callgraph"].where(P.present(F.col("callee_qid")) & (F.col("confidence") >= GENERAL) & F.col("resolution_kind").isin(*PRECISE) & P.present(F.col("call_site_file")) & F.col("callee_start_line").isNotNull() & F.col("callee_end_line").isNotNull())
+    calls = calls.select(F.col("ep_id").alias("seed"), P.trimmed(F.col("call_site_file")).alias("_site"), F.coalesce("call_site_line", F.lit(0)).alias("_at"), "callee_qid", "callee_start_line", "callee_end_line")
+    own = seed_eps.select(F.col("ep").alias("seed")).distinct().join(rows.select(F.col("id").alias("seed"), P.trimmed(F.coalesce("file", F.lit(""))).alias("_own"), F.coalesce("start_line", F.lit(0)).alias("_from"), F.coalesce("end_line", F.lit(0)).alias("_to")), "seed")
+    first = (F.col("_own") == "") | (P.either_suffix(F.col("_own"), F.col("_site")) & F.col("_at").between(F.col("_from"), F.col("_to")))
+    calls = calls.join(own, "seed").withColumn("_first", first).withColumn("_key", F.xxhash64("callee_qid")).drop("_own", "_from", "_to")
+    nodes = facts["nodes"].where(P.present(F.col("file")) & P.is_go(F.col("file"))).select(F.col("qid").alias("_qid"), F.xxhash64("qid").alias("_hash"), P.trimmed(F.col("file")).alias("callee_file"), F.col("line").alias("_line"))
+    located = calls.join(nodes, (F.col("_key") == F.col("_hash")) & (F.col("callee_qid") == F.col("_qid")) & F.col("_line").between(F.col("callee_start_line"), F.col("callee_end_line")), "left")
+    calls = written(located.drop("_qid", "_hash", "_line").distinct().drop("_key"), "calls")
+    parents = calls.where("_first and callee_file is not null").select("seed", F.col("callee_file").alias("_parent"), F.col("callee_start_line").alias("_from"), F.col("callee_end_line").alias("_to"))
+    parents = parents.repartition("seed").distinct()  # both they and the join are by seed
+    second = calls.drop("_first").join(parents, "seed").where(P.either_suffix(F.col("_parent"), F.col("_site")) & F.col("_at").between(F.col("_from"), F.col("_to")))
+    second = written(second.select("seed", "_site", "callee_qid", "callee_start_line", "callee_end_line", "callee_file").distinct(), "second")
     entry = rows.where(P.present(F.col("file")) & P.is_go(F.col("file"))).select(F.col("id").alias("ep"), "file", F.coalesce("start_line", F.lit(0)).alias("start_line"), F.coalesce("end_line", F.lit(0)).alias("end_line"), P.trimmed(F.col("file")).alias("_b"))
-    line, site = F.coalesce("call_site_line", F.lit(0)), P.trimmed(F.col("call_site_file"))
-    first = calls.where((F.col("seed_file") == "") | (P.either_suffix(F.col("seed_file"), site) & line.between(F.coalesce("seed_start", F.lit(0)), F.coalesce("seed_end", F.lit(0)))))
-    nodes = facts["nodes"].where(P.present(F.col("file")) & P.is_go(F.col("file"))).select(F.col("qid").alias("callee_qid"), F.col("file").alias("callee_file"), F.col("line").alias("_line"))
-    located = lambda c: c.join(nodes, "callee_qid").where(F.col("_line").between(F.col("callee_start_line"), F.col("callee_end_line"))).drop("_line").distinct()
-    parents = located(first.select("seed", "callee_qid", "callee_start_line", "callee_end_line").distinct()).select("seed", P.trimmed(F.col("callee_file")).alias("_parent"), F.col("callee_start_line").alias("_from"), F.col("callee_end_line").alias("_to")).distinct()
-    second = calls.join(parents, "seed").where(P.either_suffix(F.col("_parent"), site) & line.between(F.col("_from"), F.col("_to"))).select(*calls.columns).distinct()
-    second = written(second, "second")
-    ranges = entry.select("_b", "file", "start_line", "end_line").distinct()
-    own_file = ["seed", "call_site_file", "callee_start_line", "callee_end_line"]
-    parts = [_targets(first.select(*own_file).unionByName(second.select(*own_file)), ranges, "call_site_file"), _targets(located(second), ranges, "callee_file", gap)]
-    return _in_ranges(reduce(DataFrame.unionByName, parts), entry.drop("_b"))
+    ranges = _numbered(entry.select("_b", "file", "start_line", "end_line").distinct())
+    own_file = ["seed", "_site", "callee_start_line", "callee_end_line"]
+    parts = [_targets(calls.where("_first").select(*own_file).unionByName(second.select(*own_file)), ranges, "_site"), _targets(second.where("callee_file is not null"), ranges, "callee_file", gap)]
+    return _in_ranges(reduce(DataFrame.unionByName, parts), entry.drop("_b"), ranges)
 
 
 def downstream(facts: FactCatalog, seed_eps: DataFrame, changed: DataFrame | None = None) -> DataFrame:

@@ -668,7 +668,8 @@ _PRECISE = "SELECT DISTINCT g.ep_id AS seed, g.call_site_file AS f, g.call_site_
 )
 def g17_precise_downstream(load):
     """From every entry point; ids end in their file's name, so that each fits its file."""
-    stored(load, ("items", "deep_calls"))
+    load.made["entrypoints"] = load("entrypoints").select("id", "file", "start_line", "end_line")
+    stored(load, ("entrypoints", "deep_nodes"))
     return impact.precise_downstream(FactCatalog(load("deep_calls").sparkSession, {"entrypoints": load("entrypoints"), "nodes": load("deep_nodes"), "callgraph": load("deep_calls")}), load("entrypoints").select(F.col("id").alias("ep")))
 
 

@@ -409,6 +409,43 @@ def test_downstream_targets_by_ranges(spark):
     assert sorted((r.start_line, r.end_line) for r in impact._targets(tie, ranges, "f", 9).collect()) == [(15, 18), (40, 50)]
 
 
+def test_downstream_meets_nodes_once(spark, tmp_path, monkeypatch):
+    """Nodes are read for one table, the calls with their callees' files; a callee's second file, a call without any and calls on both levels stay."""
+    from tarnhelm.operators import impact
+    from tarnhelm.scratch import written
+    from tarnhelm.sources.catalog import FactCatalog
+
+    read = {}
+    monkeypatch.setattr(impact, "written", lambda df, name: read.setdefault(name, []).extend(df.inputFiles()) or written(df, name))
+    entries = [(1, "src/a.go", 1, 30), (2, "src/a.go", 40, 45), (3, "lib/b.go", 10, 12), (4, "lib/c.go", 16, 19), (5, "lib/a.go", 90, 99), (6, "/lib/b.go", 80, 80)]
+    calls = [(1, "lib.a.F", "src/a.go", 5, 38, 41), (1, "lib.a.F", "src/a.go", 6, 38, 41), (1, "lib.b.G", "lib/a.go", 40, 8, 14), (1, "none.H", "lib/a.go", 41, 92, 93), (1, "lib.c.K", "lib/a.go", 41, 1, 9)]
+    nodes = [("lib.a.F", "lib/a.go", 38), ("lib.a.F", "/lib/a.go", 41), ("lib.b.G", "lib/b.go", 8), ("lib.b.G", "lib/x.go", 9), ("lib.c.K", "lib/c.go", 3), ("lib.c.K", "lib/c.go", 4), ("lib.c.K", "lib/c.go", 77)]
+    tables = {
+        "entrypoints": spark.createDataFrame(entries, "id long, file string, start_line int, end_line int"),
+        "callgraph": spark.createDataFrame([(*c, "direct_fdef", 90) for c in calls], "ep_id long, callee_qid string, call_site_file string, call_site_line int, callee_start_line int, callee_end_line int, resolution_kind string, confidence int"),
+    }
+    spark.createDataFrame(nodes, "qid string, file string, line int").write.parquet(f"{tmp_path}/nodes")
+    found = impact.precise_downstream(FactCatalog(spark, tables | {"nodes": spark.read.parquet(f"{tmp_path}/nodes")}), spark.createDataFrame([(1,)], "ep long"))
+    assert sorted((r.seed, r.ep, r.file) for r in found.collect()) == [(1, 2, "src/a.go"), (1, 3, "lib/b.go"), (1, 4, "lib/c.go"), (1, 5, "lib/a.go")]
+    assert [k for k, files in read.items() if any(f"{tmp_path}/nodes" in f for f in files)] == ["calls"]
+    assert not any(f"{tmp_path}/nodes" in f for f in found.inputFiles())
+
+
+def test_downstream_pairs_in_cells(spark, monkeypatch):
+    """A range that many share is several cells, none over its limits, and every pair is in one of them."""
+    from tarnhelm.operators import impact
+    from tarnhelm.scratch import written
+
+    made = {}
+    for name, value in (("written", lambda df, name: made.setdefault(name, written(df, name))), ("TASK_ROWS", 30), ("CELL_PAIRS", 600), ("TASK_PAIRS", 1000)):
+        monkeypatch.setattr(impact, name, value)
+    entry = spark.createDataFrame([(i, "a.go", 1, 9) for i in range(70)] + [(500, "b.go", 1, 9), (501, "b.go", 1, 9), (501, "c.go", 1, 9)], "ep long, file string, start_line int, end_line int")
+    found = spark.range(60).selectExpr("id as seed", "'a.go' as file", "1 as start_line", "9 as end_line").unionByName(spark.createDataFrame([(7, "b.go", 1, 9), (7, "c.go", 1, 9), (7, "c.go", 1, 9)], "seed long, file string, start_line int, end_line int"))
+    got = impact._in_ranges(found, entry)
+    assert sorted((r.seed, r.ep, r.file) for r in got.collect()) == sorted([(s, e, "a.go") for s in range(60) for e in range(70) if s != e] + [(7, 500, "b.go"), (7, 501, "b.go"), (7, 501, "c.go")])
+    assert sorted((r._pairs, r._parts, r._blocks) for r in made["cells"].collect()) == [(1, 1, 1), (2, 1, 1), (4200, 3, 3)]
+
+
 def test_degenerate_by_sets(spark, monkeypatch):
     """Equal traces are compared once: of 300, two sets; a repeated place makes a longer trace of the same set."""
     from tarnhelm.operators import trace
